@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, exact_dedup, minhash, warc
+from . import bpe, chat, embedding, exact_dedup, langid, minhash, mixing, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_language_id": langid.op2_language_id,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_embedding_near_dedup": embedding.op4_embedding_near_dedup,
         "op5_warc": warc.op5_warc,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+        "op7_mixing": mixing.op7_mixing,
+        "op8_quality": quality.op8_quality,
+        "op9_chat_format": chat.op9_chat_format,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
@@ -25,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_near_dedup": embedding.ORACLE,
         "op5_warc": warc.ORACLE,
         "op6_minhash_near_dedup": minhash.ORACLE,
+        "op9_chat_format": chat.ORACLE,
     }
