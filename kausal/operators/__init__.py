@@ -1,0 +1 @@
+"""Moments, skeleton search, orientation, evaluation, diagnostics."""

@@ -1,0 +1 @@
+"""End-to-end calls, and the queries of the driver contract."""

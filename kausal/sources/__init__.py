@@ -1,0 +1 @@
+"""Reading datasets and reference graphs."""

@@ -1,0 +1 @@
+"""Nothing to compute on streams: the engine has no streaming operator."""
