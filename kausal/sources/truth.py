@@ -19,7 +19,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_matrix(lines: DataFrame, n: int, comma: bool) -> DataFrame | None:
     """(src, dst) of the entries that aren't zero, or None if the lines aren't n rows of n numbers; # begins a comment."""
     text = F.trim(F.regexp_replace("line", "#.*", ""))
-    cells = F.transform(F.split(text, ","), F.trim) if comma else F.split(text, r"\s+")
+    cells = F.transform(F.split(text, ","), lambda c: F.trim(c)) if comma else F.split(text, r"\s+")
     rows = lines.select("pos", text.alias("t"), F.transform(cells, lambda c: c.try_cast("double")).alias("v")).where("t <> ''")
     good = rows.agg(F.count("*").alias("n"), F.expr(f"count_if(size(v) = {n} and not exists(v, x -> x is null))").alias("ok")).first()
     if n < 1 or good["n"] != n or good["ok"] != n or (n == 1 and good["n"] == 1):
