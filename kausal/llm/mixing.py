@@ -30,7 +30,8 @@ def domain_of(quality: str = "quality", toxic: str = "toxic"):
 
 
 def domain_features():
-    """Which bare words and beginnings of words a text has, and the damped shares of its word shapes."""
+    """Which bare words and beginnings of words a text has, and the damped shares of its word shapes; each part has a
+    fixed length, so that a long text is not sure of its domain by its length alone."""
     words, beginnings, shapes = BareHashes(), BareHashes(4), ShapeHashes()
 
     def f(text: str):
@@ -42,7 +43,7 @@ def domain_features():
         again = np.sqrt(np.array([(h[1:] == h[:-1]).mean() if len(h) > 1 else 0.0, 0.0]))
         return (
             np.concatenate([cols, shape_cols + (1 << (BITS - 1)), [1 << BITS, (1 << BITS) + 1]]).astype(np.int32),
-            np.concatenate([np.full(len(cols), 0.2), 4 * v, 4 * again]),
+            np.concatenate([np.full(len(cols), 4 / np.sqrt(max(1, len(cols)))), 4 * v, 4 * again]),
         )
 
     return f
