@@ -59,7 +59,7 @@ def orientation_counts(edges: DataFrame, arrows: DataFrame, truth: DataFrame) ->
     both = pair_states(edges, arrows).join(t.withColumnRenamed("state", "want"), ["a", "b"])
     turned = "(state = '>' and want = '<') or (state = '<' and want = '>')"
     return both.agg(
-        F.expr("count_if(state = want)").alias("correct"), F.count_if(turned).alias("reversed"), F.expr("count_if(state <> want and state = '-')").alias("undirected"),
+        F.expr("count_if(state = want)").alias("correct"), F.expr(f"count_if({turned})").alias("reversed"), F.expr("count_if(state <> want and state = '-')").alias("undirected"),
         F.expr(f"count_if(state <> want and state <> '-' and not ({turned}))").alias("other"),
     )
 
