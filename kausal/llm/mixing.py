@@ -20,6 +20,8 @@ from .words import BareHashes, Rows, ShapeHashes, all_hashes, gathered, sampled,
 
 #: Slots of the features; most labelled texts of each domain; steps of the classifier; steps of the rates.
 BITS, PER_DOMAIN, FIT_STEPS, RATE_STEPS = 17, 1500, 150, 40
+#: Pull of the classifier's weights to zero.
+L1 = 4e-4
 DOMAINS = ("clean", "low_quality", "toxic")
 #: Production targets: shares of the tokens.
 TARGETS = {"clean": 0.78, "low_quality": 0.12, "toxic": 0.10}
@@ -30,8 +32,8 @@ def domain_of(quality: str = "quality", toxic: str = "toxic"):
 
 
 def domain_features():
-    """Which bare words and beginnings of words a text has, and the damped shares of its word shapes; each part has a
-    fixed length, so that a long text is not sure of its domain by its length alone."""
+    """Which bare words and beginnings of words a text has, each counting alike in texts of any length, and the damped
+    shares of its word shapes; fit_domains keeps few words, so that a long text is not sure of its domain by chance words."""
     words, beginnings, shapes = BareHashes(), BareHashes(4), ShapeHashes()
 
     def f(text: str):
@@ -43,7 +45,7 @@ def domain_features():
         again = np.sqrt(np.array([(h[1:] == h[:-1]).mean() if len(h) > 1 else 0.0, 0.0]))
         return (
             np.concatenate([cols, shape_cols + (1 << (BITS - 1)), [1 << BITS, (1 << BITS) + 1]]).astype(np.int32),
-            np.concatenate([np.full(len(cols), 4 / np.sqrt(max(1, len(cols)))), 4 * v, 4 * again]),
+            np.concatenate([np.ones(len(cols)), 4 * v, 4 * again]),
         )
 
     return f
@@ -62,37 +64,45 @@ class Domains:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> Domains:
-    """Softmax regression on labelled (id, domain); at most per_domain texts of each, chosen by hashed id, weighted to the
+    """Sparse softmax regression on labelled (id, domain); at most per_domain texts of each, chosen by hashed id, weighted to the
     shares of the labelled table. A label counts once for each id. No labels: every domain alike."""
     known = labelled.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "domain").dropDuplicates([id_col])
     share = dict(known.groupBy("domain").count().collect())  # one number a domain
     keys, rows = gathered(docs, sampled(known, "domain", per_domain, id_col), domain_features, "domain", id_col, text_col)
     names = list(DOMAINS) if set(keys) <= set(DOMAINS) else sorted(set(keys))
     size = (1 << BITS) + 2
-    w, b = np.zeros((len(names), size)), np.zeros(len(names))
     if not keys:
-        return Domains(names, w.astype(np.float32), b)
+        return Domains(names, np.zeros((len(names), size), np.float32), np.zeros(len(names)))
     y = np.array([names.index(k) for k in keys])
-    rows = _often(rows, size)
     weight = np.array([share[names[k]] / max(1, (y == k).sum()) for k in y], float)
-    weight /= weight.sum()
-    m, v = np.zeros((len(names), size + 1)), np.zeros((len(names), size + 1))
-    for t in range(1, FIT_STEPS + 1):
-        z = np.array([rows.dot(w[k]) + b[k] for k in range(len(names))])
+    w, b = softmax(_often(rows, size), y, weight / weight.sum(), len(names), size)
+    return Domains(names, w.astype(np.float32), b)
+
+
+def softmax(rows: Rows, y: np.ndarray, weight: np.ndarray, k_names: int, size: int, steps: int = FIT_STEPS, rate: float = 0.05, l1: float = L1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a softmax regression on weighted rows; Adam with soft thresholds, so that most weights are zero."""
+    w, b = np.zeros((k_names, size)), np.zeros(k_names)
+    m, v = np.zeros((k_names, size + 1)), np.zeros((k_names, size + 1))
+    for t in range(1, steps + 1):
+        z = np.array([rows.dot(w[k]) + b[k] for k in range(k_names)])
         p = np.exp(z - z.max(axis=0))
         p /= p.sum(axis=0)
-        for k in range(len(names)):
+        for k in range(k_names):
             d = (p[k] - (y == k)) * weight
-            g = np.append(rows.back(d, size) + 1e-6 * w[k], d.sum())
+            g = np.append(rows.back(d, size), d.sum())
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            step = 0.05 * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-5)
+            pace = rate / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-4)
+            step = pace * m[k] / (1 - 0.9**t)
             w[k] -= step[:-1]
+            w[k] = np.sign(w[k]) * np.maximum(0, np.abs(w[k]) - pace[:-1] * l1)
             b[k] -= step[-1]
-    return Domains(names, w.astype(np.float32), b)
+    return w, b
 
 
 def _often(rows: Rows, size: int) -> Rows:
-    rows.vals = rows.vals * (np.bincount(rows.cols, minlength=size) >= 4)[rows.cols]
+    """rows without the slots that fewer than four of them have."""
+    keep = (np.bincount(rows.cols, minlength=size) >= 4)[rows.cols]
+    rows.cols, rows.vals, rows.row = rows.cols[keep], rows.vals[keep], rows.row[keep]
     return rows
 
 
