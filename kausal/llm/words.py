@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, word_hashes
+from .common import SALTS, WordHashes, mix64, word_hashes
 
 #: Bytes of a very long text whose words are listed at once.
 PORTION = 4 << 20
@@ -100,9 +100,12 @@ class Rows:
 
 
 def sampled(table: DataFrame, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most `most` rows of each value of `by`: those whose ids have the least hashes, ties by id."""
-    order = W.partitionBy(by).orderBy(F.xxhash64(id_col), id_col)
-    return table.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    """At most `most` rows of each value of `by`: those whose ids have the least hashes, ties by id.
+
+    Chosen within salts first, so that the task of one value gets at most SALTS * most rows."""
+    salted_rows = table.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), id_col), F.lit(SALTS)))
+    least = lambda df, *keys: df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(id_col), id_col))).where(F.col("_rank") <= most)
+    return least(least(salted_rows, by, "_part"), by).drop("_rank", "_part")
 
 
 def featured(features):
