@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, prepare
-from .words import BareHashes, Rows, ShapeHashes, all_hashes, gathered, sampled, slots
+from .common import cut, prepare
+from .words import Rows, WordTable, gathered, portions, sampled, slots, three_hashes
 
 #: Slots of the features; most labelled texts of each domain; steps of the classifier; steps of the rates.
 BITS, PER_DOMAIN, FIT_STEPS, RATE_STEPS = 17, 1500, 150, 40
@@ -31,26 +31,43 @@ def domain_of(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(quality) == 0, "low_quality").when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 1, "clean")
 
 
-def domain_features():
-    """Which bare words and beginnings of words a text has, each counting alike in texts of any length, and the damped
-    shares of its word shapes; fit_domains keeps few words, so that a long text is not sure of its domain by chance words."""
-    words, beginnings, shapes = BareHashes(), BareHashes(4), ShapeHashes()
-
-    def f(text: str):
-        raw = text.encode()
-        h = all_hashes(raw, words)
-        cols, _ = slots(np.concatenate([h, all_hashes(raw, beginnings)]), BITS - 1)
-        shape_cols, n = slots(all_hashes(raw, shapes), BITS - 1)
-        v = np.sqrt(n / max(1, n.sum()))
-        again = np.sqrt(np.array([(h[1:] == h[:-1]).mean() if len(h) > 1 else 0.0, 0.0]))
+def domain_rows():
+    """A function from the bytes of a text to (slots, values, number of words): which bare words and beginnings of words it
+    has, each counting alike in texts of any length, and the damped shares of its word shapes; fit_domains keeps few words,
+    so that a long text is not sure of its domain by chance words."""
+    table = WordTable(three_hashes, 3)
+
+    def f(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        found, total, repeats, last = [], 0, 0, None
+        for words in portions(raw):
+            rows = table.numbers(words)
+            if not len(rows):
+                continue
+            bare = table.hashes[rows, 0]
+            repeats += int((bare[1:] == bare[:-1]).sum()) + int(last is not None and last == bare[0])
+            total, last = total + len(rows), bare[-1]
+            kinds, n = np.unique(rows, return_counts=True)
+            found.append((table.hashes[kinds].T, n))
+        hashes = np.concatenate([h for h, _ in found], axis=1) if found else np.zeros((3, 0), np.uint64)
+        n = np.concatenate([n for _, n in found]) if found else np.zeros(0)
+        cols, _ = slots(hashes[:2].ravel(), BITS - 1)
+        shape_cols, at = np.unique((hashes[2] >> np.uint64(65 - BITS)).astype(np.int32), return_inverse=True)
+        v = np.sqrt(np.bincount(at, n, minlength=len(shape_cols)) / max(1, total))
+        again = np.sqrt(np.array([repeats / (total - 1) if total > 1 else 0.0, 0.0]))
         return (
             np.concatenate([cols, shape_cols + (1 << (BITS - 1)), [1 << BITS, (1 << BITS) + 1]]).astype(np.int32),
             np.concatenate([np.ones(len(cols)), 4 * v, 4 * again]),
+            total,
         )
 
     return f
 
 
+def domain_features():
+    f = domain_rows()
+    return lambda text: f(text.encode())[:2]
+
+
 @dataclass
 class Domains:
     names: list[str]
@@ -110,15 +127,17 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
     """(id, tokens, p): words between ASCII white space, and an array with the posterior of each domain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, counting = domain_features(), WordHashes()
+        f = domain_rows()
         for x in batches:
-            texts = [t or "" for t in x.column(1).to_pylist()]
-            p = [model.posterior(*f(t)) for t in texts]
-            n = [len(t.split()) if len(t) < 1 << 22 else len(all_hashes(t.encode(), counting)) for t in texts]
+            p, n = [], []
+            for raw in x.column(1).to_pylist():
+                cols, vals, words = f(raw or b"")
+                p.append(model.posterior(cols, vals))
+                n.append(words)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["id", "tokens", "p"])
 
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, tokens long, p array<double>")
 
 

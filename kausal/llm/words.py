@@ -20,29 +20,92 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 
-def all_hashes(raw: bytes, cache: WordHashes) -> np.ndarray:
-    """The hash of every word between ASCII white space; very long texts are listed in portions."""
-    if len(raw) <= PORTION:
-        return word_hashes(raw.split(), cache)
-    out, at = [], 0
+def portions(raw: bytes) -> Iterator[list[bytes]]:
+    """The words between ASCII white space; those of very long texts in several lists."""
+    at = 0
     while at < len(raw):
-        m = SPACE.search(raw, min(at + PORTION, len(raw)))
+        m = SPACE.search(raw, at + PORTION) if at + PORTION < len(raw) else None
         end = m.start() if m else len(raw)
-        out.append(word_hashes(raw[at:end].split(), cache))
+        yield raw[at:end].split()
         at = end
-    return np.concatenate(out)
 
 
-def shape(word: bytes) -> bytes:
-    """Letters to a or A, digits to 0, other ASCII as it is, runs of one character to two of it."""
+def all_hashes(raw: bytes, cache: WordHashes) -> np.ndarray:
+    """The hash of every word between ASCII white space."""
+    found = [word_hashes(words, cache) for words in portions(raw)]
+    return found[0] if len(found) == 1 else np.concatenate([*found, np.zeros(0, np.uint64)])
+
+
+class Kinds(dict):
+    """Of each code point, as str.translate asks for them: letters a or A, digits 0, others as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+KINDS = Kinds()
+
+
+class ShapesOfKinds(WordHashes):
+    """The hash of a word's shape by its kinds, of which there are few: runs of one character count as two of it."""
+
+    def __missing__(self, kinds: str) -> int:
+        value = xxhash.xxh3_64_intdigest(RUNS.sub(rb"\1\1", kinds.encode()), seed=77)
+        if len(self) >= self.most:
+            self.clear()
+        self[kinds] = value
+        return value
+
+
+SHAPES = ShapesOfKinds(1 << 16)
+
+
+def shape_hash(word: bytes) -> int:
+    return SHAPES[word.decode(errors="replace").translate(KINDS)]
+
+
+def bare(text: str) -> str:
+    """A word in lower case without the punctuation around it."""
+    text = text.lower()
+    begin, end = 0, len(text)
+    while begin < end and not text[begin].isalnum():
+        begin += 1
+    while end > begin and not text[end - 1].isalnum():
+        end -= 1
+    return text[begin:end]
+
+
+class Beginnings(WordHashes):
+    """Hashes of the first four letters of bare words."""
+
+    def __missing__(self, beginning: str) -> int:
+        value = xxhash.xxh3_64_intdigest(beginning.encode(), seed=9)
+        if len(self) >= self.most:
+            self.clear()
+        self[beginning] = value
+        return value
+
+
+BEGINNINGS = Beginnings(1 << 16)
+
+
+def three_hashes(word: bytes) -> tuple[int, int, int]:
+    """The hashes of a word's bare form, of that form's beginning and of its shape."""
     text = word.decode(errors="replace")
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text)
-    return RUNS.sub(rb"\1\1", kinds.encode())
+    own = bare(text)
+    return xxhash.xxh3_64_intdigest(own.encode(), seed=5), BEGINNINGS[own[:4]], SHAPES[text.translate(KINDS)]
+
+
+def bare_hash(word: bytes, letters: int | None = None) -> int:
+    """Of a bare word, or of its first letters only."""
+    return xxhash.xxh3_64_intdigest(bare(word.decode(errors="replace"))[:letters].encode(), seed=5 + (letters or 0))
 
 
 class ShapeHashes(WordHashes):
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(shape(word), seed=77)
+        value = shape_hash(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = value
@@ -50,26 +113,50 @@ class ShapeHashes(WordHashes):
 
 
 class BareHashes(WordHashes):
-    """Words in lower case without the punctuation around them, or only their first letters."""
+    """Hashes of bare words, or of their first letters."""
 
     def __init__(self, letters: int | None = None):
         super().__init__()
         self.letters = letters
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode(errors="replace").lower()
-        begin, end = 0, len(text)
-        while begin < end and not text[begin].isalnum():
-            begin += 1
-        while end > begin and not text[end - 1].isalnum():
-            end -= 1
-        value = xxhash.xxh3_64_intdigest(text[begin:end][: self.letters].encode(), seed=5 + (self.letters or 0))
+        value = bare_hash(word, self.letters)
         if len(self) >= self.most:
             self.clear()
         self[word] = value
         return value
 
 
+class WordTable(dict):
+    """Numbers of words, with several hashes of each word: a word of a text is looked up once for all of them.
+
+    Emptied between portions when it is full, so that memory stays bounded; numbers hold until the next portion."""
+
+    def __init__(self, hashes_of, kinds: int, most: int = 1 << 19):
+        self.hashes_of, self.most = hashes_of, most
+        self.hashes = np.zeros((1024, kinds), np.uint64)
+        self.fresh: list[tuple[int, ...]] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        self.fresh.append(self.hashes_of(word))
+        return k
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) >= self.most:
+            self.clear()
+            self.hashes = self.hashes[:1024]
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            if len(self) > len(self.hashes):
+                more = np.zeros((2 * len(self), self.hashes.shape[1]), np.uint64)
+                more[: len(self.hashes)] = self.hashes
+                self.hashes = more
+            self.hashes[len(self) - len(self.fresh) : len(self)] = np.array(self.fresh, np.uint64)
+            self.fresh.clear()
+        return rows
+
+
 def pairs_of(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h[:0]
