@@ -20,8 +20,8 @@ from .words import Rows, WordTable, gathered, portions, sampled, slots, three_ha
 
 #: Slots of the features; most labelled texts of each domain; steps of the classifier; steps of the rates.
 BITS, PER_DOMAIN, FIT_STEPS, RATE_STEPS = 17, 1500, 150, 40
-#: Pull of the classifier's weights to zero.
-L1 = 4e-4
+#: Pull of the classifier's weights to zero; tokens over the least total when every row is to be used at least once.
+L1, HEADROOM = 4e-4, 1.02
 DOMAINS = ("clean", "low_quality", "toxic")
 #: Production targets: shares of the tokens.
 TARGETS = {"clean": 0.78, "low_quality": 0.12, "toxic": 0.10}
@@ -148,7 +148,8 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
     inverse of G = sum(tokens * p * p'), so that a step of one is safe; a row's step is p . G^-1 (S - T), then the
     rate is put back to at least `least`. A row's rate follows from the steps so far by itself, so rates are never
     stored or moved; each step sends one number a domain to the driver. Without a total: the tokens as they are, or,
-    with a positive least rate, the least total for which no domain has to shrink.
+    with a positive least rate, HEADROOM times the least total for which no domain has to shrink: at that total itself
+    texts of mixed posteriors would have to fall below `least`, and the steps would near the targets slowly.
     """
     k = len(names)
     t = np.array([targets.get(n, 0.0) for n in names])
@@ -158,7 +159,7 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
     natural = np.array([x or 0.0 for x in first[:k]])
     g = np.array([x or 0.0 for x in first[k:]]).reshape(k, k)
     if total is None:
-        total = float(natural.sum()) if least <= 0 else float(max((natural[i] * least / t[i] for i in range(k) if t[i] > 0), default=0.0))
+        total = float(natural.sum()) if least <= 0 else HEADROOM * float(max((natural[i] * least / t[i] for i in range(k) if t[i] > 0), default=0.0))
     inverse = np.linalg.pinv(g, hermitian=True)
     moves: list[np.ndarray] = []
 
