@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, trimmed
 
 #: Words whose ids a worker keeps between batches, characters of a batch, words of a portion of a very long text.
 CACHE_WORDS, BATCH_CHARS, PORTION_WORDS = 400_000, 4_000_000, 200_000
@@ -171,8 +171,8 @@ def _digest(name: str, pattern: str, with_ids: bool):
                 bytes_sha.update(replay.decode(ids))
             n += len(ids)
             if with_ids:
-                kept += ids
-        return n, ids_sha.hexdigest(), bytes_sha.hexdigest(), kept
+                kept.append(np.array(ids, np.int32))
+        return n, ids_sha.hexdigest(), bytes_sha.hexdigest(), np.concatenate([*kept, np.zeros(0, np.int32)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = loaded(public_tokenizers.path(name) if "/" not in name else name, pattern)
@@ -200,6 +200,7 @@ def _digest(name: str, pattern: str, with_ids: bool):
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        replay.cache = {}  # the worker lives on, maybe for stages that need the memory
 
     return run
 
@@ -216,7 +217,7 @@ def encode(
     prepare(docs.sparkSession)
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_digest(ranks, pattern or public_tokenizers.PATTERN, with_ids), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(_digest(ranks, pattern or public_tokenizers.PATTERN, with_ids)), schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, id_col: str = "doc_id") -> DataFrame:

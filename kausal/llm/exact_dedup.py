@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SALTS, UPPER, cut, prepare, salted, salts_of
+from .common import LOWER, SALTS, UPPER, cut, prepare, salted, salts_of, trimmed
 
 
 def normal_bytes(text: str | None) -> bytes:
@@ -40,13 +40,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    full = salted(rows.mapInArrow(_digests(True), "id long, digest binary, norm string"), "id")
+    full = salted(rows.mapInArrow(trimmed(_digests(True)), "id long, digest binary, norm string"), "id")
     by_salt = full.groupBy("digest", "_salt", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
     winners = by_salt.repartition("digest").groupBy("digest", "norm").agg(
         F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("mask")
     )
     groups = cut(winners.select("digest", "keep_id", "group_size", "mask"), "groups")
-    light = salted(rows.mapInArrow(_digests(False), "id long, digest binary"), "id")
+    light = salted(rows.mapInArrow(trimmed(_digests(False)), "id long, digest binary"), "id")
     spread = groups.select("digest", "keep_id", "group_size", F.explode(salts_of("mask")).alias("_salt"))
     shared = groups.groupBy("digest").count().where("count > 1").select("digest")
     if shared.isEmpty():

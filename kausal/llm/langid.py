@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, prepare
+from .common import crc_mod, prepare, trimmed
 from .words import gathered, sampled
 
 #: Slots of the n-grams; most texts of each language that are learned from; characters taken at once.
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     everything if there was nothing to learn from; null ids stay null; whole texts are read in portions."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(_predict(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def learning(docs: DataFrame, id_col: str = "doc_id"):
@@ -185,6 +185,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keep.append(bool(model and any_letter and model.predict(counts)[0] != UNDETERMINED))
             yield x.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 

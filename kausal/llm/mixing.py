@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, trimmed
 from .words import Rows, WordTable, gathered, portions, sampled, slots, three_hashes
 
 #: Slots of the features; most labelled texts of each domain; steps of the classifier; steps of the rates.
@@ -138,7 +138,7 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, tokens long, p array<double>")
+    return rows.mapInArrow(trimmed(run), "id long, tokens long, p array<double>")
 
 
 def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: float | None = None, least: float = 0.0, steps: int = RATE_STEPS) -> tuple[DataFrame, list[np.ndarray]]:

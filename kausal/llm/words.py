@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SALTS, WordHashes, mix64, word_hashes
+from .common import SALTS, WordHashes, mix64, trimmed, word_hashes
 
 #: Bytes of a very long text whose words are listed at once.
 PORTION = 4 << 20
@@ -212,7 +212,7 @@ def featured(features):
 def gathered(docs: DataFrame, chosen: DataFrame, features, key: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, Rows]:
     """(keys, features) of the chosen rows (id, key), of which there are few by their sampling."""
     texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col), F.col(key).cast("string").alias("key"), F.col(text_col).alias("text"))
-    found = texts.select("key", "text").mapInArrow(featured(features), "key string, cols array<int>, vals array<float>").toArrow()
+    found = texts.select("key", "text").mapInArrow(trimmed(featured(features)), "key string, cols array<int>, vals array<float>").toArrow()
     cols = [np.asarray(v.values, np.int32) for v in found.column("cols")]
     vals = [np.asarray(v.values, np.float32) for v in found.column("vals")]
     keys = found.column("key").to_pylist()
