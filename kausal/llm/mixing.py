@@ -1,12 +1,13 @@
 """Mixing to target weights by soft membership (operator 7).
 
 A classifier learned from the labelled table gives each text a posterior over domains. A text's rate is the number of
-times it is to be used; projected gradient steps over the distributed rates make the expected tokens of each domain
+times it is to be used; projected Newton steps over the distributed rates make the expected tokens of each domain
 (rate x tokens x posterior) meet the targets.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from .common import cut, prepare, trimmed
 from .words import Rows, WordTable, gathered, portions, sampled, slots, three_hashes
 
-#: Slots of the features; most labelled texts of each domain; steps of the classifier; steps of the rates.
+#: Slots of the features; most labelled texts of each domain; steps of the classifier; passes over the
+#: rates that are usual at most (ten times as many are an error).
 BITS, PER_DOMAIN, FIT_STEPS, RATE_STEPS = 17, 1500, 150, 40
 #: Pull of the classifier's weights to zero; tokens over the least total when every row is to be used at least once.
 L1, HEADROOM = 4e-4, 1.02
+#: Most of the total that a domain may be off its target; pull of the rates' search to its centre.
+MISFIT, PROX = 1e-6, 1e-6
 DOMAINS = ("clean", "low_quality", "toxic")
 #: Production targets: shares of the tokens.
 TARGETS = {"clean": 0.78, "low_quality": 0.12, "toxic": 0.10}
@@ -141,50 +145,76 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
     return rows.mapInArrow(trimmed(run), "id long, tokens long, p array<double>")
 
 
-def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: float | None = None, least: float = 0.0, steps: int = RATE_STEPS) -> tuple[DataFrame, list[np.ndarray]]:
-    """soft with the column rate, and the domains' totals before each step.
+def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: float | None = None, least: float = 0.0, steps: int = 10 * RATE_STEPS) -> tuple[DataFrame, list[np.ndarray]]:
+    """soft with the column rate, and the domains' totals at each pass, the last those of the rates returned.
 
-    Least squares: the domains' totals S = sum(rate * tokens * p) against total * targets, the misfit measured by the
-    inverse of G = sum(tokens * p * p'), so that a step of one is safe; a row's step is p . G^-1 (S - T), then the
-    rate is put back to at least `least`. A row's rate follows from the steps so far by itself, so rates are never
-    stored or moved; each step sends one number a domain to the driver. Without a total: the tokens as they are, or,
-    with a positive least rate, HEADROOM times the least total for which no domain has to shrink: at that total itself
-    texts of mixed posteriors would have to fall below `least`, and the steps would near the targets slowly.
+    Of all rates of at least `least` whose totals S = sum(rate * tokens * p) meet T = total * targets, those nearest to
+    1 (to `least` if that is more) in the sum of tokens * (rate - 1)^2: a row's rate is max(least, 1 + p . pull), with one
+    pull a domain, so rates are never stored or moved. Newton steps on the rows over `least` find the pulls; each pass
+    sends k * (k + 3) / 2 + 1 numbers to the driver. The pull of G = sum(tokens * p * p') on the pulls, PROX, is taken
+    off again by renewed centres, until no domain is over MISFIT of the total off. Targets out of reach: the centres
+    stop helping, the totals are then as near (measured by the inverse of G) as they get, and a warning says how far
+    off. Not settled after `steps` passes: an error. Without a total: the tokens as they are, or, with a positive
+    least rate, HEADROOM times the least total for which no domain has to shrink: at that total itself texts of mixed
+    posteriors would have to fall below `least`.
     """
-    k = len(names)
+    k, base = len(names), max(1.0, float(least))
     t = np.array([targets.get(n, 0.0) for n in names])
     t = t / t.sum()
-    pair = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-    first = soft.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)], *pair).first()
-    natural = np.array([x or 0.0 for x in first[:k]])
-    g = np.array([x or 0.0 for x in first[k:]]).reshape(k, k)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    history: list[np.ndarray] = []
+
+    def rate(pull: np.ndarray):
+        return F.greatest(F.lit(float(least)), sum((F.col("p")[i] * F.lit(float(pull[i])) for i in range(k)), F.lit(base)))
+
+    def measure(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The totals, sum(tokens * p * p') of the rows that may move, and sum(tokens * (rate - base)^2)."""
+        if len(history) >= steps:
+            raise ArithmeticError(f"mixing: not settled after {steps} passes, totals {history[-1].tolist()}")
+        found = soft.select("tokens", "p", rate(pull).alias("r")).withColumn("_w", F.when((F.col("r") > float(least)) | F.lit(not pull.any()), F.col("tokens")).otherwise(0))
+        sums = [F.col("r") * F.col("tokens") * F.col("p")[i] for i in range(k)] + [F.col("_w") * F.col("p")[i] * F.col("p")[j] for i, j in pairs]
+        got = np.array([x or 0.0 for x in found.agg(*map(F.sum, [*sums, F.col("tokens") * (F.col("r") - base) ** 2])).first()])
+        h = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k:-1], strict=True):
+            h[i, j] = h[j, i] = x
+        history.append(got[:k])
+        return got[:k], h, float(got[-1])
+
+    pull = np.zeros(k)
+    s, g, q = measure(pull)
+    h, natural = g, s / base
     if total is None:
         total = float(natural.sum()) if least <= 0 else HEADROOM * float(max((natural[i] * least / t[i] for i in range(k) if t[i] > 0), default=0.0))
-    inverse = np.linalg.pinv(g, hermitian=True)
-    moves: list[np.ndarray] = []
-
-    def rate():
-        if not moves:
-            return F.lit(1.0)
-        hist = F.array(*[F.array(*map(F.lit, m.tolist())) for m in moves])
-        dot = lambda y: sum((F.col("p")[i] * y[i] for i in range(1, k)), F.col("p")[0] * y[0])
-        return F.aggregate(hist, F.lit(1.0), lambda r, y: F.greatest(F.lit(float(least)), r - dot(y)))
-
-    history = []
-    for _ in range(steps):
-        s = np.array([x or 0.0 for x in soft.select("tokens", "p", rate().alias("r")).agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()])
-        history.append(s)
-        if not s.sum() or np.abs(s - total * t).max() <= 1e-6 * total:
-            break
-        moves.append(inverse @ (s - total * t))
-    return soft.withColumn("rate", rate()), history
+    off = lambda x: float(np.abs(x - total * t).max())
+    last, turn = np.inf, 0
+    while s.any() and off(s) > MISFIT * total and off(s) <= last / 2:
+        last, centre, turn = off(s) if turn else np.inf, pull, turn + 1
+        value = lambda x, s, q, c=centre: x @ (s - total * t) - q / 2 + PROX / 2 * (x - c) @ g @ (x - c)
+        while off(s) > MISFIT * total:
+            slope = s - total * t + PROX * g @ (pull - centre)
+            step = -np.linalg.pinv(h + PROX * g, rcond=1e-12, hermitian=True) @ slope
+            if -slope @ step <= 1e-14 * total:
+                break
+            size, before = 1.0, value(pull, s, q)
+            new = measure(pull + step)
+            while value(pull + size * step, new[0], new[2]) > before + 1e-4 * size * (slope @ step) and size > 1e-6:
+                size /= 2
+                new = measure(pull + size * step)
+            if size <= 1e-6:  # no lower value to be told from rounding
+                history.append(s)
+                break
+            pull, (s, h, q) = pull + size * step, new
+    if s.any() and off(s) > MISFIT * total:
+        shares = {n: (round(float(x), 6), round(float(y), 6)) for n, x, y in zip(names, s / total, t, strict=True)}
+        warnings.warn(f"mixing: targets out of reach with rates of at least {least}; of {total:.0f} tokens (share, target): {shares}", RuntimeWarning, stacklevel=2)
+    return soft.withColumn("rate", rate(pull)), history
 
 
 def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, tokens, p_<domain> and rate.
 
     Null and empty texts have no tokens and get the rate that their posterior gives; null ids stay null; repeated
-    rows each count; empty tables give no rows; other columns are not looked at.
+    rows each count; empty tables give no rows; other columns are not looked at. Targets out of reach are warned of.
     """
     prepare(docs.sparkSession)
     model = fit_domains(docs, labels.select(id_col, domain_of().alias("domain")), id_col, text_col)

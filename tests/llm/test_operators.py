@@ -184,6 +184,26 @@ def test_mixing(spark):
     assert out.columns == df.columns and out.select("doc_id").distinct().count() == 301
 
 
+def test_rare_domains_meet_their_targets(spark):
+    """Few rows of two domains, and other rows of mixed posteriors, which all have to stay."""
+    rng, names = np.random.default_rng(8), list(mixing.DOMAINS)
+    rows = []
+    for i in range(4000):
+        k = 0 if i >= 60 else 1 + (i < 20)
+        p = np.full(3, 0.002) + (0 if k else rng.exponential(1) ** 3 * np.array([0, 0.0005, 0.0014]))
+        p[k] += 1
+        rows.append((i, int(rng.integers(20, 400)), (p / p.sum()).tolist()))
+    soft = spark.createDataFrame(rows, "id long, tokens long, p array<double>").cache()
+    got, history = mixing.rates(soft, mixing.TARGETS, names, least=1.0)
+    found = got.collect()
+    s = np.array([sum(r.rate * r.tokens * r.p[k] for r in found) for k in range(3)])
+    assert min(r.rate for r in found) >= 1 and np.allclose(s, history[-1])
+    assert np.abs(s / s.sum() - [mixing.TARGETS[n] for n in names]).max() < 2e-6
+    with pytest.warns(RuntimeWarning, match="out of reach"):
+        alike = spark.createDataFrame([(i, 10, [1 / 3] * 3) for i in range(9)], "id long, tokens long, p array<double>")
+        assert len(mixing.rates(alike, mixing.TARGETS, names)[1]) <= 3
+
+
 def test_pipeline_keeps_whole_rows(spark):
     import corpus_pipeline
 
