@@ -172,7 +172,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that have no language (`und`); all columns stay. Decided row by row, without a shuffle."""
+    """docs without the rows that have no language (`und`); all columns stay. Decided row by row, without a shuffle.
+    Without a learnable row there is no model: then texts that have a letter stay, as a model rejects no other texts."""
     prepare(docs.sparkSession)
     model = fit(docs, learning(docs, id_col), id_col=id_col, text_col=text_col)
     at = docs.columns.index(text_col)
@@ -182,7 +183,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = []
             for text in x.column(at).to_pylist():
                 counts, any_letter = char_counts(text or "")
-                keep.append(bool(model and any_letter and model.predict(counts)[0] != UNDETERMINED))
+                keep.append(any_letter and (model is None or model.predict(counts)[0] != UNDETERMINED))
             yield x.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(trimmed(run), docs.schema)

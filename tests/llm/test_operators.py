@@ -160,6 +160,11 @@ def labelled(spark):
     return spark.createDataFrame(rows + [(999, None)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels
 
 
+def test_texts_with_a_letter_stay_without_a_model(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, "123 !", None), (3, None, None), (None, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in langid.keep_identified(df).collect()) == ["some text", "é"]
+
+
 def test_quality_and_toxicity(spark):
     df, table, labels = labelled(spark)
     common.prepare(spark)
