@@ -87,6 +87,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id is among ids, and those with a null id, which pass by the join."""
+    return df.join(ids, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+
+
 def crc_mod(doc_id, mod: int):
     """crc32 of an id as text, modulo mod, as a Column."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SALTS, UPPER, cut, prepare, salted, salts_of, trimmed
+from .common import LOWER, SALTS, UPPER, cut, prepare, salted, salts_of, trimmed, with_ids
 
 
 def normal_bytes(text: str | None) -> bytes:
@@ -65,9 +65,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text is another row's; all columns stay."""
+    """docs without the rows whose text is another row's; all columns stay. Rows with a null id can't be told apart: all
+    of them stay, and no other row goes for them."""
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    return with_ids(docs, kept, id_col)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

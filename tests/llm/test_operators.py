@@ -56,6 +56,14 @@ def test_exact_dedup(spark):
     assert exact_dedup.drop_copies(docs(spark, texts)).columns == ["doc_id", "text", "norm"]
 
 
+def test_dedup_stages_keep_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "A b c"), (None, "a b c"), (None, "other"), (3, None)], "doc_id long, text string")
+    rows = lambda x: sorted(((r.doc_id, r.text) for r in x.collect()), key=str)
+    nulls = [(None, "a b c"), (None, "other")]
+    assert rows(exact_dedup.drop_copies(df)) == sorted([(2, "A b c"), (3, None), *nulls], key=str)
+    assert rows(minhash.drop_near_copies(df)) == sorted([(1, "a b c"), (3, None), *nulls], key=str)
+
+
 @pytest.mark.parametrize("chunk", [1024, 7])
 def test_near_dedup(spark, chunk):
     rng = random.Random(2)
