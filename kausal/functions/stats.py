@@ -48,13 +48,6 @@ def guarded_corr(n: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
     return F.when((n < 2) | (~F.isnan(norms) & (norms <= TINY)), F.lit(0.0)).otherwise(clipped)
 
 
-def partial_step(xy: Column, xz: Column, yz: Column) -> Column:
-    """One step of the recursion; a NaN in xz or yz makes the denominator 0 and so the result 0."""
-    product = (1.0 - xz * xz) * (1.0 - yz * yz)
-    denom = F.when(F.isnan(product) | (product < 0), F.lit(0.0)).otherwise(F.sqrt(product))
-    return F.when(denom <= TINY, F.lit(0.0)).otherwise((xy - xz * yz) / denom)
-
-
 def fisher_z(rho: Column, n: Column | int, k: Column | int) -> Column:
     """Fisher's z statistic; 0 where the conditioning set is too large for n, infinite where |rho| >= 1."""
     n, k = (v if isinstance(v, Column) else F.lit(v) for v in (n, k))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The names of the metrics, in the order of the report.
 KEYS = ("Precision", "Recall_TPR", "F1", "FDR", "FPR", "SHD", "TP", "FP", "FN", "TN")
 
 
@@ -68,3 +70,23 @@ def align(truth_names: DataFrame, variables: DataFrame) -> DataFrame:
     """(src, dst) by the dataset's indices, of edges (src_name, dst_name) whose ends are both in it."""
     v = lambda n, i: variables.select(F.col("name").alias(n), F.col("idx").alias(i))
     return truth_names.join(v("src_name", "src"), "src_name").join(v("dst_name", "dst"), "dst_name").select("src", "dst").distinct()
+
+
+def by_recovery(truth_names: DataFrame, variables: DataFrame) -> DataFrame:
+    """(src_name, dst_name, recoverable): each edge of a reference graph, and whether both its ends are in the dataset."""
+    v = lambda n, flag: variables.select(F.col("name").alias(n), F.lit(True).alias(flag)).distinct()
+    both = truth_names.select("src_name", "dst_name").distinct().join(v("src_name", "_s"), "src_name", "left").join(v("dst_name", "_d"), "dst_name", "left")
+    return both.select("src_name", "dst_name", (F.col("_s").isNotNull() & F.col("_d").isNotNull()).alias("recoverable"))
+
+
+def missing_edges(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(src, dst) of the reference graph, by index, that the found arrows don't have."""
+    return truth.where("src <> dst").select("src", "dst").distinct().join(found.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def dense_matrix(arrows: DataFrame, n_vars: int) -> np.ndarray:
+    """The arrows as an n x n matrix of 0 and 1 on the driver."""
+    out = np.zeros((n_vars, n_vars), int)
+    for src, dst in arrows.select("src", "dst").collect():
+        out[src, dst] = 1
+    return out

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import guarded_corr
 
-#: Widest table whose moments are one aggregate: beyond it the generated code grows too long, and the Gram path is faster.
-NARROW = 11
+#: Tasks of the first round in which the parts of the moments are merged.
+MERGERS = 16
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,42 +22,62 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("e")).select("e.*")
 
 
-def moments(df: DataFrame, columns: list[str], path: str = "auto") -> DataFrame:
-    """(n, i, j, sxy) for i <= j: centred sums of products. path: "aggregate", "gram" or "auto" by the width."""
-    if path == "auto":
-        path = "aggregate" if len(columns) <= NARROW else "gram"
-    data = df.select([F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    return _by_aggregate(data, len(columns)) if path == "aggregate" else _by_gram(data, len(columns))
+def _merge(a: tuple | None, b: tuple) -> tuple:
+    """(n, means, centred products) of two sets of rows."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    with np.errstate(all="ignore"):
+        d = b[1] - a[1]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def _one(total: tuple | None) -> Iterator[pa.RecordBatch]:
+    if total is not None:
+        kinds = (pa.int64(), *[pa.list_(pa.float64())] * 2)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((total[0], total[1], total[2].ravel()), kinds, strict=True)], ["n", "means", "sums"])
+
+
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for x in batches:
+        if x.num_rows:
+            m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in x.columns])
+            with np.errstate(all="ignore"):
+                mean = m.mean(axis=0)
+                m = m - mean
+                total = _merge(total, (x.num_rows, mean, m.T @ m))
+    yield from _one(total)
+
 
+def _of_parts(batches: Iterator[pa.RecordBatch]) -> tuple | None:
+    total = None
+    for x in batches:
+        for n, mean, sums in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            mean = np.array(mean)
+            total = _merge(total, (n, mean, np.array(sums).reshape(len(mean), -1)))
+    return total
 
-def _by_aggregate(data: DataFrame, p: int) -> DataFrame:
-    data.sparkSession.conf.set("spark.sql.codegen.maxFields", "10000")
-    pairs = list(combinations_with_replacement(range(p), 2))
-    n = F.count("*")
-    parts = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.covar_pop(f"x{i}", f"x{j}") * n).alias("sxy")) for i, j in pairs]
-    return data.agg(n.alias("n"), F.array(*parts).alias("a")).select("n", F.explode("a").alias("e")).select("n", "e.i", "e.j", "e.sxy")
 
+def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = _of_parts(batches)
+    if total is not None:
+        i, j = np.triu_indices(len(total[1]))
+        cols = [np.full(len(i), total[0], np.int64), i.astype(np.int32), j.astype(np.int32), total[2][i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["n", "i", "j", "sxy"])
 
-def _by_gram(data: DataFrame, p: int) -> DataFrame:
-    """One Gram matrix a task, of rows less the column means (a first pass); matrices add up, so a shuffle of p*p/2 keys merges them."""
-    means = np.array([v if v is not None else 0.0 for v in data.agg(*[F.avg(c) for c in data.columns]).first()])
-    i_of, j_of = np.triu_indices(p + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((p + 1, p + 1))
-        for x in batches:
-            if x.num_rows:
-                m = np.column_stack([np.ones(x.num_rows), *[c.to_numpy(zero_copy_only=False) for c in x.columns]])
-                m[:, 1:] -= means
-                total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(i_of.astype(np.int32) - 1), pa.array(j_of.astype(np.int32) - 1), pa.array(total[i_of, j_of])], ["i", "j", "s"])
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(n, i, j, sxy) for i <= j: centred sums of products, in one pass over the rows.
 
-    sums = data.mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    n = sums.where("i = -1 and j = -1").select(F.col("s").cast("long").alias("n"))
-    off = sums.where("i = -1 and j >= 0")
-    a, b = off.select(F.col("j").alias("i"), F.col("s").alias("si")), off.select("j", F.col("s").alias("sj"))
-    centred = sums.where("i >= 0").join(a, "i").join(b, "j").join(F.broadcast(n))
-    return centred.select("n", "i", "j", (F.col("s") - F.try_divide(F.col("si") * F.col("sj"), F.col("n").cast("double"))).alias("sxy"))
+    n counts all rows; a column with a NULL or NaN has NaN for every sum it is in, others are not touched by it; an empty
+    table gives no rows. Each task leaves one row (count, means, centred products), and these are merged in two rounds.
+    """
+    at = [df.columns.index(c) for c in columns]
+    named = df.toDF(*[f"x{k}" for k in range(len(df.columns))])  # by place: names may differ in case only
+    parts = named.select([F.col(f"x{k}").cast("double").alias(f"v{i}") for i, k in enumerate(at)]).mapInArrow(_of_rows, "n long, means array<double>, sums array<double>")
+    some = parts.repartition(MERGERS).mapInArrow(lambda b: _one(_of_parts(b)), "n long, means array<double>, sums array<double>")
+    return some.repartition(1).mapInArrow(_to_pairs, "n long, i int, j int, sxy double")
 
 
 def correlations(stats: DataFrame) -> DataFrame:
@@ -81,8 +100,8 @@ class Correlations:
         return len(self.names)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], path: str = "auto") -> Correlations:
-    stats = moments(df, columns, path).collect()
+def correlation_matrix(df: DataFrame, columns: list[str]) -> Correlations:
+    stats = moments(df, columns).collect()
     p = len(columns)
     s, n = np.zeros((p, p)), int(stats[0]["n"]) if stats else 0
     for row in stats:

@@ -76,9 +76,8 @@ def cpdag(edges: DataFrame, sepset: DataFrame) -> DataFrame:
     known = {(r[0], r[1]) for r in conflict_free(raw).collect()}
     while True:
         arrows = spark.createDataFrame(sorted(known), "src int, dst int").coalesce(1)
-        new = set()
-        for rule in (1, 2, 3):
-            new |= {(r[0], r[1]) for r in meek(edges, arrows, rule, frozen).collect()}
+        added = meek(edges, arrows, 1, frozen).union(meek(edges, arrows, 2, frozen)).union(meek(edges, arrows, 3, frozen))
+        new = {(r[0], r[1]) for r in added.collect()}
         new = {(a, b) for a, b in new if (b, a) not in new}
         if not new:
             return arrows

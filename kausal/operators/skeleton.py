@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import CI_TESTS, TINY, partial_step
+from ..functions.stats import CI_TESTS, TINY
 from .moments import Correlations
 
 
@@ -47,27 +48,10 @@ def candidates(edges: DataFrame, k: int, sides: str = "first") -> DataFrame:
     return out.distinct() if sides == "both" else out
 
 
-def with_rho(rows: DataFrame, matrix: Correlations, given: list[Column]) -> DataFrame:
-    """rows (i, j, ...) with rho, the partial correlation of i and j given these variables in their order.
-
-    The matrix is one literal. Stage t holds the correlations, given the first t variables, of all pairs that later
-    stages need, so the work grows with the cube of the set's size and no expression is written out twice.
-    """
-    flat, p, k = F.lit([float(v) for v in matrix.r.ravel()]), matrix.p, len(given)
-    ends = [F.col("i"), F.col("j"), *given]
-    own = rows.columns
-    name = lambda t, a, b: f"_r{t}_{min(a, b)}_{max(a, b)}"
-    pairs = lambda t: [(a, b) for a in range(k + 2) for b in range(a + 1, k + 2) if all(v < 2 or v >= t + 2 for v in (a, b))]
-    out = rows.select("*", *[F.get(flat, ends[a] * p + ends[b]).alias(name(0, a, b)) for a, b in pairs(0)])
-    for t in range(k):
-        z = t + 2
-        out = out.select(*own, *[partial_step(F.col(name(t, a, b)), F.col(name(t, a, z)), F.col(name(t, b, z))).alias(name(t + 1, a, b)) for a, b in pairs(t + 1)])
-    return out.select(*own, F.col(name(k, 0, 1)).alias("rho"))
-
-
 def _rho_batches(r: np.ndarray):
-    """The same over Arrow batches; the planner does not push the verdict's filter through it, which would write every
-    stage's expression out again at each use."""
+    """Partial correlations of i and j given s, one variable after the other. Stage t holds the correlations, given the
+    first t variables, of all pairs that later stages need, so the work grows with the cube of the set's size. Over
+    batches: as Columns, the planner wrote every stage's expression out again at each use."""
 
     def step(xy, xz, yz):
         product = (1 - xz * xz) * (1 - yz * yz)
@@ -78,7 +62,7 @@ def _rho_batches(r: np.ndarray):
         for f in frames:
             if not len(f):
                 continue
-            ends = np.column_stack([f["i"], f["j"], np.array(f["s"].tolist(), np.int64).reshape(len(f), -1)]).T
+            ends = np.column_stack([f["i"], f["j"], np.array(f["s"].tolist(), np.int64).reshape(len(f), len(f["s"].iloc[0]))]).T
             with np.errstate(all="ignore"):
                 now = {(a, b): r[ends[a], ends[b]] for a in range(len(ends)) for b in range(a + 1, len(ends))}
                 for z in range(2, len(ends)):
@@ -88,23 +72,35 @@ def _rho_batches(r: np.ndarray):
     return run
 
 
+def partial_correlations(rows: DataFrame, matrix: Correlations) -> DataFrame:
+    """rows (i, j, s), the sets of one size, with rho."""
+    return rows.select("i", "j", "s").mapInPandas(_rho_batches(matrix.r), "i int, j int, s array<int>, rho double")
+
+
 def ci_tests(rows: DataFrame, matrix: Correlations, k: int, alpha: float, test: str = "fisher_z") -> DataFrame:
-    """rows (i, j, s) with rho, z and the verdict indep."""
-    if k:
-        out = rows.mapInPandas(_rho_batches(matrix.r), "i int, j int, s array<int>, rho double")
-    else:
-        out = with_rho(rows, matrix, [])
+    """rows (i, j, s), sets of size k, with rho, z and the verdict indep."""
     z, indep = CI_TESTS[test](F.col("rho"), matrix.n, k, alpha)
-    return out.withColumn("z", z).withColumn("indep", indep)
+    return partial_correlations(rows, matrix).withColumn("z", z).withColumn("indep", indep)
+
+
+def _take_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    gone: set[tuple[int, int]] = set()
+    for x in batches:
+        took = []
+        for i, j, s in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            ok = (i, j) not in gone and not any((min(i, m), max(i, m)) in gone for m in s)
+            took.append(ok)
+            if ok:
+                gone.add((i, j))
+        yield x.filter(pa.array(took, pa.bool_()))
 
 
 def fold(indep: DataFrame) -> DataFrame:
-    """The accepted (i, j, s) in order: their edge stands, and so do the edges from i to all of s."""
-    gone = "exists(acc, r -> r.i = t.i and r.j = t.j)"
-    cut = "exists(t.s, m -> exists(acc, r -> r.i = least(t.i, m) and r.j = greatest(t.i, m)))"
-    empty = "cast(array() as array<struct<i: int, j: int, s: array<int>>>)"
-    rows = indep.agg(F.array_sort(F.collect_list(F.struct("i", "j", "s"))).alias("rows"))
-    return rows.select(F.explode(F.expr(f"aggregate(rows, {empty}, (acc, t) -> if({gone} or {cut}, acc, concat(acc, array(t))))")).alias("r")).select("r.*")
+    """The accepted (i, j, s) in order: their edge stands, and so do the edges from i to all of s.
+
+    The order decides, so one task reads the sorted rows; it streams them and holds the removed edges only."""
+    ordered = indep.select("i", "j", "s").repartition(1).sortWithinPartitions("i", "j", "s")
+    return ordered.mapInArrow(_take_in_order, "i int, j int, s array<int>")
 
 
 def first_sets(indep: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ class PCResult:
             out[r["j"]].add(r["i"])
         return out
 
+    def summary(self, names: Sequence[str] | None = None) -> str:
+        """The report of the graph; without names the variables are "0", "1" and so on."""
+        spark, n = self.variables.sparkSession, self.variables.count()
+        given = list(names) if names is not None else [str(k) for k in range(n)]
+        return as_text(report_graph(spark.createDataFrame(list(enumerate(given)), "idx int, name string").coalesce(1), self.edges, self.arrows))
+
+    def matrix(self) -> np.ndarray:
+        """The arrows as a dense matrix of 0 and 1."""
+        return evaluate.dense_matrix(self.arrows, self.variables.count())
+
 
 def search(spark: SparkSession, matrix: Correlations, alpha: float = 0.05, max_cond_set_size: int | None = None, mode: str = "observed", **options) -> PCResult:
     """The graph of a correlation matrix. mode "observed": colliders as they come, both arrows on a conflict;
@@ -49,11 +60,11 @@ def search(spark: SparkSession, matrix: Correlations, alpha: float = 0.05, max_c
     return PCResult(variables, found.edges, found.sepset, arrows, found.trace)
 
 
-def discover(df: DataFrame, alpha: float = 0.05, max_cond_set_size: int | None = None, variable_names: Sequence[str] | None = None, mode: str = "observed", path: str = "auto", **options) -> PCResult:
+def discover(df: DataFrame, alpha: float = 0.05, max_cond_set_size: int | None = None, variable_names: Sequence[str] | None = None, mode: str = "observed", **options) -> PCResult:
     """The causal graph of df's numeric columns, in their order. variable_names is accepted and not used."""
     if len(df.columns) < 2:
         raise ValueError("At least two variables are required")
-    return search(df.sparkSession, correlation_matrix(df, df.columns, path), alpha, max_cond_set_size, mode, **options)
+    return search(df.sparkSession, correlation_matrix(df, df.columns), alpha, max_cond_set_size, mode, **options)
 
 
 def sweep(df: DataFrame, alphas: Sequence[float], sizes: Sequence[int], order: list[str] | None = None, steps: Sequence[int] = (1,), **options) -> list[dict]:
@@ -69,8 +80,13 @@ def sweep(df: DataFrame, alphas: Sequence[float], sizes: Sequence[int], order: l
     return out
 
 
-def run_case(spark: SparkSession, dataset_path: str, truth_path: str, alpha: float = 0.01, max_cond_set_size: int = 2, mode: str = "observed") -> str:
+# The files that are taken when none are named, and the parameters of the runner.
+DATASET, TRUTH, ALPHA, SIZE = "DatasetUF.csv", "UFGroundTruth.txt", 0.01, 2
+
+
+def run_case(spark: SparkSession, dataset_path: str | None = None, truth_path: str | None = None, alpha: float = ALPHA, max_cond_set_size: int = SIZE, mode: str = "observed") -> str:
     """The report of a dataset against a reference graph; a missing or unreadable graph only skips the scores."""
+    dataset_path, truth_path = dataset_path or DATASET, truth_path or TRUTH
     data = load_dataset(spark, dataset_path, drop_index=mode == "documented")
     result = discover(data.frame, alpha, max_cond_set_size, mode=mode)
     lines = [as_text(report_graph(result.variables, result.edges, result.arrows))]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import critical_z, fisher_z, independent, p_value
+from ..functions.stats import critical_z, p_value
 from ..operators import diagnostics, evaluate, moments, orient
 from ..operators import skeleton as sk
 from ..sources import datasets, truth
@@ -77,14 +77,13 @@ def queries() -> dict[str, Query]:
             rows = triples(s, m.p)
             if k == 2:
                 rows = rows.join(s.range(m.p).select(F.col("id").cast("int").alias("m2")), (F.col("m2") > F.col("m")) & (F.col("m2") != F.col("i")) & (F.col("m2") != F.col("j")))
-            given = [F.col("m")] + ([F.col("m2")] if k == 2 else [])
-            return sk.with_rho(rows, m, given).select("i", "j", "m", *(["m2"] if k == 2 else []), r6(F.col("rho"), "rho"))
+            rho = sk.partial_correlations(rows.withColumn("s", F.array("m", *(["m2"] if k == 2 else []))), m)
+            return rho.select("i", "j", F.col("s")[0].alias("m"), *([F.col("s")[1].alias("m2")] if k == 2 else []), r6(F.col("rho"), "rho"))
         return run
 
     def fisher(s, d):
         m = matrix1(s, d)
-        t = sk.with_rho(triples(s, m.p), m, [F.col("m")])
-        return t.withColumn("z", fisher_z(F.col("rho"), m.n, 1))
+        return sk.ci_tests(triples(s, m.p).withColumn("s", F.array("m")), m, 1, A1).withColumn("m", F.col("s")[0])
 
     def e2e(s, d):
         r = discover(views.v2(s, d), A2, 2)
@@ -96,14 +95,14 @@ def queries() -> dict[str, Query]:
         "column_filter": lambda s, d: small(s, [(n,) for n in datasets.from_frame(s.read.parquet(f"{d}/lineitem.parquet").selectExpr(
             "l_quantity", "if(l_linenumber = 7, null, l_tax) as gap", "l_discount", "l_returnflag", "l_quantity as DateTime")).names], "name string"),
         "corr_matrix": lambda s, d: moments.correlations(moments.moments(views.v1(s, d), views.V1)).select("i", "j", r6(F.col("r"), "r")),
-        "corr_gram": lambda s, d: moments.correlations(moments.moments(views.v2(s, d), views.V2, "gram")).select("i", "j", r6(F.col("r"), "r")),
+        "corr_gram": lambda s, d: moments.correlations(moments.moments(views.v2(s, d), views.V2)).select("i", "j", r6(F.col("r"), "r")),
         "corr_constant_guard": lambda s, d: moments.correlations(moments.moments(s.read.parquet(f"{d}/part.parquet").selectExpr("p_size", "5.0D as five", "p_retailprice"), ["p_size", "five", "p_retailprice"])).select("i", "j", r6(F.col("r"), "r")),
         "pair_grid": lambda s, d: sk.pair_grid(s, 11),
         "partial_corr_k1": ci(1),
         "partial_corr_k2": ci(2),
         "fisher_z": lambda s, d: fisher(s, d).select("i", "j", "m", r6(F.col("z"), "z")),
         "fisher_p": lambda s, d: fisher(s, d).select("i", "j", "m", r6(p_value(F.col("z")), "p")),
-        "ci_verdict": lambda s, d: fisher(s, d).select("i", "j", "m", independent(F.col("z"), A1).alias("indep")),
+        "ci_verdict": lambda s, d: fisher(s, d).select("i", "j", "m", "indep"),
         "combinations_k2": lambda s, d: sk.candidates(sk.skeleton(s, matrix2(s, d), A2, 0).edges, 2).select("i", "j", text_of("s", "s")),
         "skeleton_l0": skeleton_at(0),
         "skeleton_l1": skeleton_at(1),
@@ -133,6 +132,10 @@ def queries() -> dict[str, Query]:
         "lag1_autocorr": lambda s, d: diagnostics.lag1_autocorrelation(s.read.parquet(f"{d}/events.parquet").select("ts", "event_id", "value", "user_id"), ["value", "user_id"], ["ts", "event_id"]).select("name", "n", r6(F.col("r"), "r")),
         "thin_rows": lambda s, d: diagnostics.thin(s.read.parquet(f"{d}/events.parquet").select("ts", "event_id"), ["ts", "event_id"], 10).select("event_id"),
         "alpha_sweep": lambda s, d: small(s, [(r["alpha"], r["edges"]) for r in sweep(views.v2(s, d), [0.001, 0.01, 0.05, 0.2], [0])], "alpha double, edges long"),
+        "size_sweep": lambda s, d: small(s, [(r["size"], r["edges"], r["arrows"]) for r in sweep(views.v2(s, d), [A2], [0, 1, 2])], "size int, edges long, arrows long"),
+        "thin_sweep": lambda s, d: small(s, [(r["step"], r["n"], r["edges"]) for r in sweep(views.v3(s, d), [A1], [0], ["doc_id"], [1, 2, 5])], "step int, n long, edges long"),
+        "truth_recovery": lambda s, d: evaluate.by_recovery(small(s, [("A", "B"), ("X", "A"), ("C", "A"), ("B", "Y")], "src_name string, dst_name string"), small(s, list(enumerate(NAMES)), "idx int, name string")),
+        "truth_missing": lambda s, d: evaluate.missing_edges(pairs(s, TRUTH), pairs(s, PRED)),
         "discover_end_to_end": e2e,
     }
     for rule in (1, 2, 3):
@@ -228,6 +231,7 @@ u AS (SELECT i, j FROM adj WHERE NOT EXISTS (SELECT 1 FROM ar WHERE (src = i AND
     matrix_rows = ", ".join(f"({k}, '{line}')" for k, line in enumerate(MATRIX_LINES))
     name_rows = rows(list(enumerate(NAMES)))
     events = "SELECT value, user_id::DOUBLE AS user_id, lag(value) OVER w AS v0, lag(user_id::DOUBLE) OVER w AS u0, row_number() OVER w AS k FROM events WINDOW w AS (ORDER BY ts, event_id)"
+    thinned = lambda k: f"SELECT * EXCLUDE (doc_id, k) FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM ({views.V3_SQL})) WHERE k % {k} = 0"
     profile = " UNION ALL ".join(f"SELECT {i}::INT AS idx, '{c}' AS name, count(*) AS n, round(avg({c}), 4) AS mean, round(var_pop({c}), 2) AS var FROM d" for i, c in enumerate(views.V1))
     guard = "WITH " + _corr_cte("SELECT p_size::DOUBLE AS p_size, 5.0::DOUBLE AS five, p_retailprice FROM part", ["p_size", "five", "p_retailprice"])
     k2 = """SELECT a.i, a.j, a.m, b.m AS m2, round(CASE WHEN sqrt((1 - b1.rho * b1.rho) * (1 - b2.rho * b2.rho)) <= 1e-8 THEN 0.0 ELSE (a.rho - b1.rho * b2.rho) / sqrt((1 - b1.rho * b1.rho) * (1 - b2.rho * b2.rho)) END, 6) + 0.0 AS rho
@@ -277,6 +281,10 @@ count(*) FILTER (p.s <> t.s AND p.s <> '-' AND NOT {turned}) AS other FROM p JOI
         "lag1_autocorr": f"WITH l AS ({events}) SELECT 'value' AS name, count(*) AS n, {six('corr(value, v0)')} AS r FROM l WHERE k > 1 UNION ALL SELECT 'user_id', count(*), {six('corr(user_id, u0)')} FROM l WHERE k > 1",
         "thin_rows": "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k % 10 = 0",
         "alpha_sweep": " UNION ALL ".join(f"SELECT * FROM ({_pc_cte(views.V2_SQL, views.V2, al, 0)} SELECT {al}::DOUBLE AS alpha, count(*) AS edges FROM e)" for al in (0.001, 0.01, 0.05, 0.2)),
+        "size_sweep": " UNION ALL ".join(f"SELECT * FROM ({pc(k)} SELECT {k}::INT AS size, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM arr) AS arrows)" for k in (0, 1, 2)),
+        "thin_sweep": " UNION ALL ".join(f"SELECT * FROM ({_pc_cte(thinned(k), views.V3[:-1], A1, 0)} SELECT {k}::INT AS step, (SELECT n FROM n) AS n, (SELECT count(*) FROM e) AS edges)" for k in (1, 2, 5)),
+        "truth_recovery": f"WITH v(idx, name) AS (VALUES {name_rows}), t(a, b) AS (VALUES ('A', 'B'), ('X', 'A'), ('C', 'A'), ('B', 'Y')) SELECT a AS src_name, b AS dst_name, a IN (SELECT name FROM v) AND b IN (SELECT name FROM v) AS recoverable FROM t",
+        "truth_missing": f"SELECT * FROM (VALUES {rows(TRUTH)}) t(src, dst) EXCEPT SELECT * FROM (VALUES {rows(PRED)}) p(src, dst)",
         "discover_end_to_end": f"{pc()} SELECT 'edge' AS kind, i AS a, j AS b FROM e UNION ALL SELECT 'arrow', src, dst FROM arr",
         "meek_r1": f"{free} SELECT DISTINCT u.i AS src, u.j AS dst FROM ar JOIN u ON ar.dst = u.i AND ar.src <> u.j WHERE {apart('ar.src', 'u.j')}",
         "meek_r2": f"{free} SELECT DISTINCT u.i AS src, u.j AS dst FROM u JOIN ar x ON x.src = u.i JOIN ar y ON y.src = x.dst AND y.dst = u.j",

@@ -33,11 +33,11 @@ def read_text(spark: SparkSession, path: str, message: str) -> DataFrame:
         raise
 
 
-def header_names(line: str) -> list[str]:
+def column_names(header: list[str | None]) -> list[str]:
     """A blank header becomes `Unnamed: k`; a repeated one gets .1, .2 and so on."""
     names, seen = [], set()
-    for k, raw in enumerate(next(csv.reader([line]))):
-        base = raw if raw.strip() else f"Unnamed: {k}"
+    for k, raw in enumerate(header):
+        base = raw if raw and raw.strip() else f"Unnamed: {k}"
         name, n = base, 0
         while name in seen:
             n += 1
@@ -47,6 +47,10 @@ def header_names(line: str) -> list[str]:
     return names
 
 
+def header_names(line: str) -> list[str]:
+    return column_names(next(csv.reader([line])))
+
+
 def as_number(token: Column) -> Column:
     """A token's number; NULL if it is none. Infinities count as numbers."""
     t = F.trim(token)
@@ -78,21 +82,29 @@ def numeric_columns(df: DataFrame, names: list[str], drop_index: bool = False) -
 
 
 def load_dataset(spark: SparkSession, path: str, drop_index: bool = False) -> Dataset:
-    first = read_text(spark, path, "Dataset not found").where("trim(value) <> ''").first()
-    if first is None:
+    """A CSV file's numeric columns. Names may differ in case only: later steps take columns by place. A line with an odd
+    number of quotes means that a quoted cell holds a line feed; only then files are read whole, one task each."""
+    lines = read_text(spark, path, "Dataset not found")
+    top = lines.where("trim(value) <> ''").first()
+    if top is None:
         raise ValueError("No numeric columns were found in the dataset")
-    names = header_names(first[0].lstrip("﻿"))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    broken = not lines.where(odd).isEmpty()
+    header = next(csv.reader([top[0]])) if top[0].count('"') % 2 == 0 else list(spark.read.csv(path, multiLine=True).first())
+    names = column_names([header[0].lstrip("\ufeff") if header[0] else "", *header[1:]])
     schema = ", ".join(f"c{k} string" for k in range(len(names)))
-    return numeric_columns(spark.read.csv(path, schema=schema, header=True, enforceSchema=True), names, drop_index)
+    return numeric_columns(spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=broken), names, drop_index)
 
 
 def from_frame(df: DataFrame) -> Dataset:
     """A DataFrame's numeric columns without missing values, by the same rule (NULL and NaN are missing)."""
-    numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "boolean") or f.dataType.typeName().startswith("decimal")]
-    numeric = [c for c in numeric if c != "DateTime"]
-    q = lambda c: F.col(f"`{c}`").cast("double")
-    row = df.agg(F.count("*").alias("n"), *[F.count_if(q(c).isNull() | F.isnan(q(c))).alias(f"m{k}") for k, c in enumerate(numeric)]).first()
-    keep = [c for k, c in enumerate(numeric) if row["n"] and not row[f"m{k}"]]
+    kinds = ("byte", "short", "integer", "long", "float", "double", "boolean")
+    at = [k for k, f in enumerate(df.schema.fields) if f.name != "DateTime" and (f.dataType.typeName() in kinds or f.dataType.typeName().startswith("decimal"))]
+    named = df.toDF(*[f"x{k}" for k in range(len(df.columns))])
+    q = lambda k: F.col(f"x{k}").cast("double")
+    row = named.agg(F.count("*").alias("n"), *[F.count_if(q(k).isNull() | F.isnan(q(k))).alias(f"m{k}") for k in at]).first()
+    keep = [k for k in at if row["n"] and not row[f"m{k}"]]
     if not keep:
         raise ValueError("No numeric columns were found in the dataset")
-    return Dataset(df.select([q(c).alias(c) for c in keep]), keep)
+    frame = named.select([q(k).alias(df.columns[k]) for k in keep])
+    return Dataset(frame, frame.columns)

@@ -11,7 +11,7 @@ WHOLE = r"^[+-]?\d+(_\d+)*$"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a small text file, in its order."""
+    """(pos, line) of a text file, in its order. One task reads it whole: graphs are of the size of the variables squared."""
     read_text(spark, path, "Ground truth file not found")
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("pos", "line"))
 
