@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
-import uuid
 import weakref
 import zipfile
 import zlib
@@ -18,16 +17,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, new_path, release, shared_dir, temporary
+
+__all__ = ["cut", "new_path", "release", "shared_dir", "temporary"]
+
+#: Rows that a function holds at once. Spark's own bound of a batch is 64 MB.
+ROWS = 512
 #: Salts of a hot group; a bit mask in a long holds which of them a group has.
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
-def prepare(spark: SparkSession, rows_per_batch: int = 512) -> None:
-    """Sends this package to the executors once, and bounds Arrow batches, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def prepare(spark: SparkSession) -> None:
+    """Sends this package to the executors once. No setting of the session is changed."""
     sc = spark.sparkContext
     if sc in _shipped:
         return
@@ -47,49 +50,51 @@ def give_back() -> None:
         trim(0)
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, after which the worker gives its free memory back: later stages use the same workers again."""
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = ROWS):
+    """run over pieces of at most `rows` rows, as texts may be long, after which the worker gives its free memory back:
+    later stages use the same workers again."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(x.slice(k, rows) for x in batches for k in range(0, x.num_rows, rows))
         finally:
             give_back()
 
     return f
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in local mode."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"kausal-checkpoints-{os.getuid()}")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/kausal-{kind}-{uuid.uuid4().hex}"
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """Ends the lineage of df: a Parquet table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def digest_of(text_col: str):
+    """The SHA-256 of a text's bytes as a Column, null counting as empty: with the id, the key of a row."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def only(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of docs, one row for each row (id, digest, copies) of chosen, a table: that id, or null, with the text of that digest.
 
-
-def with_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of df whose id is among ids, and those with a null id, which pass by the join."""
-    return df.join(ids, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    copies: how many rows of docs are of that id and digest; only where they are several is a choice made among them: the
+    least by the other columns that have an order, any one if no such column tells them apart.
+    """
+    own = docs.columns
+    key, digest = fresh(docs, "row_id"), fresh(docs, "row_digest")
+    keyed = docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), digest: digest_of(f"`{text_col}`")})
+    c = chosen.select(F.col("id").alias("_i"), F.col("digest").alias("_d"), F.col("copies").alias("_n"))
+    same = keyed[key].eqNullSafe(c["_i"]) & (keyed[digest] == c["_d"])
+    single = keyed.join(c.where("_n = 1"), same, "left_semi").select(*own)
+    if chosen.where("copies > 1").isEmpty():
+        return single
+    again = keyed.join(c.where("_n > 1"), same, "left_semi")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() not in ("variant", "calendarinterval")]
+    order, row = F.struct(*[F.col(f"`{n}`") for n in plain]), F.struct(*[F.col(f"`{n}`") for n in own])
+    best = F.min(row) if plain == own else F.min_by(row, order)
+    return single.unionByName(again.groupBy(key, digest).agg(best.alias("_row")).select("_row.*"))
 
 
 def crc_mod(doc_id, mod: int):
@@ -131,15 +136,15 @@ def salted(df: DataFrame, id_col: str) -> DataFrame:
     return df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
 
 
-def groups_by_key(df: DataFrame, key: str, id_col: str, pick: str) -> DataFrame:
-    """For each row (key, id): the picked id ("min" or "max") and the size of its group.
+def groups_by_key(df: DataFrame, key: str, id_col: str, pick: str, value: str | None = None) -> DataFrame:
+    """For each row (key, id): the picked ("min" or "max") value, by default the id, and the size of its group.
 
     Rows of a key are combined before the shuffle, then by (key, salt), then by key; the way back joins on
     (key, salt), so a key with a third of all rows is spread over SALTS join keys.
     """
     choose = getattr(F, pick)
-    rows = salted(df.select(F.col(key).alias("_key"), F.col(id_col).alias("_id")), "_id")
-    by_salt = rows.groupBy("_key", "_salt").agg(choose("_id").alias("_pick"), F.count("*").alias("_n"))
+    rows = salted(df.select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.col(value or id_col).alias("_value")), "_id")
+    by_salt = rows.groupBy("_key", "_salt").agg(choose("_value").alias("_pick"), F.count("*").alias("_n"))
     whole = by_salt.groupBy("_key").agg(
         choose("_pick").alias("_pick"),
         F.sum("_n").alias("_size"),
@@ -151,5 +156,11 @@ def groups_by_key(df: DataFrame, key: str, id_col: str, pick: str) -> DataFrame:
     )
 
 
+def winners(kept: DataFrame) -> DataFrame:
+    """Of rows (label, id, digest) that may stay, one (id, digest, copies) for each label and id: the least digest. A hot
+    label is combined before the shuffle."""
+    return kept.groupBy("label", "id").agg(F.min("digest").alias("digest"), F.count("*").alias("copies")).select("id", "digest", "copies")
+
+
 def salts_of(mask: str):
     return F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright({mask}, s) & 1L) = 1L)")

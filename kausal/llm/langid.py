@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, prepare, trimmed
-from .words import gathered, sampled
+from .words import Rows, gathered, sampled
 
 #: Slots of the n-grams; most texts of each language that are learned from; characters taken at once.
 BITS, PER_LANG, PORTION = 13, 400, 1 << 20
+#: Least score of a text that the filter keeps.
+LEAST_SCORE = 0.3
 UNDETERMINED = "und"
 # Families of languages by ISO 639-1 code; a language that is not here is a family of its own.
 FAMILIES = {
@@ -73,18 +75,24 @@ def _features():
     return f
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, by dual coordinate descent; the last weight is the bias."""
-    n = len(y)
-    w, alpha, norms = np.zeros(x.shape[1]), np.zeros(n), (x * x).sum(axis=1)
+def svm(rows: Rows, of: np.ndarray, y: np.ndarray, size: int, c: float = 10.0, epochs: int = 30) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss on the rows `of`, by dual coordinate descent; the last weight is
+    the bias. Rows stay sparse."""
+    n = len(of)
+    w, alpha, bias = np.zeros(size + 1), np.zeros(n), size
+    own = [(rows.cols[a:b], rows.vals[a:b]) for a, b in zip(rows.starts[of], rows.starts[of + 1], strict=True)]
+    norms = np.array([float(v @ v) + 1 for _, v in own])
     diag, rng = 1 / (2 * c), np.random.RandomState(11)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (x[i] @ w) - 1 + diag * alpha[i]
+            cols, vals = own[i]
+            g = y[i] * (vals @ w[cols] + w[bias]) - 1 + diag * alpha[i]
             new = max(0.0, alpha[i] - g / (norms[i] + diag))
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[cols] += step * vals
+                w[bias] += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -117,26 +125,23 @@ class Model:
 
 
 def fit(docs: DataFrame, may_learn, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of the languages of the rows where may_learn holds; at most per_lang texts of each, chosen by hashed id."""
+    """A model of the languages of the rows where may_learn holds; at most per_lang texts of each, chosen by hashed id. Of
+    an id that several rows have, the least language and the least text count. None if nothing can be learned."""
     known = docs.where(may_learn).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = sampled(known.select(id_col, lang_col), lang_col, per_lang, id_col)
-    langs, rows = gathered(docs.where(F.col(text_col).isNotNull()), chosen, _features, lang_col, id_col, text_col)
+    langs, rows = gathered(known, sampled(known, lang_col, per_lang, id_col), _features, id_col, text_col)
     if not langs:
         return None
-    x = np.zeros((rows.n, (1 << BITS) + 1), np.float32)
-    x[rows.row, rows.cols] = rows.vals
-    x[:, -1] = 1
-    names = np.array(langs)
+    names, size, every = np.array(langs), 1 << BITS, np.arange(rows.n)
     model = Model()
     for a in sorted(set(langs)):
         model.families.setdefault(FAMILY_OF.get(a, a), []).append(a)
     family = np.array([FAMILY_OF.get(a, a) for a in langs])
     one = len(model.families) == 1
-    model.family_w = np.array([np.zeros(x.shape[1]) if one else svm(x, np.where(family == f, 1.0, -1.0)) for f in model.families], np.float32)
+    model.family_w = np.array([np.zeros(size + 1) if one else svm(rows, every, np.where(family == f, 1.0, -1.0), size) for f in model.families], np.float32)
     for own in model.families.values():
         for a, b in combinations(own, 2):
-            of = (names == a) | (names == b)
-            model.pair_w[a, b] = svm(x[of], np.where(names[of] == a, 1.0, -1.0)).astype(np.float32)
+            of = np.flatnonzero((names == a) | (names == b))
+            model.pair_w[a, b] = svm(rows, of, np.where(names[of] == a, 1.0, -1.0), size).astype(np.float32)
     return model
 
 
@@ -154,7 +159,9 @@ def _predict(model: Model | None):
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score. Null texts and those without a letter are `und` with score 0, as is
-    everything if there was nothing to learn from; null ids stay null; whole texts are read in portions."""
+    everything if there was nothing to learn from; null ids stay null; repeated rows each give a row; of languages with
+    equal votes the last by name is taken; whole texts are read in portions; empty tables give no rows; other columns are
+    not looked at."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(trimmed(_predict(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
@@ -171,9 +178,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that have no language (`und`); all columns stay. Decided row by row, without a shuffle.
-    Without a learnable row there is no model: then texts that have a letter stay, as a model rejects no other texts."""
+def keep_identified(docs: DataFrame, languages: set[str] | None = None, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that the model rejects; all columns stay. Decided row by row, without a shuffle.
+
+    A row stays if its predicted language is one of `languages` (None: any learned one) with at least least_score; `und`
+    (null texts and those without a letter) goes. Without a learnable row there is no model: then texts with a letter stay.
+    """
     prepare(docs.sparkSession)
     model = fit(docs, learning(docs, id_col), id_col=id_col, text_col=text_col)
     at = docs.columns.index(text_col)
@@ -183,9 +193,10 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = []
             for text in x.column(at).to_pylist():
                 counts, any_letter = char_counts(text or "")
-                keep.append(any_letter and (model is None or model.predict(counts)[0] != UNDETERMINED))
+                if any_letter and model:
+                    lang, score = model.predict(counts)
+                    any_letter = score >= least_score and (languages is None or lang in languages)
+                keep.append(any_letter)
             yield x.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(trimmed(run), docs.schema)
-
-

@@ -65,15 +65,18 @@ def scorer(features, w: np.ndarray, bias: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled rows; at most per_label of each label, chosen by hashed id. No labels: all zero."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, label).dropDuplicates([id_col])
-    keys, rows = gathered(docs, sampled(known, label, per_label, id_col), quality_features, label, id_col, text_col)
+    """Weights and bias from labelled rows; at most per_label of each label, chosen by hashed id. An id with both labels counts
+    as 0. Without labels all is zero; with one label only, every text scores alike."""
+    known = labels.where(F.col(label).isin(0, 1)).select(id_col, F.col(label).cast("int").alias(label))
+    keys, rows = gathered(docs, sampled(known, label, per_label, id_col), quality_features, id_col, text_col)
     y = np.array([float(k) for k in keys])
     return ftrl(rows, y, 1 << BITS) if len(set(keys)) > 1 else (np.zeros(1 << BITS), float(np.sign(y.sum() - 0.5)) * 2 if len(y) else 0.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, score (0 to 1). Null and empty texts score by the bias alone; null ids stay null."""
+    """One row per row of docs: id, score (0 to 1). Null and empty texts score by the bias alone; null ids stay null;
+    repeated rows each give a row; very long texts are read in portions; empty tables give no rows; other columns are not
+    looked at."""
     prepare(docs.sparkSession)
     w, bias = model
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -16,7 +16,7 @@ from .quality import scorer
 from .words import BareHashes, Rows, all_hashes, gathered, sampled, slots
 
 #: Slots of the words; most positives and unlabelled texts; least texts that a word must be in; steps.
-BITS, POSITIVES, UNLABELLED, LEAST_TEXTS, STEPS = 18, 2500, 5000, 4, 250
+BITS, POSITIVES, UNLABELLED, LEAST_TEXTS, STEPS = 18, 2500, 5000, 3, 250
 
 
 def toxic_features():
@@ -31,7 +31,7 @@ def toxic_features():
     return f
 
 
-def nnpu(rows: Rows, positive: np.ndarray, prior: float, size: int, steps: int = STEPS, rate: float = 0.05, l1: float = 4e-4) -> tuple[np.ndarray, float]:
+def nnpu(rows: Rows, positive: np.ndarray, prior: float, size: int, steps: int = STEPS, rate: float = 0.05, l1: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk with logistic loss; Adam with soft thresholds."""
     often = np.bincount(rows.cols, minlength=size) >= LEAST_TEXTS
     rows.vals = rows.vals * often[rows.cols]
@@ -63,15 +63,17 @@ def fit(docs: DataFrame, labels: DataFrame, unlabelled, prior: float | None = No
         toxic, total = known.agg(F.sum("toxic"), F.count("*")).first()
         prior = (toxic or 0) / max(1, total)
     prior = min(max(prior, 1e-3), 0.5)
-    chosen = sampled(known.where("toxic = 1").select(id_col, F.lit("p").alias("part")).dropDuplicates([id_col]), "part", POSITIVES, id_col)
-    others = sampled(docs.where(unlabelled).where(F.col(id_col).isNotNull()).select(id_col, F.lit("u").alias("part")), "part", UNLABELLED, id_col)
-    keys, rows = gathered(docs, chosen.unionByName(others), toxic_features, "part", id_col, text_col)
-    positive = np.array([k == "p" for k in keys], bool)
+    chosen = sampled(known.where("toxic = 1").select(id_col, F.lit(1).alias("part")), "part", POSITIVES, id_col)
+    others = sampled(docs.where(unlabelled).select(id_col, F.lit(0).alias("part")), "part", UNLABELLED, id_col)
+    (pos, rows_p), (neg, rows_u) = (gathered(docs, part, toxic_features, id_col, text_col) for part in (chosen, others))
+    rows, positive = rows_p.then(rows_u), np.array([True] * len(pos) + [False] * len(neg))
     return nnpu(rows, positive, prior, 1 << BITS) if positive.any() and not positive.all() else (np.zeros(1 << BITS), -2.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, score (0 to 1). Null and empty texts score by the bias alone; null ids stay null."""
+    """One row per row of docs: id, score (0 to 1). Null and empty texts score by the bias alone; null ids stay null;
+    repeated rows each give a row; very long texts are read in portions; empty tables give no rows; other columns are not
+    looked at."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(scorer(toxic_features, model[0].astype(np.float32), model[1]), "id long, score double").withColumnRenamed("id", id_col)

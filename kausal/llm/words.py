@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SALTS, WordHashes, mix64, trimmed, word_hashes
+from .common import WordHashes, mix64, prepare, trimmed, word_hashes
 
 #: Bytes of a very long text whose words are listed at once.
 PORTION = 4 << 20
+#: Most labels, languages or domains that a classifier tells apart.
+MOST_VALUES = 1024
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
@@ -179,6 +180,14 @@ class Rows:
         self.row = np.repeat(np.arange(len(sizes)), sizes)
         self.n = len(sizes)
 
+    def then(self, other: Rows) -> Rows:
+        """These rows and then the others."""
+        out = Rows([], [])
+        out.starts = np.concatenate([self.starts, other.starts[1:] + self.starts[-1]])
+        out.cols, out.vals = np.concatenate([self.cols, other.cols]), np.concatenate([self.vals, other.vals])
+        out.row, out.n = np.concatenate([self.row, other.row + self.n]), self.n + other.n
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.vals * w[self.cols], minlength=self.n)
 
@@ -186,13 +195,38 @@ class Rows:
         return np.bincount(self.cols, self.vals * g[self.row], minlength=size)
 
 
-def sampled(table: DataFrame, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most `most` rows of each value of `by`: those whose ids have the least hashes, ties by id.
-
-    Chosen within salts first, so that the task of one value gets at most SALTS * most rows."""
-    salted_rows = table.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), id_col), F.lit(SALTS)))
-    least = lambda df, *keys: df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(id_col), id_col))).where(F.col("_rank") <= most)
-    return least(least(salted_rows, by, "_part"), by).drop("_rank", "_part")
+def sampled(table: DataFrame, by: str, most: int, id_col: str = "doc_id") -> list[tuple[int, object]]:
+    """(id, value): of each value of `by`, the `most` ids with the least hashes, ties by id.
+
+    An id counts once, under the least of its values; rows with a null id or value don't count. The number of a value's
+    rows gives a bound that about `most` of its hashes stay under; only those leave the scan, spread by id. Where they are
+    too few, as ids repeat, the bound is raised fourfold, until they are enough or all. More than MOST_VALUES values are an error.
+    """
+    spark = table.sparkSession
+    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{by}`").alias("value")).where("id is not null and value is not null")
+    counts = dict(tuple(r) for r in rows.groupBy("value").count().limit(MOST_VALUES + 1).collect())
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"{by} has over {MOST_VALUES} values")
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    kind = dict(rows.dtypes)["value"]
+    share = {v: (most + 6 * most**0.5 + 16) / n for v, n in counts.items()}
+    out = []
+    while share:
+        edges = [(v, (1 << 63) - 1 if s >= 1 else int(s * 2**64) - (1 << 63)) for v, s in share.items()]
+        limits = F.broadcast(spark.createDataFrame(edges, f"value {kind}, edge long"))
+        near = rows.join(limits, "value").where("h <= edge").select("value", "h", "id").distinct().collect()
+        least = {}
+        if len(counts) > 1 and near:
+            ids = spark.createDataFrame(sorted({(r["id"],) for r in near}), "id long")
+            least = dict(tuple(r) for r in rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("value")).collect())
+        for v in list(share):
+            own = sorted((r["h"], r["id"]) for r in near if r["value"] == v and least.get(r["id"], v) == v)
+            if len(own) >= most or share[v] >= 1:
+                out += [(i, v) for _, i in own[:most]]
+                del share[v]
+            else:
+                share[v] *= 4
+    return out
 
 
 def featured(features):
@@ -209,12 +243,19 @@ def featured(features):
     return run
 
 
-def gathered(docs: DataFrame, chosen: DataFrame, features, key: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, Rows]:
-    """(keys, features) of the chosen rows (id, key), of which there are few by their sampling."""
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col), F.col(key).cast("string").alias("key"), F.col(text_col).alias("text"))
-    found = texts.select("key", "text").mapInArrow(trimmed(featured(features)), "key string, cols array<int>, vals array<float>").toArrow()
+def gathered(docs: DataFrame, chosen: list[tuple[int, object]], features, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, Rows]:
+    """(values, features) of the chosen (id, value), of which there are few by their sampling. Of an id that several rows
+    have the least text counts, null ones last."""
+    if not chosen:
+        return [], Rows([], [])
+    prepare(docs.sparkSession)
+    value = dict(chosen)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in value], "key long")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(ids), "key")
+    one = texts.groupBy("key").agg(F.min("text").alias("text"))
+    found = one.mapInArrow(trimmed(featured(features)), "key long, cols array<int>, vals array<float>").toArrow()
     cols = [np.asarray(v.values, np.int32) for v in found.column("cols")]
     vals = [np.asarray(v.values, np.float32) for v in found.column("vals")]
-    keys = found.column("key").to_pylist()
-    order = sorted(range(len(keys)), key=lambda k: (keys[k], xxhash.xxh3_64_intdigest(cols[k].tobytes() + vals[k].tobytes())))
+    keys = [value[i] for i in found.column("key").to_pylist()]
+    order = sorted(range(len(keys)), key=lambda k: (str(keys[k]), xxhash.xxh3_64_intdigest(cols[k].tobytes() + vals[k].tobytes())))
     return [keys[k] for k in order], Rows([cols[k] for k in order], [vals[k] for k in order])
