@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import SALTS, cut, prepare, temporary
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,31 +59,36 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    left = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local, "a long, b long"), "edges")
-    labels = None
-    while not left.isEmpty():
-        ends = left.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        up = cut(ends.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "hooks")
-        while True:
-            q = up.select(F.col("u").alias("p"), F.col("p").alias("r"))
-            deeper = cut(up.join(q, "p").select("u", F.col("r").alias("p"), (F.col("p") != F.col("r")).alias("moved")), "hooks")
-            more = not deeper.where("moved").isEmpty()
-            up = deeper.select("u", "p")
-            if not more:
-                break
+    with temporary(spark):
+        left = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local, "a long, b long"), "edges")
+        labels = None
+        while not left.isEmpty():
+            ends = left.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            up = cut(ends.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "hooks")
+            while True:
+                deeper = cut(_renamed(up, "p", up, "r").select("u", F.col("r").alias("p"), (F.col("p") != F.col("r")).alias("moved")), "hooks")
+                more = not deeper.where("moved").isEmpty()
+                up = deeper.select("u", "p")
+                if not more:
+                    break
+            if labels is None:
+                labels = up.select(F.col("u").alias("id"), F.col("p").alias("component"))
+            else:
+                labels = cut(_renamed(labels, "component", up, "p", "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
+            ends = _renamed(_renamed(left, "a", up, "a_root"), "b", up, "b_root").where("a_root <> b_root")
+            left = cut(ends.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
         if labels is None:
-            labels = up.select(F.col("u").alias("id"), F.col("p").alias("component"))
-        else:
-            labels = cut(
-                labels.join(up, F.col("component") == F.col("u"), "left").select("id", F.coalesce("p", "component").alias("component")), "labels"
-            )
-        hop = lambda df, end: df.join(up.select(F.col("u").alias(end), F.col("p").alias(f"{end}_root")), end)
-        left = cut(
-            hop(hop(left, "a"), "b").where("a_root <> b_root")
-            .select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(),
-            "edges",
-        )
-    if labels is None:
-        labels = spark.createDataFrame([], "id long, component long")
-    return labels
+            return spark.createDataFrame([], "id long, component long")
+        return cut(labels, "labels", keep=True)
+
+
+def _renamed(rows: DataFrame, at: str, up: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """rows with `name`, the pointer of column `at` by up (u, p). A root that a third of all rows point to is one join key:
+    rows are salted, and the pointers of the keys that rows have are first spread over the salts that they have there."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    wanted = dealt.select(F.col(at).alias("_k"), "_salt").distinct()
+    to = up.select(F.col("u").alias("_k"), F.col("p").alias(name))
+    if name in rows.columns:
+        raise ValueError(f"a column {name} is there already")
+    spread = wanted.join(to, "_k").select(F.col("_k").alias(at), "_salt", name)
+    return dealt.join(spread, [at, "_salt"], how).drop("_salt")
