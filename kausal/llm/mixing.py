@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, trimmed
+from .common import cut, digest_of, fresh, prepare, trimmed
 from .words import Rows, WordTable, gathered, portions, sampled, slots, three_hashes
 
 #: Slots of the features; most labelled texts of each domain; steps of the classifier; passes over the
@@ -77,6 +77,7 @@ class Domains:
     names: list[str]
     w: np.ndarray
     b: np.ndarray
+    learned: list[str]
 
     def posterior(self, cols: np.ndarray, vals: np.ndarray) -> np.ndarray:
         m = self.w[:, cols] @ vals + self.b
@@ -86,18 +87,19 @@ class Domains:
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> Domains:
     """Sparse softmax regression on labelled (id, domain); at most per_domain texts of each, chosen by hashed id, weighted to the
-    shares of the labelled table. A label counts once for each id. No labels: every domain alike."""
-    known = labelled.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "domain").dropDuplicates([id_col])
-    share = dict(known.groupBy("domain").count().collect())  # one number a domain
-    keys, rows = gathered(docs, sampled(known, "domain", per_domain, id_col), domain_features, "domain", id_col, text_col)
+    shares of the labelled table. A label counts once for each id, of several the first by name. Domains without a labelled
+    text are not told. Without any label every domain is alike, and `learned` is empty."""
+    known = labelled.where(F.col("domain").isNotNull()).select(id_col, "domain")
+    share = dict(tuple(r) for r in known.where(F.col(id_col).isNotNull()).groupBy("domain").count().collect())  # one number a domain
+    keys, rows = gathered(docs, sampled(known, "domain", per_domain, id_col), domain_features, id_col, text_col)
     names = list(DOMAINS) if set(keys) <= set(DOMAINS) else sorted(set(keys))
     size = (1 << BITS) + 2
     if not keys:
-        return Domains(names, np.zeros((len(names), size), np.float32), np.zeros(len(names)))
+        return Domains(names, np.zeros((len(names), size), np.float32), np.zeros(len(names)), [])
     y = np.array([names.index(k) for k in keys])
     weight = np.array([share[names[k]] / max(1, (y == k).sum()) for k in y], float)
     w, b = softmax(_often(rows, size), y, weight / weight.sum(), len(names), size)
-    return Domains(names, w.astype(np.float32), b)
+    return Domains(names, w.astype(np.float32), b, sorted(set(keys)))
 
 
 def softmax(rows: Rows, y: np.ndarray, weight: np.ndarray, k_names: int, size: int, steps: int = FIT_STEPS, rate: float = 0.05, l1: float = L1) -> tuple[np.ndarray, np.ndarray]:
@@ -127,22 +129,24 @@ def _often(rows: Rows, size: int) -> Rows:
     return rows
 
 
-def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens, p): words between ASCII white space, and an array with the posterior of each domain."""
+def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """(id, digest, tokens, p): the digest of the text if asked for, words between ASCII white space, and an array with the
+    posterior of each domain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = domain_rows()
         for x in batches:
             p, n = [], []
-            for raw in x.column(1).to_pylist():
+            for raw in x.column(2).to_pylist():
                 cols, vals, words = f(raw or b"")
                 p.append(model.posterior(cols, vals))
                 n.append(words)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["id", "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["id", "digest", "tokens", "p"])
 
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(trimmed(run), "id long, tokens long, p array<double>")
+    digest = digest_of(f"`{text_col}`") if with_digest else F.lit(None).cast("binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), digest.alias("digest"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(trimmed(run), "id long, digest binary, tokens long, p array<double>")
 
 
 def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: float | None = None, least: float = 0.0, steps: int = 10 * RATE_STEPS) -> tuple[DataFrame, list[np.ndarray]]:
@@ -210,16 +214,28 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
     return soft.withColumn("rate", rate(pull)), history
 
 
+def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, least: float, total: float | None, id_col: str, text_col: str, with_digest: bool = False) -> tuple[DataFrame, Domains]:
+    """(id, digest, tokens, p, rate) of every row, and the model."""
+    model = fit_domains(docs, labels.select(id_col, domain_of().alias("domain")), id_col, text_col)
+    soft = cut(posteriors(docs, model, id_col, text_col, with_digest), "posteriors")
+    wanted = targets or TARGETS
+    if not model.learned:
+        warnings.warn("mixing: no labels, every row is used once", RuntimeWarning, stacklevel=3)
+        return soft.withColumn("rate", F.lit(1.0)), model
+    if lost := [n for n in wanted if wanted[n] > 0 and n not in model.learned]:
+        warnings.warn(f"mixing: no labelled text of {lost}; the others share its target", RuntimeWarning, stacklevel=3)
+        wanted = {n: v for n, v in wanted.items() if n in model.learned}
+    return rates(soft, wanted, model.names, total, least)[0], model
+
+
 def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, tokens, p_<domain> and rate.
 
     Null and empty texts have no tokens and get the rate that their posterior gives; null ids stay null; repeated
-    rows each count; empty tables give no rows; other columns are not looked at. Targets out of reach are warned of.
+    rows each count; empty tables give no rows; other columns are not looked at. Targets out of reach are warned of, as
+    are domains without a label, whose targets go to the others; without any label every rate is 1.
     """
-    prepare(docs.sparkSession)
-    model = fit_domains(docs, labels.select(id_col, domain_of().alias("domain")), id_col, text_col)
-    soft = cut(posteriors(docs, model, id_col, text_col), "posteriors")
-    found, _ = rates(soft, targets or TARGETS, model.names, total, least)
+    found, model = rated(docs, labels, targets, least, total, id_col, text_col)
     return found.select(F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate")
 
 
@@ -230,8 +246,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row as often as its rate says, at least once: the whole part, and once more with the probability
-    of the rest, decided by a hash of the id. All columns stay; rows with a null id stay as they are."""
-    found = mixed_rates(docs, labels, targets, least=1.0, id_col=id_col, text_col=text_col).select(id_col, "rate").groupBy(id_col).agg(F.max("rate").alias("_rate"))
-    luck = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.coalesce((F.floor("_rate") + (luck < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int"), F.lit(1))
-    return docs.join(found, id_col, "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).select(*docs.columns)
+    of the rest, decided by a hash of the id and the text. All columns stay, whatever their names; repeated rows are
+    repeated alike; rows with a null id count as others do; without labels docs come back as they are."""
+    found, model = rated(docs, labels, targets, 1.0, None, id_col, text_col, with_digest=True)
+    if not model.learned:
+        return docs
+    luck = F.pmod(F.xxhash64(F.lit("mix"), "id", "digest"), F.lit(1 << 30)) / float(1 << 30)
+    times = (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    often = found.select("id", "digest", times.alias("times")).where("times > 1").groupBy("id", "digest").agg(F.max("times").alias("_times"))
+    key, digest, copy = fresh(docs, "row_id"), fresh(docs, "row_digest"), fresh(docs, "row_copy")
+    keyed = docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), digest: digest_of(f"`{text_col}`")})
+    o = often.select(F.col("id").alias(fresh(keyed, "often_id")), F.col("digest").alias(fresh(keyed, "often_digest")), F.col("_times").alias(fresh(keyed, "often_times")))
+    i, d, n = o.columns
+    joined = keyed.join(o, F.col(key).eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d)), "left")
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.coalesce(F.col(n), F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])

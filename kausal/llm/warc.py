@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, groups_by_key, new_path, prepare
+from .common import cut, groups_by_key, new_path, prepare, temporary, trimmed
 
-#: Bytes of a record's block, of an HTTP chunk; records of an archive file.
-SEGMENT, CHUNK, PER_FILE = 64 << 10, 16 << 10, 2000
+#: Bytes of a record's block, of an HTTP chunk; records of an archive file. A record is its block, a few hundred bytes of
+#: headers and the URL, so a file is of at most about SEGMENT * PER_FILE bytes before compression.
+SEGMENT, CHUNK, PER_FILE = 16 << 10, 4 << 10, 4000
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 DATE = "2024-01-01T00:00:00Z"
 
@@ -29,8 +31,9 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'page:{page_id}')}>"
+def record_id(page_id: int, digest: str, nth: int = 1, segment: int = 1) -> str:
+    """Of a page's payload; nth tells apart rows that repeat both."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'page:{page_id}:{digest}:{nth}:{segment}')}>"
 
 
 def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
@@ -61,14 +64,15 @@ def unchunked(body: bytes) -> bytes:
         at = begin + size + 2
 
 
-def records_of(page_id: int, url: str | None, payload: bytes, first: int | None, segment: int = SEGMENT) -> list[bytes]:
+def records_of(page_id: int, url: str | None, payload: bytes, first: int | None, segment: int = SEGMENT, nth: int = 1) -> list[bytes]:
     """The records of a page; first: the page whose response this one revisits."""
-    own, digest = record_id(page_id), payload_digest(payload)
+    digest = payload_digest(payload)
+    own = record_id(page_id, digest, nth)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", _uri(url, page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Page-ID", page_id)]
     kind = ("Content-Type", "application/http; msgtype=response")
     if first is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first)), ("WARC-Refers-To-Page", first)]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, digest))]
         return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, *more, kind], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
@@ -77,75 +81,130 @@ def records_of(page_id: int, url: str | None, payload: bytes, first: int | None,
     out = [_record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Number", 1), kind], parts[0])]
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        name = f"<urn:uuid:{uuid.uuid5(SPACE, f'page:{page_id}:{k}')}>"
-        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url, page_id)), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), *total], part))
+        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, digest, nth, k)), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url, page_id)), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), *total], part))
     return out
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        raw = [(v or "").encode() for v in x.column(1).to_pylist()]
-        keys = pa.array([hashlib.sha256(p).digest() for p in raw], pa.binary())
-        yield pa.RecordBatch.from_arrays([x.column(0), keys, pa.array(map(len, raw), pa.int64())], ["page_id", "key", "n"])
+def member(record: bytes) -> bytes:
+    """A record as a gzip member. Its last byte, the highest of the record's length, is zero under 16 MB."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
+
+
+def _payload_key(html: str):
+    return F.unhex(F.sha2(F.col(html).cast("binary"), 256))
 
 
 def _write(segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out = [r[:-1] for i, u, h, f in zip(*(c.to_pylist() for c in x.columns), strict=True) for r in records_of(i, u, (h or "").encode(), None if f == i else f, segment)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for row in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                page, url, html, first, nth = row
+                out = []
+                for r in records_of(page, url, html.encode(), None if first == page else first, segment, nth):
+                    data = member(r)
+                    if data[-1]:
+                        raise ValueError(f"page {page}: a record of over 16 MB; its url has {len(url or '')} characters")
+                    out.append(data[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     return run
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT) -> None:
-    """Writes pages (page_id, url, html) as .warc.gz files of at most PER_FILE records.
+    """Writes pages (page_id, url, html) as files of at most PER_FILE records, each record a gzip member of its own.
 
     Of equal payloads of at least least_bytes the smallest page_id is the response, the others revisit it. Null html
     is an empty payload, a null or blank url becomes urn:page:<id>; rows with a null page_id go; of rows that repeat a
-    page_id each is written. The text writer ends every record with the line feed that is its last byte.
+    page_id each is written, with a record id of its own, and compared by its own payload: all rows of the smallest
+    page_id are responses. Rows of one page_id and payload are numbered in one task. Empty tables write no records; other
+    columns are not looked at. The text writer ends every value with the zero that is a member's last byte.
     """
     spark = pages.sparkSession
-    prepare(spark, 256)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("page_id is not null")
-    keys = rows.select("page_id", "html").mapInArrow(_payloads, "page_id long, key binary, n long").where(F.col("n") >= least_bytes)
-    again = groups_by_key(keys, "key", "page_id", "min").where("page_id <> picked").select("page_id", F.col("picked").alias("first")).distinct()
-    records = rows.join(cut(again, "revisits"), "page_id", "left").select("page_id", "url", "html", "first").mapInArrow(_write(segment), "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    prepare(spark)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where("page_id is not null")
+    rows = rows.withColumn("key", _payload_key("html"))
+    with temporary(spark):
+        keys = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "key")
+        revisits = groups_by_key(keys, "key", "page_id", "min").where("page_id <> picked").select("page_id", "key", F.col("picked").alias("first"), F.lit(False).alias("several"))
+        repeats = rows.groupBy("page_id", "key").count().where("count > 1").select("page_id", "key", F.lit(None).cast("long").alias("first"), F.lit(True).alias("several"))
+        marks = cut(revisits.unionByName(repeats).groupBy("page_id", "key").agg(F.max("first").alias("first"), F.max("several").alias("several")), "marks")
+        marked = rows.join(marks, ["page_id", "key"], "left")
+        several = F.coalesce("several", F.lit(False))
+        nth = F.row_number().over(W.partitionBy("page_id", "key").orderBy("url"))
+        numbered = marked.where(~several).withColumn("nth", F.lit(1))
+        if not marks.where("several").isEmpty():
+            numbered = numbered.unionByName(marked.where(several).withColumn("nth", nth))
+        records = numbered.select("page_id", "url", "html", "first", "nth").mapInArrow(trimmed(_write(segment), 64), "value binary")
+        records.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", PER_FILE).option("lineSep", "\u0000").text(path)
+
+
+def members(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """What the members of a gzip file hold, or a file that isn't compressed, in pieces of about `size` bytes."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + size] for k in range(0, len(data), size))
+        return
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
+        if data[at] == 0:  # padding between members
+            at += 1
+            continue
+        z, fed = zlib.decompressobj(31), at
+        while not z.eof:
+            if fed >= len(data) and not z.unconsumed_tail:
+                raise ValueError("a gzip member is cut off")
+            piece = z.unconsumed_tail or data[fed : fed + size]
+            fed += 0 if z.unconsumed_tail else len(piece)
+            if out := z.decompress(piece, size):
+                yield out
+        at = fed - len(z.unused_data) - len(z.unconsumed_tail)
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record; holds a record and a piece."""
+    held, more = bytearray(), iter(pieces)
+
+    def until(n: int) -> bool:
+        while len(held) < n:
+            piece = next(more, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while until(1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not until(seen + 1):
+                raise ValueError("a record's headers don't end")
+        version, *lines = bytes(held[:end]).decode().split("\r\n")
         if not version.startswith("WARC/1."):
             raise ValueError("no WARC record where one should begin")
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+        stop = end + 4 + int(headers["content-length"])
+        if not until(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError("a record is not ended where its length says")
-        yield headers, block
-        at = end + 8 + size
+        yield headers, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
 
 
-FIELDS = "origin string, kind string, seg int, total long, page_id long, refers_to long, digest string, block binary"
+FIELDS = "origin string, kind string, seg int, total long, page_id long, refers string, digest string, block binary"
+_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)], [f.split()[0] for f in FIELDS.split(", ")])
+
     for x in batches:
         for content in x.column(0):
-            data = zlib.decompressobj(31).decompress(content.as_buffer()) if content.as_buffer().size else b""
             held, size = [], 0
-
-            def out(rows):
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in FIELDS.split(", ")])
-
-            for h, block in parse(data):
+            for h, block in parse(members(content.as_py())):
+                if h["warc-type"] not in ("response", "revisit", "continuation"):
+                    continue
                 num = lambda k, h=h: int(h[k]) if k in h else None
-                held.append((h.get("warc-segment-origin-id", h["warc-record-id"]), h["warc-type"], num("warc-segment-number") or 0, num("warc-segment-total-length"), num("warc-page-id"), num("warc-refers-to-page"), h.get("warc-payload-digest", "sha1:")[5:], block))
+                held.append((h.get("warc-segment-origin-id", h["warc-record-id"]), h["warc-type"], num("warc-segment-number") or 0, num("warc-segment-total-length"), num("warc-page-id"), h.get("warc-refers-to"), h.get("warc-payload-digest", "sha1:")[5:], block))
                 size += len(block)
                 if size > 8 << 20:
                     yield out(held)
@@ -154,42 +213,64 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(held)
 
 
-def _payload(kind: str, block: bytes) -> tuple[int, str | None]:
+def _payload(kind: str, block: bytes) -> tuple[int, bytes | None]:
     head, _, body = block.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
     if kind == "revisit":
         return int(fields["content-length"]), None
     payload = unchunked(body) if fields.get("transfer-encoding") == "chunked" else body
-    return len(payload), payload_digest(payload)
+    return len(payload), payload
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Origins (segments in order, total length) to payloads' lengths and digests; a wrong total or digest is an error."""
-    for x in batches:
-        out = []
-        for page, kind, refers, digest, total, segs in zip(*(c.to_pylist() for c in x.columns), strict=True):
-            numbers = [s["seg"] for s in segs]
-            block = b"".join(s["block"] for s in segs)
-            if numbers not in ([0], list(range(1, len(segs) + 1))) or (len(segs) > 1 and total != len(block)):
-                raise ValueError(f"page {page}: segments {numbers} of {len(block)} bytes, {total} announced")
-            n, found = _payload(kind, block)
-            if found not in (None, digest):
-                raise ValueError(f"page {page}: payload digest {found}, {digest} announced")
-            out.append((page, n, digest, kind, refers))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response or revisit of the archives under path: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    prepare(spark, 64)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    records = files.mapInArrow(_parse, FIELDS)
-    single = records.where("seg = 0").select("page_id", "kind", "refers_to", "digest", F.lit(None).cast("long").alias("total"), F.array(F.struct("seg", "block")).alias("segs"))
+def _whole(with_payload: bool):
+    """Origins (segments in order, total length) to payloads with lengths and digests; a wrong total or digest is an error."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            out = []
+            for origin, page, kind, refers, digest, total, segs in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                numbers = [s["seg"] for s in segs]
+                block = b"".join(s["block"] for s in segs)
+                if kind is None or numbers not in ([0], list(range(1, len(segs) + 1))) or (len(segs) > 1 and total != len(block)):
+                    raise ValueError(f"record {origin}: segments {numbers} of {len(block)} bytes, {total} announced")
+                n, payload = _payload(kind, block)
+                if payload is not None and payload_digest(payload) != digest:
+                    raise ValueError(f"record {origin}: payload digest {payload_digest(payload)}, {digest} announced")
+                out.append((origin, page, n, digest, kind, refers, payload if with_payload else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in WHOLE.split(", ")])
+
+    return run
+
+
+WHOLE = "origin string, page_id long, payload_bytes long, payload_digest string, record_type string, refers string, payload binary"
+
+
+def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+    """One row per response or revisit of the archives under path: page_id, payload_bytes, payload_digest, record_type,
+    refers_to (the page of the record that a revisit names), and if asked for the payload (null for revisits).
+
+    Files may be gzipped, in one member or many, or not; records of other types are passed over. Records of one origin are
+    grouped by their origin's identifier, in whatever files they are, so a payload is whole in one task, as it was in its
+    row. A segment that lacks, a wrong total length or digest is an error. A revisit of a record that isn't here refers to null.
+    """
+    prepare(spark)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    records = files.mapInArrow(trimmed(_parse), FIELDS)
+    columns = ["origin", "page_id", "kind", "refers", "digest", "total", "segs"]
+    single = records.where("seg = 0").withColumns({"total": F.lit(None).cast("long"), "segs": F.array(F.struct("seg", "block"))}).select(*columns)
     head = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c)))
     joined = records.where("seg > 0").groupBy("origin").agg(
-        head("page_id").alias("page_id"), head("kind").alias("kind"), head("refers_to").alias("refers_to"), head("digest").alias("digest"), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("seg", "block"))).alias("segs")
-    ).drop("origin")
-    return single.unionByName(joined).mapInArrow(_whole, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        *(head(c).alias(c) for c in ("page_id", "kind", "refers", "digest")), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("seg", "block"))).alias("segs")
+    ).select(*columns)
+    whole = cut(single.unionByName(joined).mapInArrow(trimmed(_whole(with_payload), 64), WHOLE), "records")
+    responses = whole.where("record_type = 'response'")
+    asked = whole.where("record_type = 'revisit'").select(F.col("refers").alias("key"), "page_id", F.lit(None).cast("long").alias("target"))
+    named = groups_by_key(asked.unionByName(responses.select(F.col("origin").alias("key"), "page_id", F.col("page_id").alias("target"))), "key", "page_id", "min", "target")
+    found = named.select(F.col("key").alias("refers"), "page_id", F.col("picked").alias("refers_to")).distinct()
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
+    revisits = whole.where("record_type = 'revisit'").join(found, ["refers", "page_id"], "left")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(revisits.select(*out))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

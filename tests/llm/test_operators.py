@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from kausal.llm import bpe, chat, common, components, embedding, exact_dedup, langid, minhash, mixing, quality, toxicity, warc
 
@@ -56,12 +57,32 @@ def test_exact_dedup(spark):
     assert exact_dedup.drop_copies(docs(spark, texts)).columns == ["doc_id", "text", "norm"]
 
 
-def test_dedup_stages_keep_null_ids(spark):
-    df = spark.createDataFrame([(1, "a b c"), (2, "A b c"), (None, "a b c"), (None, "other"), (3, None)], "doc_id long, text string")
+DIRTY = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (1, "A b c d e f g", "x"), (1, "wholly other words stand in here now", "y"), (2, "Wholly other words stand in here now", "z"),
+         (None, "a b c d e f g", "x"), (None, "of a null id only", "x"), (None, "of a null id only", "w"), (3, None, "x"), (3, "", None), (4, " ", "x"), (5, "short", None)]
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    """Repeated rows, ids at several texts, null ids, and columns with names that are used inside."""
+    df = spark.createDataFrame(DIRTY, "doc_id long, text string, digest string").withColumn("row_id", F.lit(1)).withColumn("label", F.lit("l")).withColumn("_n", F.lit(0))
     rows = lambda x: sorted(((r.doc_id, r.text) for r in x.collect()), key=str)
-    nulls = [(None, "a b c"), (None, "other")]
-    assert rows(exact_dedup.drop_copies(df)) == sorted([(2, "A b c"), (3, None), *nulls], key=str)
-    assert rows(minhash.drop_near_copies(df)) == sorted([(1, "a b c"), (3, None), *nulls], key=str)
+    first = min(("a b c d e f g", "A b c d e f g"), key=lambda t: hashlib.sha256(t.encode()).digest())
+    exact = exact_dedup.drop_copies(df)
+    assert exact.columns == df.columns
+    assert rows(exact) == sorted([(1, first), (2, "Wholly other words stand in here now"), (None, "of a null id only"), (3, None), (4, " "), (5, "short")], key=str) or rows(exact) == sorted(
+        [(1, first), (2, "Wholly other words stand in here now"), (None, "of a null id only"), (3, ""), (4, " "), (5, "short")], key=str)
+    near = minhash.drop_near_copies(df)
+    assert near.columns == df.columns
+    assert rows(near) == sorted([(1, first), (1, "wholly other words stand in here now"), (None, "of a null id only"), (3, None), (3, ""), (4, " "), (5, "short")], key=str)
+    assert exact_dedup.drop_copies(df.limit(0)).count() == minhash.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_do_not_multiply(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "e f g h"), (None, "a b c d")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(df, minhash.QUERY).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False)], key=str)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect()), key=str)
+    assert got == sorted([(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False), (1, 3, 2, False), (3, 3, 2, True)], key=str)
+    assert minhash.near_dedup(df.limit(0), minhash.QUERY).count() == 0
 
 
 @pytest.mark.parametrize("chunk", [1024, 7])
@@ -116,16 +137,48 @@ def test_embeddings(spark):
 
 def test_warc(spark, tmp_path):
     html = [None, "", "é" * 999, "b", "b", "c" * 5000, "c" * 5000, "WARC/1.1\r\n\r\n0\r\n\r\n"]
-    pages = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}", h, "k", 0) for i, h in enumerate(html)], "page_id long, url string, html string, key string, nth int").repartition(3)
     warc.write_warc(pages, f"file://{tmp_path}/w", segment=700)
-    rows = {r.page_id: r for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    found = warc.read_warc(spark, f"file://{tmp_path}/w", with_payload=True).collect()
+    rows = {r.page_id: r for r in found}
+    assert len(found) == len(html)
     for i, h in enumerate(html):
         raw = (h or "").encode()
         first = [(x or "").encode() for x in html].index(raw)
         assert (rows[i].payload_bytes, rows[i].payload_digest) == (len(raw), warc.payload_digest(raw))
         assert (rows[i].record_type, rows[i].refers_to) == (("response", None) if first == i else ("revisit", first))
+        assert rows[i].payload == (bytearray(raw) if first == i else None)
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nab\r\n0\r\n\r\n")
+    warc.write_warc(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_warc_repeated_pages(spark, tmp_path):
+    """Equal rows, and one page_id with other payloads, large enough to be segmented."""
+    a, b = "a" * 40_000, "b" * 50_000
+    rows = [(3, "u", a), (3, "u", a), (3, "v", a), (5, "u", a), (5, "u", b), (5, "w", b), (7, None, b), (None, "u", a), (8, "u", "x"), (9, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(pages, f"file://{tmp_path}/w", least_bytes=2)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect())
+    assert got == sorted([(3, 40_000, "response", 0)] * 3 + [(5, 40_000, "revisit", 3)] + [(5, 50_000, "response", 0)] * 2 + [(7, 50_000, "revisit", 5)] + [(8, 1, "response", 0), (9, 1, "response", 0)])
+
+
+def test_warc_of_one_or_many_members(spark, tmp_path):
+    import gzip
+    import os
+
+    records = [r for k in range(3) for r in warc.records_of(k, "u", b"p" * (50_000 * k), None, 9000)]
+    info = warc._record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x>")], b"about")
+    for name, data in (("many", b"".join(map(warc.member, [info, *records]))), ("one", gzip.compress(b"".join([info, *records]))), ("plain", b"".join([info, *records]))):
+        os.makedirs(tmp_path / name)
+        (tmp_path / name / "x.warc.gz").write_bytes(data)
+        got = warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert sorted((r.page_id, r.payload_bytes) for r in got) == [(0, 0), (1, 50_000), (2, 100_000)]
+    assert list(warc.parse(warc.members(gzip.compress(info * 3), 7)))[2][1] == b"about"
+    (tmp_path / "one" / "x.warc.gz").write_bytes(b"".join(map(warc.member, records[:-1])))
+    with pytest.raises(Exception, match="announced"):
+        warc.read_warc(spark, f"file://{tmp_path}/one").collect()
 
 
 def test_chat_round_trip(spark):
