@@ -1,14 +1,17 @@
 """Byte-level BPE by corpus-level merge replay (operator 1).
 
-The distinct words of a batch of texts form one corpus. An inverted index leads from the rank of a token pair to the
-places where the pair stands; merges are applied in rank order to all places at once, and only the pairs beside a
-merged place are looked up again.
+Words of all texts are counted first; the most frequent ones form one corpus, which is replayed once and whose ids go to
+every task. What else a batch of texts holds is replayed there, as a corpus of its own. An inverted index leads from the
+rank of a token pair to the places where the pair stands; merges are applied in rank order to all places at once, and
+only the pairs beside a merged place are looked up again.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -19,10 +22,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, trimmed
+from .common import cut, prepare, temporary, trimmed
 
-#: Words whose ids a worker keeps between batches, characters of a batch, words of a portion of a very long text.
-CACHE_WORDS, BATCH_CHARS, PORTION_WORDS = 400_000, 4_000_000, 200_000
+#: Most words of the whole corpus that are replayed once and sent to every task; words that a worker keeps besides.
+CORPUS_WORDS, CACHE_WORDS = 1 << 18, 300_000
+#: Characters of a batch, words of a portion of a very long text, words that are counted before they are passed on.
+BATCH_CHARS, PORTION_WORDS, COUNTED = 4_000_000, 200_000, 400_000
+#: Tasks that replay the frequent words.
+REPLAYERS = 16
 _loaded: dict[str, Replay] = {}
 
 
@@ -52,7 +59,21 @@ class Replay:
             for b in range(256):
                 self.first[a << 8 | b] = ranks.get(bytes([a, b]), -1)
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.common: tuple[list[str], np.ndarray, np.ndarray] = ([], np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.common_key = ""
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the words that were sent along stay: words to numbers, and by number the place and count of the ids."""
+        words, sizes, ids = self.common
+        self.numbers: dict[str, int] = dict(zip(words, range(len(words)), strict=True))
+        self.sizes, self.ids = sizes, ids
+        self.starts = np.cumsum(sizes) - sizes
+
+    def know(self, key: str, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        if key != self.common_key:
+            self.common, self.common_key = (words, sizes, ids), key
+            self.forget()
 
     def one(self, word: bytes) -> tuple[int, ...]:
         """A single word, always by its lowest rank, leftmost first."""
@@ -125,19 +146,37 @@ class Replay:
             out[w] = self.one(words[w])  # a merge opened a pair of lower rank: places of one rank must then take turns
         return out
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """A table with the ids of all these words; most of it is kept for the next batch."""
-        new = list(set(words).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {}
-            new = list(set(words))
-        raw = [w.encode() for w in new]
-        whole = [self.ranks.get(w) for w in raw]
-        open_at = [k for k, r in enumerate(whole) if r is None]
-        done = self.replay([raw[k] for k in open_at]) if open_at else []
-        self.cache.update((w, (r,)) for w, r in zip(new, whole, strict=True) if r is not None)
-        self.cache.update((new[k], ids) for k, ids in zip(open_at, done, strict=True))
-        return self.cache
+    def ids_of(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of distinct words."""
+        raw = [w.encode() for w in words]
+        out: list[tuple[int, ...]] = [(r,) if (r := self.ranks.get(w)) is not None else () for w in raw]
+        open_at = [k for k, ids in enumerate(out) if not ids]
+        if open_at:
+            for k, ids in zip(open_at, self.replay([raw[k] for k in open_at]), strict=True):
+                out[k] = ids
+        return out
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Sees that all these words have numbers; most of the table is kept for the next batch."""
+        new = list(set(words).difference(self.numbers))
+        if len(self.numbers) + len(new) > len(self.common[0]) + CACHE_WORDS:
+            self.forget()
+            new = list(set(words).difference(self.numbers))
+        if not new:
+            return
+        found = self.ids_of(new)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.numbers.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """The ids of learned words, one after the other."""
+        k = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        sizes = self.sizes[k]
+        begins = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.starts[k] - begins, sizes) + np.arange(int(sizes.sum()))]
 
     def portions(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BATCH_CHARS:
@@ -147,8 +186,32 @@ class Replay:
         while part := [m.group() for m in islice(it, PORTION_WORDS)]:
             yield part
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
+        """For each text the ids of its portions. Texts are taken in batches of BATCH_CHARS; one that is longer by itself,
+        a portion at a time, while the iterator is at it."""
+        held, chars = [], 0
+
+        def batch():
+            self.learn(set(chain.from_iterable(held)))
+            found = [[self.of_words(w)] for w in held]
+            held.clear()
+            return found
+
+        for text in texts:
+            if len(text) > BATCH_CHARS:
+                yield from batch()
+                chars = 0
+                yield [(self.learn(part), self.of_words(part))[1] for part in self.portions(text)]
+                continue
+            held.append(self.pattern.findall(text))
+            chars += len(text)
+            if chars >= BATCH_CHARS:
+                yield from batch()
+                chars = 0
+        yield from batch()
+
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.portions(text) for i in chain.from_iterable(map(self.learn(part).__getitem__, part))]
+        return [int(i) for parts in self.encode_all([text]) for part in parts for i in part]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -161,63 +224,110 @@ def loaded(path: str, pattern: str) -> Replay:
     return _loaded[path, pattern]
 
 
-def _digest(name: str, pattern: str, with_ids: bool):
-    def digest_of(replay: Replay, parts: Iterable[list[str]], table=None):
-        n, ids_sha, bytes_sha, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-        for part in parts:
-            ids = list(chain.from_iterable(map((table or replay.learn(part)).__getitem__, part)))
-            if ids:
-                ids_sha.update(("," * bool(n) + ",".join(map(replay.text_of.__getitem__, ids))).encode())
-                bytes_sha.update(replay.decode(ids))
-            n += len(ids)
-            if with_ids:
-                kept.append(np.array(ids, np.int32))
-        return n, ids_sha.hexdigest(), bytes_sha.hexdigest(), np.concatenate([*kept, np.zeros(0, np.int32)])
+def rank_file(ranks: str) -> str:
+    """A path, or the place of a file of public_tokenizers."""
+    return ranks if "/" in ranks else public_tokenizers.path(ranks)
+
 
+def _counts(ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = loaded(public_tokenizers.path(name) if "/" not in name else name, pattern)
+        replay, counts = loaded(rank_file(ranks), pattern), Counter()
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            counts.clear()
+            return batch
+
         for x in batches:
-            texts, k = x.column(1), 0
-            while k < len(texts):
-                held, chars, begin = [], 0, k
-                while k < len(texts) and (chars < BATCH_CHARS or not held):
-                    text = texts[k].as_py() or ""
-                    if len(text) > BATCH_CHARS:
-                        break
-                    held.append(replay.pattern.findall(text))
-                    chars += len(text)
-                    k += 1
-                if held:
-                    table = replay.learn(set(chain.from_iterable(held)))
-                    found = [digest_of(replay, [w], table) for w in held]
-                else:
-                    found = [digest_of(replay, replay.portions(texts[k].as_py()))]
-                    k += 1
-                n, a, b, ids = zip(*found, strict=True)
-                cols = [x.column(0).slice(begin, k - begin), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            for text in x.column(1):
+                for part in replay.portions(text.as_py() or ""):
+                    counts.update(part)
+                    if len(counts) > COUNTED:
+                        yield out()
+        if counts:
+            yield out()
+
+    return run
+
+
+def _replayed(ranks: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = loaded(rank_file(ranks), pattern)
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(replay.ids_of(x.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "ids"])
+
+    return run
+
+
+def corpus_table(rows: DataFrame, ranks: str, pattern: str, most: int) -> tuple[str, list[str], np.ndarray, np.ndarray]:
+    """(key, words, counts of ids, ids) of the corpus's most frequent words, each replayed once.
+
+    Words of all whole texts are counted. Those that are counted at least so often that they are at most `most` words are
+    taken: a bound of what goes to the driver and to every task, for any corpus; the other words are replayed where they are.
+    """
+    counts = rows.mapInArrow(trimmed(_counts(ranks, pattern)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    with temporary(rows.sparkSession):
+        counts = cut(counts.where("n > 1"), "words")
+        step = F.when(F.col("n") <= 256, F.col("n")).otherwise(F.lit(256) + F.floor(8 * F.log2(F.col("n") / 256)))
+        least, total = None, 0
+        for _, words, n in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+            total += words
+            if total > most:
+                break
+            least = n
+        if least is None:
+            return "", [], np.zeros(0, np.int64), np.zeros(0, np.int32)
+        found = counts.where(F.col("n") >= least).repartition(REPLAYERS, "word").mapInArrow(trimmed(_replayed(ranks, pattern), 1 << 16), "word string, ids array<int>").toArrow()
+    ids = found.column("ids").combine_chunks()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]))
+    return uuid.uuid4().hex, found.column("word").to_pylist(), sizes.astype(np.int64), np.asarray(ids.flatten(), np.int32)
+
+
+def _digest(ranks: str, pattern: str, with_ids: bool, table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = loaded(rank_file(ranks), pattern)
+        replay.know(*table)
+        for x in batches:
+            n, ids_sha, bytes_sha, kept = [], [], [], []
+            for parts in replay.encode_all(t.as_py() or "" for t in x.column(1)):
+                a, b, size = hashlib.sha256(), hashlib.sha256(), 0
+                for part in parts:
+                    ids = part.tolist()
+                    if ids:
+                        a.update(("," * bool(size) + ",".join(map(replay.text_of.__getitem__, ids))).encode())
+                        b.update(replay.decode(ids))
+                    size += len(ids)
+                n.append(size), ids_sha.append(a.hexdigest()), bytes_sha.append(b.hexdigest())
                 if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
-        replay.cache = {}  # the worker lives on, maybe for stages that need the memory
+                    kept.append(np.concatenate([*parts, np.zeros(0, np.int32)]))
+            cols = [x.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                cols.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
+        replay.know("", [], np.zeros(0, np.int64), np.zeros(0, np.int32))  # the worker lives on, maybe for stages that need the memory
+        replay.forget()
 
     return run
 
 
 def encode(
-    docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", corpus_words: int = CORPUS_WORDS
 ) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids.
 
-    ranks: a file of public_tokenizers or a path that every executor can open. No shuffle: each task replays the
-    merges over its own batches. Null is empty (0 tokens, digests of nothing); texts of over BATCH_CHARS characters
-    go in portions of words; a null id stays null; repeated rows each give a row; other columns are not looked at.
+    ranks: a file of public_tokenizers or a path that every executor can open. Two passes over the texts: one counts their
+    words (only words and counts are shuffled), one encodes. Null is empty (0 tokens, digests of nothing); texts of over
+    BATCH_CHARS characters go in portions of words; a null id stays null; repeated rows each give a row; empty tables give
+    no rows; other columns are not looked at.
     """
     prepare(docs.sparkSession)
+    pattern = pattern or public_tokenizers.PATTERN
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(trimmed(_digest(ranks, pattern or public_tokenizers.PATTERN, with_ids)), schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    table = corpus_table(rows, ranks, pattern, corpus_words)
+    return rows.mapInArrow(trimmed(_digest(ranks, pattern, with_ids, table), 2048), schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -226,7 +336,7 @@ def decode(encoded: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", patte
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = loaded(public_tokenizers.path(ranks) if "/" not in ranks else ranks, pattern)
+        replay = loaded(rank_file(ranks), pattern)
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([replay.decode(v.as_py() or []) for v in x.column(1)], pa.binary())], ["id", "decoded"])
 

@@ -1,25 +1,32 @@
 """Chat formatting as prefix trees (operator 9).
 
-Conversations in the order of their turns' chained hashes lie as a depth-first walk of the tree of all conversations
-would meet them. Each pack of neighbours becomes one sequence in which a shared turn stands once; every node carries
-the position of its first unit on its own path, and the intervals of the sequence that its ancestors fill, which
-(besides its own earlier units) are all that its units may attend to. Units are code points.
+Conversations in the order of their turns' chained digests lie as a depth-first walk of the tree of all conversations
+would meet them. Each pack of neighbours becomes one sequence of tokens in which a shared turn stands once; every token has
+its position on its own path, and every node the intervals of the sequence that its ancestors fill, which (besides its
+own earlier tokens) are all that its tokens may attend to. Turns are marked by two ids beyond the vocabulary; roles and
+texts are encoded by byte-level BPE, each apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .bpe import Replay, loaded, rank_file
+from .common import prepare, trimmed
 
-#: Conversations and code points of a pack.
-PACK, PACK_CHARS = 256, 2_000_000
+#: Conversations and tokens of a pack: the first turns that conversations share are emitted once in each pack.
+PACK, PACK_TOKENS = 256, 1 << 19
+#: Code points of the conversations that one batch holds; ids of the marks that begin and end a turn, from the vocabulary's end on.
+BATCH_CHARS, BEGIN_ID, END_ID = 2_000_000, 0, 1
 START, END = "<|im_start|>", "<|im_end|>"
 HARMFUL = '<|im_end|><|im_start|>assistant ok'
 ESCAPE, UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -42,11 +49,8 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
-def format_turn(role: str, text: str) -> tuple[str, int, int]:
-    """A turn in the template, and where its text lies in it."""
-    head = f"{START}{escape_role(role)}\n"
-    body = escape(text)
-    return f"{head}{body}{END}\n", len(head), len(head) + len(body)
+def head_of(role: str) -> str:
+    return escape_role(role) + "\n"
 
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
@@ -62,17 +66,16 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (conv_id, turn, ...) to conversations: id, path (hex of the chained hash at each depth), roles, texts."""
-    kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    """Rows sorted by (conv_id, turn, ...) to conversations: id, path (the chained digest at each depth), roles, texts."""
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())]
     now, roles, texts, out, size = None, [], [], [], 0
 
     def close():
         chain, path = b"", []
         for r, t in zip(roles, texts, strict=True):
             chain = hashlib.blake2b(chain + len(r).to_bytes(8, "big") + r.encode() + b"\n" + t.encode(), digest_size=12).digest()
-            if len(path) < 32:
-                path.append(chain.hex())
-        out.append((now, "".join(path), list(roles), list(texts)))
+            path.append(chain)
+        out.append((now, b"".join(path), list(roles), list(texts)))
 
     def flush():
         batch = pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(4)], ["conv_id", "path", "roles", "texts"])
@@ -84,7 +87,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if conv != now and roles:
                 close()
                 roles, texts = [], []
-                if size > PACK_CHARS or len(out) >= 1024:
+                if size > BATCH_CHARS or len(out) >= 1024:
                     yield flush()
                     size = 0
             now = conv
@@ -100,35 +103,43 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Pack:
     """A prefix tree, emitted as it grows: conversations come in depth-first order."""
 
-    def __init__(self):
-        self.parts, self.length, self.convs = [], 0, 0
+    def __init__(self, replay: Replay):
+        self.begin, self.end = (np.array([len(replay.bytes_of) + k], np.int32) for k in (BEGIN_ID, END_ID))
+        self.parts: list[np.ndarray] = []
+        self.positions: list[np.ndarray] = []
+        self.length, self.convs = 0, 0
         self.nodes: list[dict] = []
         self.leaves: list[tuple[int, int]] = []
         self.open: list[int] = []  # nodes of the last conversation's path
 
-    def add(self, conv_id: int, roles: list[str], texts: list[str]) -> None:
+    def add(self, conv_id: int, roles: list[str], texts: list[str], encoded: dict[str, np.ndarray]) -> None:
+        """encoded: the ids of all heads (a role and a line feed), escaped texts, and of the line feed."""
         depth = 0
         while depth < min(len(roles), len(self.open)) and self.nodes[self.open[depth]]["turn"] == (roles[depth], texts[depth]):
             depth += 1
         del self.open[depth:]
         for r, t in zip(roles[depth:], texts[depth:], strict=True):
-            body, begin, end = format_turn(r, t)
+            head, body = np.concatenate([self.begin, encoded[head_of(r)]]), encoded[escape(t)]
+            ids = np.concatenate([head, body, self.end, encoded["\n"]])
             up = self.nodes[self.open[-1]] if self.open else None
+            position = up["position"] + up["size"] if up else 0
+            first = self.length + len(head)
             self.nodes.append({
-                "turn": (r, t), "parent": self.open[-1] if self.open else -1, "start": self.length, "size": len(body), "position": up["position"] + up["size"] if up else 0,
-                "loss": (self.length + begin, self.length + end) if r == "assistant" else None,
+                "turn": (r, t), "parent": self.open[-1] if self.open else -1, "start": self.length, "size": len(ids), "position": position,
+                "loss": (first, first + len(body)) if r == "assistant" else None,
                 "ancestors": merged([*up["ancestors"], (up["start"], up["start"] + up["size"])]) if up else [],
             })
             self.open.append(len(self.nodes) - 1)
-            self.parts.append(body)
-            self.length += len(body)
+            self.parts.append(ids)
+            self.positions.append(np.arange(position, position + len(ids), dtype=np.int32))
+            self.length += len(ids)
         self.leaves.append((conv_id, self.open[-1]))
         self.convs += 1
 
     def row(self) -> tuple:
         n = self.nodes
         return (
-            "".join(self.parts), [x["start"] for x in n], [x["size"] for x in n], [x["position"] for x in n],
+            np.concatenate(self.parts), np.concatenate(self.positions), [x["start"] for x in n], [x["size"] for x in n],
             [[v for a in x["ancestors"] for v in a] for x in n], [v for x in n if x["loss"] for v in x["loss"]], [c for c, _ in self.leaves], [k for _, k in self.leaves],
         )
 
@@ -144,71 +155,89 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-PACKS = "text string, node_start array<long>, node_size array<long>, node_position array<long>, node_ancestors array<array<long>>, loss_spans array<long>, conv_ids array<long>, conv_leaf array<long>"
-_KINDS = [pa.string(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.list_(pa.int64())), *[pa.list_(pa.int64())] * 3]
+PACKS = "tokens array<int>, positions array<int>, node_start array<long>, node_size array<long>, node_ancestors array<array<long>>, loss_spans array<long>, conv_ids array<long>, conv_leaf array<long>"
+_KINDS = [*[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 2, pa.list_(pa.list_(pa.int64())), *[pa.list_(pa.int64())] * 3]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = Pack()
+def _pack(ranks: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = loaded(rank_file(ranks), pattern)
+        pack = Pack(replay)
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(pack.row(), _KINDS, strict=True)], [c.split()[0] for c in PACKS.split(", ")])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(pack.row(), _KINDS, strict=True)], [c.split()[0] for c in PACKS.split(", ")])
 
-    for x in batches:
-        for conv, _, roles, texts in zip(*(c.to_pylist() for c in x.columns), strict=True):
-            pack.add(conv, roles, texts)
-            if pack.convs >= PACK or pack.length >= PACK_CHARS:
-                yield out()
-                pack = Pack()
-    if pack.convs:
-        yield out()
+        for x in batches:
+            convs = list(zip(*(c.to_pylist() for c in x.columns), strict=True))
+            strings = list({"\n"} | {head_of(r) for c in convs for r in c[2]} | {escape(t) for c in convs for t in c[3]})
+            encoded = {w: np.concatenate([*parts, np.zeros(0, np.int32)]) for w, parts in zip(strings, replay.encode_all(strings), strict=True)}
+            for conv, _, roles, texts in convs:
+                pack.add(conv, roles, texts, encoded)
+                if pack.convs >= PACK or pack.length >= PACK_TOKENS:
+                    yield out()
+                    pack = Pack(replay)
+        if pack.convs:
+            yield out()
+        replay.forget()
+
+    return run
 
 
-def format_chats(table: DataFrame) -> DataFrame:
+def format_chats(table: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """Packs (PACKS) of the conversations of a table (conv_id, turn, role, text).
 
     Rows go by turn, ties by role and text; null turns first; null roles and texts are empty; repeated rows are repeated
-    turns; rows with a null conv_id go; empty tables give no packs; other columns are not looked at. Rows of a
-    conversation are streamed in order, and conversations are dealt out by ranges of their path, so that a first turn
-    that many share is cut into as many packs as it needs.
+    turns; rows with a null conv_id go; empty tables give no packs; other columns are not looked at. Conversations are
+    dealt out by ranges of their path, so that a first turn that many share is cut into as many packs as it needs: a
+    shared turn stands once in each pack of PACK conversations, or PACK_TOKENS tokens, whichever comes first. The rows of one
+    conversation meet in one task, which holds that conversation whole.
     """
-    spark = table.sparkSession
-    prepare(spark, 1024)
+    prepare(table.sparkSession)
     rows = table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("conv_id is not null")
     rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    whole = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_gather, "conv_id long, path string, roles array<string>, texts array<string>")
-    return whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInArrow(_pack, PACKS)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        out = []
-        for p in x.to_pylist():
-            text, spans = p["text"], sorted(zip(p["loss_spans"][::2], p["loss_spans"][1::2], strict=True))
-            for conv, leaf in zip(p["conv_ids"], p["conv_leaf"], strict=True):
-                start, size = p["node_start"][leaf], p["node_size"][leaf]
-                seen = [*zip(p["node_ancestors"][leaf][::2], p["node_ancestors"][leaf][1::2], strict=True), (start, start + size)]
-                if sum(b - a for a, b in seen) != p["node_position"][leaf] + size:
-                    raise ValueError("positions and attention intervals disagree")
-                formatted = "".join(text[a:b] for a, b in seen)
-                turns = parse_turns(formatted)
-                sha, loss = hashlib.sha256(), hashlib.sha256()
-                for r, t in turns:
-                    sha.update(f"{r}\n{t}\n".encode())
-                chars = 0
-                for a, b in loss_within(spans, seen):
-                    said = unescape(text[a:b])
-                    chars += len(said)
-                    loss.update(said.encode())
-                out.append((conv, len(turns), sha.hexdigest(), chars, loss.hexdigest(), len(formatted)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names)
+    whole = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(trimmed(_gather, 4096), "conv_id long, path binary, roles array<string>, texts array<string>")
+    dealt = whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    return dealt.mapInArrow(trimmed(_pack(ranks, pattern or public_tokenizers.PATTERN), 1024), PACKS)
+
+
+def _read(ranks: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = loaded(rank_file(ranks), pattern)
+        marks = len(replay.bytes_of)
+        table = [*replay.bytes_of, START.encode(), END.encode()]
+        assert (marks + BEGIN_ID, marks + END_ID) == (len(table) - 2, len(table) - 1)
+        said = lambda ids: b"".join(map(table.__getitem__, ids.tolist())).decode()
+        for x in batches:
+            out = []
+            for k in range(x.num_rows):
+                get = lambda n, k=k: np.asarray(x.column(n)[k].values)
+                tokens, positions, starts, sizes = get("tokens"), get("positions"), get("node_start"), get("node_size")
+                loss = get("loss_spans")
+                spans = sorted(zip(loss[::2].tolist(), loss[1::2].tolist(), strict=True))
+                for conv, leaf in zip(get("conv_ids").tolist(), get("conv_leaf").tolist(), strict=True):
+                    start, size = int(starts[leaf]), int(sizes[leaf])
+                    above = np.asarray(x.column("node_ancestors")[k].values[leaf].values).tolist()
+                    seen = [*zip(above[::2], above[1::2], strict=True), (start, start + size)]
+                    if not np.array_equal(np.concatenate([positions[a:b] for a, b in seen]), np.arange(sum(b - a for a, b in seen))):
+                        raise ValueError("positions and attention intervals disagree")
+                    formatted = said(np.concatenate([tokens[a:b] for a, b in seen]))
+                    turns = parse_turns(formatted)
+                    sha, under, chars = hashlib.sha256(), hashlib.sha256(), 0
+                    for r, t in turns:
+                        sha.update(f"{r}\n{t}\n".encode())
+                    for a, b in loss_within(spans, seen):
+                        text = unescape(said(tokens[a:b]))
+                        chars += len(text)
+                        under.update(text.encode())
+                    out.append((conv, len(turns), sha.hexdigest(), chars, under.hexdigest(), len(formatted)))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names)
+
+    return run
 
 
 def loss_within(spans: list[tuple[int, int]], seen: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    from bisect import bisect_left
-
     for a, b in seen:
         k = bisect_left(spans, (a, a))
         while k < len(spans) and spans[k][1] <= b:
@@ -216,10 +245,9 @@ def loss_within(spans: list[tuple[int, int]], seen: list[tuple[int, int]]) -> It
             k += 1
 
 
-def read_packs(packs: DataFrame) -> DataFrame:
-    """What each conversation of the packs says, read back by its leaf's attention intervals."""
-    packs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return packs.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def read_packs(packs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
+    """What each conversation of the packs says, read back by its leaf's attention intervals and decoded."""
+    return packs.mapInArrow(trimmed(_read(ranks, pattern or public_tokenizers.PATTERN), 4), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

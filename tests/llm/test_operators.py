@@ -37,6 +37,21 @@ def test_bpe_is_the_library_s(spark):
     assert bpe.encode(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 5, 1 << 18])
+def test_bpe_of_repeated_rows_and_texts_in_portions(spark, most, monkeypatch):
+    """The same ids whichever words are replayed for the whole corpus, and of texts over the size of a batch."""
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    rng = random.Random(9)
+    long = " ".join(f"wort{rng.randrange(10**6)}  ümlaut\n" for _ in range(300_000))
+    assert len(long) > bpe.BATCH_CHARS
+    texts = ["one two two three three three", "one two two three three three", long, None, "tail"]
+    df = spark.createDataFrame([(1, t, "x") for t in texts], "doc_id long, text string, word string")
+    got = bpe.encode(df, corpus_words=most).collect()
+    want = sorted(hashlib.sha256(",".join(map(str, e.encode_ordinary(t or ""))).encode()).hexdigest() for t in texts)
+    assert sorted(r.ids_sha256 for r in got) == want and sorted(r.n_tokens for r in got) == sorted(len(r.ids) for r in got)
+    assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in texts)
+
+
 def test_merges_out_of_rank_order():
     """A table in which a merge opens a pair of lower rank."""
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 260, b"cd": 301, b"dd": 270}
@@ -185,8 +200,10 @@ def test_chat_round_trip(spark):
     nasty = [chat.HARMFUL, "<\\|x", "<|", "\\", "a\nb", "", None, "<\\\\|", "<"]
     rows = [(c, t, role, nasty[(c + t) % len(nasty)] if t else "shared first") for c in range(12) for t, role in enumerate(["user", "assistant", "us\ner\\", None])]
     df = spark.createDataFrame(rows + [(3, 3, None, None), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    replay = bpe.loaded(bpe.rank_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    said = lambda p: b"".join((replay.bytes_of + [b"<S>", b"<E>"])[i] for i in p.tokens).decode()
     packs = chat.format_chats(df).collect()
-    assert sum(p.text.count("shared first") for p in packs) < 12
+    assert sum(said(p).count("shared first") for p in packs) < 12 and all(len(p.tokens) == len(p.positions) for p in packs)
     got = {r.conv_id: r for r in chat.read_packs(chat.format_chats(df)).collect()}
     assert set(got) == set(range(12)) and got[3].n_turns == 5
     for c in got:
@@ -194,9 +211,25 @@ def test_chat_round_trip(spark):
             turns = [(r or "", t or "") for k, _, r, t in rows if k == c]
             assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
             assert got[c].loss_chars == sum(len(t) for r, t in turns if r == "assistant")
+    assert chat.read_packs(chat.format_chats(df.limit(0))).count() == 0
     assert all(chat.unescape(chat.escape(t or "")) == (t or "") and "<|" not in chat.escape(t or "") for t in nasty)
 
 
+def test_long_conversations_share_all_their_turns(spark):
+    """Four conversations of 40 turns: 36 shared by all, the 37th two by two; a column named like one that is used inside."""
+    said = lambda c, t: f"t{t}" if t < 36 else f"t{t} {c % 2}" if t == 36 else f"t{t} {c}"
+    rows = [(c, t, "user" if t % 2 else "assistant", said(c, t), "x") for c in range(4) for t in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string").repartition(5)
+    packs = chat.format_chats(df.coalesce(1)).collect()
+    assert sum(len(p.node_start) for p in packs) <= len(packs) * 36 + 2 * 1 + 4 * 3 + 2 * (len(packs) - 1)
+    replay = bpe.loaded(bpe.rank_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for p in packs:
+        text = b"".join((replay.bytes_of + [b"<S>", b"<E>"])[i] for i in p.tokens).decode()
+        assert text.count("\nt0<E>") == 1 and max(text.count(f"\nt36 {k}<E>") for k in (0, 1)) == 1
+    got = {r.conv_id: r for r in chat.read_packs(chat.format_chats(df)).collect()}
+    assert all(got[c].n_turns == 40 and got[c].loss_chars == sum(len(said(c, t)) for t in range(0, 40, 2)) for c in range(4))
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     sounds = {"en": ["th", "ing", "er"], "de": ["sch", "ung", "ei"], "fr": ["eau", "oi", "ent"], "es": ["cion", "ar", "ll"]}
