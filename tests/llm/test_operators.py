@@ -145,11 +145,37 @@ def test_embeddings(spark):
     for i, j in zip(*np.nonzero(near), strict=True):
         a, b = sorted((comp[i], comp[j]))
         comp = [a if c == b else c for c in comp]
-    rows = {r.vec_id: r for r in embedding.near_vectors(df, block_rows=16).collect()}
+    rows = {r.vec_id: r for r in embedding.near_vectors(df, interval_rows=16).collect()}
     assert [rows[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist() and [rows[i].component_id for i in range(len(x))] == comp
     assert all(rows[i].n_links == 0 and rows[i].kept for i in range(len(x), len(x) + len(bad)))
 
 
+def test_embeddings_of_repeated_ids_and_empty_tables(spark):
+    one, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, one, "x"), (1, one, "x"), (1, other, "x"), (2, one, "x"), (3, other, "x"), (None, [2.0, 0.01, 0.0], "x"), (None, None, "x"), (4, [1.0, 0.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 1, 1, False), (None, 3, 1, False), (None, 0, None, True), (4, 0, 4, True)], key=str)
+    assert embedding.near_vectors(df.limit(0)).count() == 0 and embedding.near_vectors(df.where("embedding is null")).count() == 1
+
+
+def test_leaves_hold_every_near_pair_and_compare_few_whole():
+    """Against all pairs: none is lost, and rows that need whole vectors are about those that have links."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[::10] = x[1::10] + 0.1 * rng.normal(size=(300, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    axes, eps = np.linalg.qr(rng.normal(size=(64, embedding.AXES)))[0], float(np.sqrt(0.1))
+    q = np.rint(u @ axes * embedding.STEPS).astype(np.int8)
+    near = np.triu(u @ u.T >= 0.95, 1)
+    found, rows = np.zeros_like(near), set()
+    for i, j, mask in embedding.near_leaves(q, q, embedding.reach(eps, embedding.AXES), True, 256):
+        a, b = np.nonzero(mask)
+        found[i + a, j + b] = True
+        rows |= set((i + a).tolist()) | set((j + b).tolist())
+    assert near.sum() >= 250 and not (near & ~found).any() and len(rows) < 800
+
+
 def test_warc(spark, tmp_path):
     html = [None, "", "é" * 999, "b", "b", "c" * 5000, "c" * 5000, "WARC/1.1\r\n\r\n0\r\n\r\n"]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}", h, "k", 0) for i, h in enumerate(html)], "page_id long, url string, html string, key string, nth int").repartition(3)
