@@ -85,6 +85,26 @@ def queries() -> dict[str, Query]:
         m = matrix1(s, d)
         return sk.ci_tests(triples(s, m.p).withColumn("s", F.array("m")), m, 1, A1).withColumn("m", F.col("s")[0])
 
+    def halves(s, d):
+        """The graphs, at level 0, of the embeddings' two halves: one as found, one as its reference."""
+        a, b = (sk.skeleton(s, moments.correlation_matrix(v(s, d), n), A2, 0).edges for v, n in ((views.v2, views.V2), (views.v4, views.V4)))
+        return a, b, a.selectExpr("i as src", "j as dst"), b.selectExpr("if((i + j) % 3 = 0, j, i) as src", "if((i + j) % 3 = 0, i, j) as dst")
+
+    def scored(s, d):
+        return evaluate.ratios(evaluate.confusion(*halves(s, d)[2:], 32)).select(*[F.round(k, 6).alias(k) for k in ("Precision", "Recall_TPR", "F1", "FDR", "FPR")], "SHD", "TP", "FP", "FN", "TN")
+
+    def places(s, d):
+        """(lines, variables): edges from nations to their regions, some lines without one."""
+        t = lambda n: s.read.parquet(f"{d}/{n}.parquet")
+        lines = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("n_nationkey as pos", "replace(n_name, ' ', '_') || if(n_nationkey % 2 = 0, ',', '  ') || replace(r_name, ' ', '_') || if(n_nationkey % 5 = 0, '_x', '') as line")
+        names = t("nation").selectExpr("n_nationkey as idx", "replace(n_name, ' ', '_') as name").union(t("region").selectExpr("r_regionkey + 25", "replace(r_name, ' ', '_')"))
+        return lines, names
+
+    def summary(s, d):
+        m = moments.correlation_matrix(views.v3(s, d), views.V3)
+        edges = sk.skeleton(s, m, A1, 0).edges
+        return report_graph(small(s, list(enumerate(views.V3)), "idx int, name string"), edges, edges.selectExpr("i as src", "j as dst"))
+
     def e2e(s, d):
         r = discover(views.v2(s, d), A2, 2)
         lines = r.edges.selectExpr("'edge' as kind", "i as a", "j as b")
@@ -136,6 +156,11 @@ def queries() -> dict[str, Query]:
         "thin_sweep": lambda s, d: small(s, [(r["step"], r["n"], r["edges"]) for r in sweep(views.v3(s, d), [A1], [0], ["doc_id"], [1, 2, 5])], "step int, n long, edges long"),
         "truth_recovery": lambda s, d: evaluate.by_recovery(small(s, [("A", "B"), ("X", "A"), ("C", "A"), ("B", "Y")], "src_name string, dst_name string"), small(s, list(enumerate(NAMES)), "idx int, name string")),
         "truth_missing": lambda s, d: evaluate.missing_edges(pairs(s, TRUTH), pairs(s, PRED)),
+        "graph_scores": scored,
+        "graph_skeleton_shd": lambda s, d: (lambda a, b, x, y: evaluate.shd_edges(a, x, y))(*halves(s, d)),
+        "graph_orientation": lambda s, d: (lambda a, b, x, y: evaluate.orientation_counts(a, x, y))(*halves(s, d)),
+        "truth_of_places": lambda s, d: truth.parse_edges(*places(s, d), 30),
+        "report_of_table": summary,
         "discover_end_to_end": e2e,
     }
     for rule in (1, 2, 3):
@@ -236,6 +261,23 @@ u AS (SELECT i, j FROM adj WHERE NOT EXISTS (SELECT 1 FROM ar WHERE (src = i AND
     guard = "WITH " + _corr_cte("SELECT p_size::DOUBLE AS p_size, 5.0::DOUBLE AS five, p_retailprice FROM part", ["p_size", "five", "p_retailprice"])
     k2 = """SELECT a.i, a.j, a.m, b.m AS m2, round(CASE WHEN sqrt((1 - b1.rho * b1.rho) * (1 - b2.rho * b2.rho)) <= 1e-8 THEN 0.0 ELSE (a.rho - b1.rho * b2.rho) / sqrt((1 - b1.rho * b1.rho) * (1 - b2.rho * b2.rho)) END, 6) + 0.0 AS rho
 FROM k1 a JOIN k1 b ON b.i = a.i AND b.j = a.j AND b.m > a.m JOIN k1 b1 ON b1.i = a.i AND b1.j = b.m AND b1.m = a.m JOIN k1 b2 ON b2.i = a.j AND b2.j = b.m AND b2.m = a.m WHERE a.i < a.j"""
+    level0 = lambda view, names: f"(WITH {_corr_cte(view, names)} SELECT i, j FROM r WHERE i < j AND abs(0.5 * sqrt((SELECT n FROM n) - 3) * ln((1 + r) / (1 - r))) > {critical_z(A2)!r})"
+    both = f"""WITH a AS (SELECT i AS src, j AS dst FROM {level0(views.V2_SQL, views.V2)}), h AS (SELECT * FROM {level0(views.V4_SQL, views.V4)}),
+b AS (SELECT CASE WHEN (i + j) % 3 = 0 THEN j ELSE i END AS src, CASE WHEN (i + j) % 3 = 0 THEN i ELSE j END AS dst FROM h)"""
+    entries = """, c AS (SELECT count(*) FILTER (x.src IS NOT NULL AND y.src IS NOT NULL) AS TP, count(*) FILTER (y.src IS NULL) AS FP, count(*) FILTER (x.src IS NULL) AS FN FROM a x FULL JOIN b y USING (src, dst)),
+k AS (SELECT TP, FP, FN, 32 * 31 - TP - FP - FN AS TN, FP + FN AS SHD FROM c),
+q AS (SELECT *, coalesce(TP / nullif(TP + FP, 0), 0.0) AS P, coalesce(TP / nullif(TP + FN, 0), 0.0) AS R FROM k)
+SELECT round(P, 6) AS Precision, round(R, 6) AS Recall_TPR, round(coalesce(2 * P * R / nullif(P + R, 0), 0.0), 6) AS F1, round(coalesce(FP / nullif(TP + FP, 0), 0.0), 6) AS FDR,
+  round(coalesce(FP / nullif(FP + TN, 0), 0.0), 6) AS FPR, SHD, TP, FP, FN, TN FROM q"""
+    turns = ", m AS (SELECT x.src IS NOT NULL AS p, y.i IS NOT NULL AS t, (y.i + y.j) % 3 = 0 AS back FROM a x FULL JOIN h y ON x.src = y.i AND x.dst = y.j)"
+    places = """WITH v AS (SELECT n_nationkey AS idx, replace(n_name, ' ', '_') AS name FROM nation UNION ALL SELECT r_regionkey + 25, replace(r_name, ' ', '_') FROM region)
+SELECT x.idx::INT AS src, y.idx::INT AS dst FROM nation JOIN region ON r_regionkey = n_regionkey JOIN v x ON x.name = replace(n_name, ' ', '_') JOIN v y ON y.name = replace(r_name, ' ', '_') WHERE n_nationkey % 5 <> 0"""
+    named = "list_value(" + ", ".join(f"'{c}'" for c in views.V3) + ")"
+    described = f"""{_pc_cte(views.V3_SQL, views.V3, A1, 0)},
+l AS (SELECT 0 AS part, 0 AS a, 0 AS b, 'Variables: {", ".join(views.V3)}' AS text UNION ALL SELECT 1, -1, 0, 'Undirected skeleton:' UNION ALL SELECT 2, -1, 0, 'Directed edges:'
+  UNION ALL SELECT 1, k, 0, '  ' || {named}[k + 1] || ' -> ' || coalesce((SELECT string_agg({named}[j + 1], ', ' ORDER BY j) FROM adj WHERE adj.i = k), '(none)') FROM range(6) v(k)
+  UNION ALL SELECT 2, i, j, '  ' || {named}[i + 1] || ' -> ' || {named}[j + 1] FROM e UNION ALL SELECT 2, 0, 0, '  (none detected)' WHERE NOT EXISTS (FROM e))
+SELECT (row_number() OVER (ORDER BY part, a, b) - 1)::INT AS line_no, text FROM l"""
     metrics = {"Precision": 0.4, "Recall_TPR": 0.4, "F1": 0.4, "FDR": 0.6, "FPR": 0.2, "SHD": 6, "TP": 2, "FP": 3, "FN": 3, "TN": 12}
     graph = [f"Variables: {', '.join(NAMES)}", "Undirected skeleton:", "  A -> B", "  B -> A, C", "  C -> B, D", "  D -> C", "  E -> (none)", "Directed edges:", "  A -> B", "  A -> D", "  C -> B", "  C -> D", "  D -> C"]
     return {
@@ -285,6 +327,11 @@ count(*) FILTER (p.s <> t.s AND p.s <> '-' AND NOT {turned}) AS other FROM p JOI
         "thin_sweep": " UNION ALL ".join(f"SELECT * FROM ({_pc_cte(thinned(k), views.V3[:-1], A1, 0)} SELECT {k}::INT AS step, (SELECT n FROM n) AS n, (SELECT count(*) FROM e) AS edges)" for k in (1, 2, 5)),
         "truth_recovery": f"WITH v(idx, name) AS (VALUES {name_rows}), t(a, b) AS (VALUES ('A', 'B'), ('X', 'A'), ('C', 'A'), ('B', 'Y')) SELECT a AS src_name, b AS dst_name, a IN (SELECT name FROM v) AND b IN (SELECT name FROM v) AS recoverable FROM t",
         "truth_missing": f"SELECT * FROM (VALUES {rows(TRUTH)}) t(src, dst) EXCEPT SELECT * FROM (VALUES {rows(PRED)}) p(src, dst)",
+        "graph_scores": both + entries,
+        "graph_skeleton_shd": f"{both}{turns} SELECT count(*) FILTER (NOT p OR NOT t OR back) AS SHD FROM m",
+        "graph_orientation": f"{both}{turns} SELECT count(*) FILTER (NOT back) AS correct, count(*) FILTER (back) AS reversed, 0::BIGINT AS undirected, 0::BIGINT AS other FROM m WHERE p AND t",
+        "truth_of_places": places,
+        "report_of_table": described,
         "discover_end_to_end": f"{pc()} SELECT 'edge' AS kind, i AS a, j AS b FROM e UNION ALL SELECT 'arrow', src, dst FROM arr",
         "meek_r1": f"{free} SELECT DISTINCT u.i AS src, u.j AS dst FROM ar JOIN u ON ar.dst = u.i AND ar.src <> u.j WHERE {apart('ar.src', 'u.j')}",
         "meek_r2": f"{free} SELECT DISTINCT u.i AS src, u.j AS dst FROM u JOIN ar x ON x.src = u.i JOIN ar y ON y.src = x.dst AND y.dst = u.j",

@@ -11,6 +11,8 @@ FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_o
 JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey"""
 V2 = [f"e{k}" for k in range(32)]
 V2_SQL = "SELECT " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(32)) + " FROM embeddings"
+V4 = [f"e{k}" for k in range(32, 64)]
+V4_SQL = "SELECT " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(32, 64)) + " FROM embeddings"
 V3 = ["chars", "words", "lines", "digits", "capitals", "doc_id"]
 V3_SQL = """SELECT length(text)::DOUBLE AS chars, len(string_split(text, ' '))::DOUBLE AS words, len(string_split(text, chr(10)))::DOUBLE AS lines,
   length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE AS digits, length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE AS capitals, doc_id::DOUBLE AS doc_id
@@ -36,6 +38,11 @@ def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(*[f"cast(embedding[{k}] as double) e{k}" for k in range(32)])
 
 
+def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of the embeddings' components."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(*[f"cast(embedding[{k}] as double) e{k}" for k in range(32, 64)])
+
+
 def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
         "cast(length(text) as double) chars", "cast(size(split(text, ' ', -1)) as double) words", "cast(size(split(text, '\\n', -1)) as double) lines",
