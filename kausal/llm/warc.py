@@ -139,25 +139,25 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment: int =
         records.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", PER_FILE).option("lineSep", "\u0000").text(path)
 
 
-def members(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """What the members of a gzip file hold, or a file that isn't compressed, in pieces of about `size` bytes."""
+def members(data: bytes, size: int = 1 << 13) -> Iterator[bytes]:
+    """What the members of a gzip file hold, or a file that isn't compressed, in pieces; `size` bytes are looked at a time."""
     if data[:2] != b"\x1f\x8b":
         yield from (data[k : k + size] for k in range(0, len(data), size))
         return
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
         if data[at] == 0:  # padding between members
             at += 1
             continue
-        z, fed = zlib.decompressobj(31), at
+        z = zlib.decompressobj(31)
         while not z.eof:
-            if fed >= len(data) and not z.unconsumed_tail:
+            if at >= len(data):
                 raise ValueError("a gzip member is cut off")
-            piece = z.unconsumed_tail or data[fed : fed + size]
-            fed += 0 if z.unconsumed_tail else len(piece)
-            if out := z.decompress(piece, size):
+            piece = view[at : at + size]
+            at += len(piece)
+            if out := z.decompress(piece):
                 yield out
-        at = fed - len(z.unused_data) - len(z.unconsumed_tail)
+        at -= len(z.unused_data)
 
 
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -189,30 +189,6 @@ def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[: stop + 4]
 
 
-FIELDS = "origin string, kind string, seg int, total long, page_id long, refers string, digest string, block binary"
-_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)], [f.split()[0] for f in FIELDS.split(", ")])
-
-    for x in batches:
-        for content in x.column(0):
-            held, size = [], 0
-            for h, block in parse(members(content.as_py())):
-                if h["warc-type"] not in ("response", "revisit", "continuation"):
-                    continue
-                num = lambda k, h=h: int(h[k]) if k in h else None
-                held.append((h.get("warc-segment-origin-id", h["warc-record-id"]), h["warc-type"], num("warc-segment-number") or 0, num("warc-segment-total-length"), num("warc-page-id"), h.get("warc-refers-to"), h.get("warc-payload-digest", "sha1:")[5:], block))
-                size += len(block)
-                if size > 8 << 20:
-                    yield out(held)
-                    held, size = [], 0
-            if held:
-                yield out(held)
-
-
 def _payload(kind: str, block: bytes) -> tuple[int, bytes | None]:
     head, _, body = block.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
@@ -222,9 +198,54 @@ def _payload(kind: str, block: bytes) -> tuple[int, bytes | None]:
     return len(payload), payload
 
 
+WHOLE = "origin string, page_id long, payload_bytes long, payload_digest string, record_type string, refers string, payload binary"
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+#: Whole records have no seg; of segmented ones each segment has its number and block, for the origin to be put together.
+READ = WHOLE + ", seg int, total long, block binary"
+
+
+def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in schema.split(", ")])
+
+
+def _checked(origin: str, page: int | None, kind: str, refers: str | None, digest: str, block: bytes, with_payload: bool) -> tuple:
+    """A row of WHOLE; a wrong digest is an error."""
+    n, payload = _payload(kind, block)
+    if payload is not None and payload_digest(payload) != digest:
+        raise ValueError(f"record {origin}: payload digest {payload_digest(payload)}, {digest} announced")
+    return origin, page, n, digest, kind, refers, payload if with_payload else None
+
+
+def _parse(with_payload: bool):
+    kinds = [*_KINDS, pa.int32(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for content in x.column(0):
+                held, size = [], 0
+                for h, block in parse(members(content.as_py())):
+                    kind, num = h["warc-type"], lambda k, h=h: int(h[k]) if k in h else None
+                    if kind not in ("response", "revisit", "continuation"):
+                        continue
+                    about = (h.get("warc-segment-origin-id", h["warc-record-id"]), num("warc-page-id"), kind, h.get("warc-refers-to"), h.get("warc-payload-digest", "sha1:")[5:])
+                    if (seg := num("warc-segment-number")) is None:
+                        held.append((*_checked(*about, block, with_payload), None, None, None))
+                        size += 200 + len(block) * with_payload
+                    else:
+                        origin, page, kind, refers, digest = about
+                        held.append((origin, page, None, digest, kind, refers, None, seg, num("warc-segment-total-length"), block))
+                        size += 200 + len(block)
+                    if size > 8 << 20:
+                        yield _batch(held, READ, kinds)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held, READ, kinds)
+
+    return run
+
+
 def _whole(with_payload: bool):
     """Origins (segments in order, total length) to payloads with lengths and digests; a wrong total or digest is an error."""
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -232,20 +253,14 @@ def _whole(with_payload: bool):
             for origin, page, kind, refers, digest, total, segs in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 numbers = [s["seg"] for s in segs]
                 block = b"".join(s["block"] for s in segs)
-                if kind is None or numbers not in ([0], list(range(1, len(segs) + 1))) or (len(segs) > 1 and total != len(block)):
+                if kind is None or numbers != list(range(1, len(segs) + 1)) or (len(segs) > 1 and total != len(block)):
                     raise ValueError(f"record {origin}: segments {numbers} of {len(block)} bytes, {total} announced")
-                n, payload = _payload(kind, block)
-                if payload is not None and payload_digest(payload) != digest:
-                    raise ValueError(f"record {origin}: payload digest {payload_digest(payload)}, {digest} announced")
-                out.append((origin, page, n, digest, kind, refers, payload if with_payload else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in WHOLE.split(", ")])
+                out.append(_checked(origin, page, kind, refers, digest, block, with_payload))
+            yield _batch(out, WHOLE, _KINDS)
 
     return run
 
 
-WHOLE = "origin string, page_id long, payload_bytes long, payload_digest string, record_type string, refers string, payload binary"
-
-
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per response or revisit of the archives under path: page_id, payload_bytes, payload_digest, record_type,
     refers_to (the page of the record that a revisit names), and if asked for the payload (null for revisits).
@@ -256,14 +271,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     """
     prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(trimmed(_parse), FIELDS)
-    columns = ["origin", "page_id", "kind", "refers", "digest", "total", "segs"]
-    single = records.where("seg = 0").withColumns({"total": F.lit(None).cast("long"), "segs": F.array(F.struct("seg", "block"))}).select(*columns)
-    head = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c)))
-    joined = records.where("seg > 0").groupBy("origin").agg(
-        *(head(c).alias(c) for c in ("page_id", "kind", "refers", "digest")), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("seg", "block"))).alias("segs")
-    ).select(*columns)
-    whole = cut(single.unionByName(joined).mapInArrow(trimmed(_whole(with_payload), 64), WHOLE), "records")
+    records = cut(files.mapInArrow(trimmed(_parse(with_payload)), READ), "records")
+    head = lambda c, name: F.max(F.when(F.col("record_type") != "continuation", F.col(c))).alias(name)
+    joined = records.where("seg is not null").groupBy("origin").agg(
+        head("page_id", "page_id"), head("record_type", "kind"), head("refers", "refers"), head("payload_digest", "digest"), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("seg", "block"))).alias("segs")
+    ).mapInArrow(trimmed(_whole(with_payload), 64), WHOLE)
+    whole = records.where("seg is null").drop("seg", "total", "block").unionByName(cut(joined, "joined"))
     responses = whole.where("record_type = 'response'")
     asked = whole.where("record_type = 'revisit'").select(F.col("refers").alias("key"), "page_id", F.lit(None).cast("long").alias("target"))
     named = groups_by_key(asked.unionByName(responses.select(F.col("origin").alias("key"), "page_id", F.col("page_id").alias("target"))), "key", "page_id", "min", "target")
