@@ -87,7 +87,7 @@ def only(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> Data
     keyed = docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), digest: digest_of(f"`{text_col}`")})
     c = chosen.select(F.col("id").alias("_i"), F.col("digest").alias("_d"), F.col("copies").alias("_n"))
     same = keyed[key].eqNullSafe(c["_i"]) & (keyed[digest] == c["_d"])
-    single = keyed.join(c.where("_n = 1"), same, "left_semi").select(*own)
+    single = keyed.join(c.where("_n = 1"), same, "left_semi").select(*[F.col(f"`{n}`") for n in own])
     if chosen.where("copies > 1").isEmpty():
         return single
     again = keyed.join(c.where("_n > 1"), same, "left_semi")
