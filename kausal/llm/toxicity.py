@@ -15,8 +15,8 @@ from .common import crc_mod, prepare
 from .quality import scorer
 from .words import BareHashes, Rows, all_hashes, gathered, sampled, slots
 
-#: Slots of the words; most positives and unlabelled texts; least texts that a word must be in; steps.
-BITS, POSITIVES, UNLABELLED, LEAST_TEXTS, STEPS = 18, 2500, 5000, 3, 250
+#: Slots of the words; most positives and unlabelled texts; standard errors that a word's shares of them must differ by; steps.
+BITS, POSITIVES, UNLABELLED, APART, STEPS = 18, 2500, 5000, 4.0, 250
 
 
 def toxic_features():
@@ -31,10 +31,18 @@ def toxic_features():
     return f
 
 
-def nnpu(rows: Rows, positive: np.ndarray, prior: float, size: int, steps: int = STEPS, rate: float = 0.05, l1: float = 2e-4) -> tuple[np.ndarray, float]:
+def telling(rows: Rows, positive: np.ndarray, size: int) -> np.ndarray:
+    """Whether each slot's shares of the positive and of the unlabelled texts differ by over APART standard errors."""
+    n = [max(1, int(m.sum())) for m in (positive, ~positive)]
+    has = [np.bincount(rows.cols[m[rows.row]], minlength=size) for m in (positive, ~positive)]
+    pool = (has[0] + has[1]) / sum(n)
+    error = np.sqrt(pool * (1 - pool) * (1 / n[0] + 1 / n[1]))
+    return np.abs(has[0] / n[0] - has[1] / n[1]) > APART * error
+
+
+def nnpu(rows: Rows, positive: np.ndarray, prior: float, size: int, steps: int = STEPS, rate: float = 0.05, l1: float = 5e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk with logistic loss; Adam with soft thresholds."""
-    often = np.bincount(rows.cols, minlength=size) >= LEAST_TEXTS
-    rows.vals = rows.vals * often[rows.cols]
+    rows.vals = rows.vals * telling(rows, positive, size)[rows.cols]
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
