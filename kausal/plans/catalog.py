@@ -261,6 +261,21 @@ u AS (SELECT i, j FROM adj WHERE NOT EXISTS (SELECT 1 FROM ar WHERE (src = i AND
     guard = "WITH " + _corr_cte("SELECT p_size::DOUBLE AS p_size, 5.0::DOUBLE AS five, p_retailprice FROM part", ["p_size", "five", "p_retailprice"])
     k2 = """SELECT a.i, a.j, a.m, b.m AS m2, round(CASE WHEN sqrt((1 - b1.rho * b1.rho) * (1 - b2.rho * b2.rho)) <= 1e-8 THEN 0.0 ELSE (a.rho - b1.rho * b2.rho) / sqrt((1 - b1.rho * b1.rho) * (1 - b2.rho * b2.rho)) END, 6) + 0.0 AS rho
 FROM k1 a JOIN k1 b ON b.i = a.i AND b.j = a.j AND b.m > a.m JOIN k1 b1 ON b1.i = a.i AND b1.j = b.m AND b1.m = a.m JOIN k1 b2 ON b2.i = a.j AND b2.j = b.m AND b2.m = a.m WHERE a.i < a.j"""
+    code = lambda x, y: f"({x} * 1000 + {y})::BIGINT"
+    line = lambda x, y: f"{code(x, y)}, {code(y, x)}"
+    completed = f"""{pc()},
+bi AS (SELECT x.src AS i, x.dst AS j FROM arr x JOIN arr y ON x.src = y.dst AND x.dst = y.src),
+ln AS (SELECT i, j FROM adj ANTI JOIN bi USING (i, j)),
+rule AS (
+  SELECT [{code('x.i', 'x.j')}] AS need, [{line('y.i', 'y.j')}] AS free, {code('y.i', 'y.j')} AS v FROM adj x JOIN ln y ON x.j = y.i AND x.i <> y.j WHERE NOT EXISTS (FROM adj z WHERE z.i = x.i AND z.j = y.j)
+  UNION ALL SELECT [{code('x.i', 'x.j')}, {code('y.i', 'y.j')}], [{line('c.i', 'c.j')}], {code('c.i', 'c.j')} FROM ln c JOIN adj x ON x.i = c.i JOIN adj y ON y.i = x.j AND y.j = c.j
+  UNION ALL SELECT [{code('c.j', 'b.j')}, {code('d.j', 'b.j')}], [{line('b.i', 'b.j')}, {line('c.i', 'c.j')}, {line('d.i', 'd.j')}], {code('b.i', 'b.j')}
+    FROM ln b JOIN ln c ON c.i = b.i JOIN ln d ON d.i = b.i AND c.j < d.j WHERE NOT EXISTS (FROM adj z WHERE z.i = c.j AND z.j = d.j)),
+mk AS (SELECT 0::BIGINT AS k, (SELECT coalesce(list({code('src', 'dst')}), []) FROM arr ANTI JOIN bi ON src = bi.i AND dst = bi.j) AS a
+  UNION ALL SELECT k + 1, list_concat(a, n) FROM (
+    SELECT k, a, list_filter(m, lambda x: NOT list_contains(m, (x % 1000) * 1000 + x // 1000)) AS n FROM (
+      SELECT k, any_value(a) AS a, list(DISTINCT v) AS m FROM mk JOIN rule ON list_has_all(a, need) AND NOT list_has_any(a, free) GROUP BY k)) WHERE len(n) > 0)
+SELECT (v // 1000)::INT AS src, (v % 1000)::INT AS dst FROM (SELECT unnest(a) AS v FROM mk WHERE k = (SELECT max(k) FROM mk))"""
     level0 = lambda view, names: f"(WITH {_corr_cte(view, names)} SELECT i, j FROM r WHERE i < j AND abs(0.5 * sqrt((SELECT n FROM n) - 3) * ln((1 + r) / (1 - r))) > {critical_z(A2)!r})"
     both = f"""WITH a AS (SELECT i AS src, j AS dst FROM {level0(views.V2_SQL, views.V2)}), h AS (SELECT * FROM {level0(views.V4_SQL, views.V4)}),
 b AS (SELECT CASE WHEN (i + j) % 3 = 0 THEN j ELSE i END AS src, CASE WHEN (i + j) % 3 = 0 THEN i ELSE j END AS dst FROM h)"""
@@ -304,6 +319,7 @@ SELECT (row_number() OVER (ORDER BY part, a, b) - 1)::INT AS line_no, text FROM
         "colliders": f"{pc()} SELECT src, dst FROM arr",
         "bidirected_pairs": f"{pc()} SELECT x.src AS i, x.dst AS j FROM arr x JOIN arr y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst",
         "orient_conflict_free": f"{pc()} SELECT src, dst FROM arr x WHERE NOT EXISTS (SELECT 1 FROM arr y WHERE x.src = y.dst AND x.dst = y.src)",
+        "cpdag": completed,
         "truth_matrix_parse": f"""WITH l(pos, line) AS (VALUES {matrix_rows}), k AS (SELECT pos, string_split_regex(trim(regexp_replace(line, '#.*', '')), '\\s+') AS v FROM l WHERE trim(line) <> ''),
 o AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS src, v FROM k), c AS (SELECT src, unnest(range(5)) AS dst, v FROM o) SELECT src::INT AS src, dst::INT AS dst FROM c WHERE v[dst + 1]::DOUBLE <> 0""",
         "truth_edge_parse": f"""WITH l(pos, line) AS (VALUES {edge_rows}), v(idx, name) AS (VALUES {name_rows}),
