@@ -21,8 +21,9 @@ from ..sources.shared import cut, new_path, release, shared_dir, temporary
 
 __all__ = ["cut", "new_path", "release", "shared_dir", "temporary"]
 
-#: Rows that a function holds at once. Spark's own bound of a batch is 64 MB.
-ROWS = 512
+#: Rows that a function holds at once. Bytes of an Arrow batch, and the default of Spark that they replace.
+ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_SETTING, BATCH_DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64mb")
 #: Salts of a hot group; a bit mask in a long holds which of them a group has.
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,7 +31,10 @@ _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors once. No setting of the session is changed."""
+    """Sends this package to the executors once, and lowers the session's bound of an Arrow batch from Spark's default to
+    BATCH_BYTES, as plans are run after a call returns and texts may be long. No other setting is changed."""
+    if spark.conf.get(BATCH_SETTING).lower() in BATCH_DEFAULTS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc in _shipped:
         return
