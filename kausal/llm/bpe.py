@@ -1,7 +1,7 @@
 """Byte-level BPE by corpus-level merge replay (operator 1).
 
-Words of all texts are counted first; the most frequent ones form one corpus, which is replayed once and whose ids go to
-every task. What else a batch of texts holds is replayed there, as a corpus of its own. An inverted index leads from the
+Pieces between white space are counted over all texts first; the words of the most frequent ones form one corpus, which is
+replayed once and whose ids go to every task. What else a batch of texts holds is replayed there, as a corpus of its own. An inverted index leads from the
 rank of a token pair to the places where the pair stands; merges are applied in rank order to all places at once, and
 only the pairs beside a merged place are looked up again.
 """
@@ -13,7 +13,8 @@ import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare, temporary, trimmed
 
-#: Most words of the whole corpus that are replayed once and sent to every task; words that a worker keeps besides.
-CORPUS_WORDS, CACHE_WORDS = 1 << 18, 300_000
-#: Characters of a batch, words of a portion of a very long text, words that are counted before they are passed on.
-BATCH_CHARS, PORTION_WORDS, COUNTED = 4_000_000, 200_000, 400_000
+#: Most pieces of the whole corpus whose words are replayed once and sent to every task; their mean and greatest length;
+#: words that a worker keeps besides.
+CORPUS_PIECES, MEAN_CHARS, PIECE_CHARS, CACHE_WORDS = 1 << 18, 16, 64, 200_000
+#: Characters of a batch, words of a portion of a very long text, pieces that are counted before they are passed on.
+BATCH_CHARS, PORTION_WORDS, COUNTED = 2_000_000, 200_000, 400_000
 #: Tasks that replay the frequent words.
 REPLAYERS = 16
 _loaded: dict[str, Replay] = {}
@@ -157,13 +159,8 @@ class Replay:
         return out
 
     def learn(self, words: Iterable[str]) -> None:
-        """Sees that all these words have numbers; most of the table is kept for the next batch."""
-        new = list(set(words).difference(self.numbers))
-        if len(self.numbers) + len(new) > len(self.common[0]) + CACHE_WORDS:
-            self.forget()
-            new = list(set(words).difference(self.numbers))
-        if not new:
-            return
+        """Gives numbers to words that have none."""
+        new = list(set(words))
         found = self.ids_of(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.numbers.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
@@ -171,12 +168,24 @@ class Replay:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
 
-    def of_words(self, words: list[str]) -> np.ndarray:
-        """The ids of learned words, one after the other."""
-        k = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[k]
-        begins = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.starts[k] - begins, sizes) + np.arange(int(sizes.sum()))]
+    def of_words(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each list's words, one after the other. Words that have no number yet, of all the lists, are learned
+        together; most of the table is kept for the next time."""
+        if len(self.numbers) > len(self.common[0]) + CACHE_WORDS:
+            self.forget()
+        look = self.numbers.get
+        numbers = [np.fromiter(map(look, words, repeat(-1)), np.int64, len(words)) for words in lists]
+        unknown = [np.flatnonzero(k < 0) for k in numbers]
+        missing = [[words[i] for i in at.tolist()] for words, at in zip(lists, unknown, strict=True)]
+        if any(missing):
+            self.learn(chain.from_iterable(missing))
+        out = []
+        for k, at, words in zip(numbers, unknown, missing, strict=True):
+            k[at] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+            sizes = self.sizes[k]
+            begins = np.cumsum(sizes) - sizes
+            out.append(self.ids[np.repeat(self.starts[k] - begins, sizes) + np.arange(int(sizes.sum()))])
+        return out
 
     def portions(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BATCH_CHARS:
@@ -190,25 +199,18 @@ class Replay:
         """For each text the ids of its portions. Texts are taken in batches of BATCH_CHARS; one that is longer by itself,
         a portion at a time, while the iterator is at it."""
         held, chars = [], 0
-
-        def batch():
-            self.learn(set(chain.from_iterable(held)))
-            found = [[self.of_words(w)] for w in held]
-            held.clear()
-            return found
-
         for text in texts:
             if len(text) > BATCH_CHARS:
-                yield from batch()
-                chars = 0
-                yield [(self.learn(part), self.of_words(part))[1] for part in self.portions(text)]
+                yield from ([ids] for ids in self.of_words(held))
+                held, chars = [], 0
+                yield [self.of_words([part])[0] for part in self.portions(text)]
                 continue
             held.append(self.pattern.findall(text))
             chars += len(text)
             if chars >= BATCH_CHARS:
-                yield from batch()
-                chars = 0
-        yield from batch()
+                yield from ([ids] for ids in self.of_words(held))
+                held, chars = [], 0
+        yield from ([ids] for ids in self.of_words(held))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for parts in self.encode_all([text]) for part in parts for i in part]
@@ -229,23 +231,35 @@ def rank_file(ranks: str) -> str:
     return ranks if "/" in ranks else public_tokenizers.path(ranks)
 
 
-def _counts(ranks: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, counts = loaded(rank_file(ranks), pattern), Counter()
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, n): how often each short piece between white space, without the ASCII punctuation around it, stands in the texts."""
+    counts: Counter[str] = Counter()
+
+    def out():
+        bare: Counter[str] = Counter()
+        for piece, n in counts.items():
+            bare[piece.strip(punctuation)] += n
+        counts.clear()
+        found = [(w, n) for w, n in bare.items() if 0 < len(w) <= PIECE_CHARS]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["piece", "n"])
+
+    for x in batches:
+        for text in x.column(1):
+            text = text.as_py() or ""
+            for k in range(0, len(text), BATCH_CHARS):
+                counts.update(text[k : k + BATCH_CHARS].split())
+                if len(counts) > COUNTED:
+                    yield out()
+    if counts:
+        yield out()
 
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts.clear()
-            return batch
 
+def _words(ranks: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = loaded(rank_file(ranks), pattern)
         for x in batches:
-            for text in x.column(1):
-                for part in replay.portions(text.as_py() or ""):
-                    counts.update(part)
-                    if len(counts) > COUNTED:
-                        yield out()
-        if counts:
-            yield out()
+            found = {w for piece in x.column(0).to_pylist() for w in replay.pattern.findall(f" {piece}")}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     return run
 
@@ -260,27 +274,29 @@ def _replayed(ranks: str, pattern: str):
 
 
 def corpus_table(rows: DataFrame, ranks: str, pattern: str, most: int) -> tuple[str, list[str], np.ndarray, np.ndarray]:
-    """(key, words, counts of ids, ids) of the corpus's most frequent words, each replayed once.
+    """(key, words, counts of ids, ids) of the words in the corpus's most frequent pieces, each replayed once.
 
-    Words of all whole texts are counted. Those that are counted at least so often that they are at most `most` words are
-    taken: a bound of what goes to the driver and to every task, for any corpus; the other words are replayed where they are.
+    Pieces between white space are counted over all whole texts. Those that are counted at least so often that they are at
+    most `most`, and at most MEAN_CHARS characters each on average, are taken: a bound, for any corpus, of what goes to the
+    driver and to every task. The words of other pieces, and of those of over PIECE_CHARS, are replayed where they are.
     """
-    counts = rows.mapInArrow(trimmed(_counts(ranks, pattern)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(_counts), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     with temporary(rows.sparkSession):
-        counts = cut(counts.where("n > 1"), "words")
+        counts = cut(counts.where("n > 1"), "pieces")
         step = F.when(F.col("n") <= 256, F.col("n")).otherwise(F.lit(256) + F.floor(8 * F.log2(F.col("n") / 256)))
-        least, total = None, 0
-        for _, words, n in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
-            total += words
-            if total > most:
+        least, pieces, chars = None, 0, 0
+        sums = [F.count("*"), F.sum(F.length("piece")), F.min("n")]
+        for _, more, size, n in counts.groupBy(step.alias("step")).agg(*sums).orderBy(F.desc("step")).collect():
+            pieces, chars = pieces + more, chars + size
+            if pieces > most or chars > MEAN_CHARS * most:
                 break
             least = n
         if least is None:
             return "", [], np.zeros(0, np.int64), np.zeros(0, np.int32)
-        found = counts.where(F.col("n") >= least).repartition(REPLAYERS, "word").mapInArrow(trimmed(_replayed(ranks, pattern), 1 << 16), "word string, ids array<int>").toArrow()
+        words = counts.where(F.col("n") >= least).select("piece").mapInArrow(trimmed(_words(ranks, pattern), 1 << 16), "word string").repartition(REPLAYERS, "word").distinct()
+        found = words.mapInArrow(trimmed(_replayed(ranks, pattern), 1 << 16), "word string, ids array<int>").toArrow()
     ids = found.column("ids").combine_chunks()
-    sizes = np.diff(np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]))
-    return uuid.uuid4().hex, found.column("word").to_pylist(), sizes.astype(np.int64), np.asarray(ids.flatten(), np.int32)
+    return uuid.uuid4().hex, found.column("word").to_pylist(), np.asarray(ids.value_lengths(), np.int64), np.asarray(ids.flatten(), np.int32)
 
 
 def _digest(ranks: str, pattern: str, with_ids: bool, table):
@@ -313,12 +329,12 @@ def _digest(ranks: str, pattern: str, with_ids: bool, table):
 
 
 def encode(
-    docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", corpus_words: int = CORPUS_WORDS
+    docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", corpus_pieces: int = CORPUS_PIECES
 ) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids.
 
-    ranks: a file of public_tokenizers or a path that every executor can open. Two passes over the texts: one counts their
-    words (only words and counts are shuffled), one encodes. Null is empty (0 tokens, digests of nothing); texts of over
+    ranks: a file of public_tokenizers or a path that every executor can open. Two passes over the texts: one counts
+    their pieces (only pieces and counts are shuffled), one encodes. Null is empty (0 tokens, digests of nothing); texts of over
     BATCH_CHARS characters go in portions of words; a null id stays null; repeated rows each give a row; empty tables give
     no rows; other columns are not looked at.
     """
@@ -326,7 +342,7 @@ def encode(
     pattern = pattern or public_tokenizers.PATTERN
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    table = corpus_table(rows, ranks, pattern, corpus_words)
+    table = corpus_table(rows, ranks, pattern, corpus_pieces)
     return rows.mapInArrow(trimmed(_digest(ranks, pattern, with_ids, table), 2048), schema).withColumnRenamed("id", id_col)
 
 

@@ -1,8 +1,9 @@
 """Mixing to target weights by soft membership (operator 7).
 
 A classifier learned from the labelled table gives each text a posterior over domains. A text's rate is the number of
-times it is to be used; projected Newton steps over the distributed rates make the expected tokens of each domain
-(rate x tokens x posterior) meet the targets.
+times it is to be used; projected gradient steps on the distributed rates, in the least squares of the expected tokens of
+each domain (rate x tokens x posterior) against the targets, find the rates. A step is scaled by the inverse of the
+domains' Gram matrix over the rows that aren't at their bound, so that few passes are enough.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
 
     Of all rates of at least `least` whose totals S = sum(rate * tokens * p) meet T = total * targets, those nearest to
     1 (to `least` if that is more) in the sum of tokens * (rate - 1)^2: a row's rate is max(least, 1 + p . pull), with one
-    pull a domain, so rates are never stored or moved. Newton steps on the rows over `least` find the pulls; each pass
+    pull a domain, so rates are never stored or moved. Scaled gradient steps on the rows over `least` find the pulls; each pass
     sends k * (k + 3) / 2 + 1 numbers to the driver. The pull of G = sum(tokens * p * p') on the pulls, PROX, is taken
     off again by renewed centres, until no domain is over MISFIT of the total off. Targets out of reach: the centres
     stop helping, the totals are then as near (measured by the inverse of G) as they get, and a warning says how far

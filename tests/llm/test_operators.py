@@ -46,7 +46,7 @@ def test_bpe_of_repeated_rows_and_texts_in_portions(spark, most, monkeypatch):
     assert len(long) > bpe.BATCH_CHARS
     texts = ["one two two three three three", "one two two three three three", long, None, "tail"]
     df = spark.createDataFrame([(1, t, "x") for t in texts], "doc_id long, text string, word string")
-    got = bpe.encode(df, corpus_words=most).collect()
+    got = bpe.encode(df, corpus_pieces=most).collect()
     want = sorted(hashlib.sha256(",".join(map(str, e.encode_ordinary(t or ""))).encode()).hexdigest() for t in texts)
     assert sorted(r.ids_sha256 for r in got) == want and sorted(r.n_tokens for r in got) == sorted(len(r.ids) for r in got)
     assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in texts)
