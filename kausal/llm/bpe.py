@@ -11,13 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice, repeat
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,8 @@ from .common import cut, prepare, temporary, trimmed
 #: Most pieces of the whole corpus whose words are replayed once and sent to every task; their mean and greatest length;
 #: words that a worker keeps besides.
 CORPUS_PIECES, MEAN_CHARS, PIECE_CHARS, CACHE_WORDS = 1 << 18, 16, 64, 200_000
-#: Characters of a batch, words of a portion of a very long text, pieces that are counted before they are passed on.
-BATCH_CHARS, PORTION_WORDS, COUNTED = 2_000_000, 200_000, 400_000
+#: Characters of a batch, words of a portion of a very long text.
+BATCH_CHARS, PORTION_WORDS = 2_000_000, 200_000
 #: Tasks that replay the frequent words.
 REPLAYERS = 16
 _loaded: dict[str, Replay] = {}
@@ -232,26 +232,14 @@ def rank_file(ranks: str) -> str:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, n): how often each short piece between white space, without the ASCII punctuation around it, stands in the texts."""
-    counts: Counter[str] = Counter()
-
-    def out():
-        bare: Counter[str] = Counter()
-        for piece, n in counts.items():
-            bare[piece.strip(punctuation)] += n
-        counts.clear()
-        found = [(w, n) for w, n in bare.items() if 0 < len(w) <= PIECE_CHARS]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["piece", "n"])
-
+    """(piece, n): how often each short piece between ASCII white space, without the ASCII punctuation around it, stands in
+    the texts of a batch; Arrow counts them, so that no piece becomes a Python object."""
     for x in batches:
-        for text in x.column(1):
-            text = text.as_py() or ""
-            for k in range(0, len(text), BATCH_CHARS):
-                counts.update(text[k : k + BATCH_CHARS].split())
-                if len(counts) > COUNTED:
-                    yield out()
-    if counts:
-        yield out()
+        counts = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(x.column(1))))
+        piece = pc.ascii_trim(counts.field(0), characters=punctuation)
+        size = pc.utf8_length(piece)
+        short = pc.and_(pc.greater(size, 0), pc.less_equal(size, PIECE_CHARS))
+        yield pa.RecordBatch.from_arrays([piece.filter(short), counts.field(1).filter(short)], ["piece", "n"])
 
 
 def _words(ranks: str, pattern: str):
@@ -280,7 +268,7 @@ def corpus_table(rows: DataFrame, ranks: str, pattern: str, most: int) -> tuple[
     most `most`, and at most MEAN_CHARS characters each on average, are taken: a bound, for any corpus, of what goes to the
     driver and to every task. The words of other pieces, and of those of over PIECE_CHARS, are replayed where they are.
     """
-    counts = rows.mapInArrow(trimmed(_counts), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(_counts, 8192), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     with temporary(rows.sparkSession):
         counts = cut(counts.where("n > 1"), "pieces")
         step = F.when(F.col("n") <= 256, F.col("n")).otherwise(F.lit(256) + F.floor(8 * F.log2(F.col("n") / 256)))
