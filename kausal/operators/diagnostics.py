@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import CLIP, TINY
-from ..sources.shared import cut
+from ..sources.shared import cut, ship
 
 
 def in_order(df: DataFrame, order: list[str]) -> DataFrame:
@@ -89,6 +89,7 @@ def lag1_autocorrelation(df: DataFrame, columns: list[str], order: list[str]) ->
     """(name, n, r): correlation of each column with its row before, over the n neighbouring pairs without a NULL; a NaN
     gives NaN. One pass: each range of the order sums over its own pairs, and what meets at the driver is one row a task
     (its sums, first and last row), for the pairs across the ranges' edges."""
+    ship(df.sparkSession)
     p = len(columns)
     ordered = in_order(df.select(*order, *[c for c in columns if c not in order]), order)
     rows = ordered.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)]).mapInArrow(_neighbours(p), "part int, sums array<double>, first array<double>, last array<double>")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import guarded_corr
+from ..sources.shared import ship
 
 #: Tasks of the first round in which the parts of the moments are merged.
 MERGERS = 16
@@ -73,6 +74,7 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     n counts all rows; a column with a NULL or NaN has NaN for every sum it is in, others are not touched by it; an empty
     table gives no rows. Each task leaves one row (count, means, centred products), and these are merged in two rounds.
     """
+    ship(df.sparkSession)
     at = [df.columns.index(c) for c in columns]
     named = df.toDF(*[f"x{k}" for k in range(len(df.columns))])  # by place: names may differ in case only
     parts = named.select([F.col(f"x{k}").cast("double").alias(f"v{i}") for i, k in enumerate(at)]).mapInArrow(_of_rows, "n long, means array<double>, sums array<double>")

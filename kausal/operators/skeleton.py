@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import CI_TESTS, TINY
+from ..sources.shared import ship
 from .moments import Correlations
 
 
@@ -74,6 +75,7 @@ def _rho_batches(r: np.ndarray):
 
 def partial_correlations(rows: DataFrame, matrix: Correlations) -> DataFrame:
     """rows (i, j, s), the sets of one size, with rho."""
+    ship(rows.sparkSession)
     return rows.select("i", "j", "s").mapInPandas(_rho_batches(matrix.r), "i int, j int, s array<int>, rho double")
 
 
@@ -99,6 +101,7 @@ def fold(indep: DataFrame) -> DataFrame:
     """The accepted (i, j, s) in order: their edge stands, and so do the edges from i to all of s.
 
     The order decides, so one task reads the sorted rows; it streams them and holds the removed edges only."""
+    ship(indep.sparkSession)
     ordered = indep.select("i", "j", "s").repartition(1).sortWithinPartitions("i", "j", "s")
     return ordered.mapInArrow(_take_in_order, "i int, j int, s array<int>")
 

@@ -1,4 +1,4 @@
-"""Tables in the folder that the driver and all executors share, and their removal."""
+"""Tables in the folder that the driver and all executors share, their removal, and the package on the executors."""
 
 from __future__ import annotations
 
@@ -6,13 +6,31 @@ import os
 import tempfile
 import threading
 import uuid
+import weakref
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 _scopes = threading.local()
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python workers import it; once for a context."""
+    sc = spark.sparkContext
+    if sc in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(), f"{top.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"{top.name}/{p.relative_to(top)}")
+    sc.addPyFile(path)
+    _shipped.add(sc)
 
 
 def shared_dir(spark: SparkSession) -> str:
