@@ -3,13 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import weakref
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, new_path, release, shared_dir, temporary
+from ..sources.shared import cut, new_path, release, shared_dir, ship, temporary
 
 __all__ = ["cut", "new_path", "release", "shared_dir", "temporary"]
 
@@ -27,7 +22,6 @@ BATCH_SETTING, BATCH_DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", ("
 #: Salts of a hot group; a bit mask in a long holds which of them a group has.
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_shipped: weakref.WeakSet = weakref.WeakSet()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -35,16 +29,7 @@ def prepare(spark: SparkSession) -> None:
     BATCH_BYTES, as plans are run after a call returns and texts may be long. No other setting is changed."""
     if spark.conf.get(BATCH_SETTING).lower() in BATCH_DEFAULTS:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if sc in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), f"{top.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    sc.addPyFile(path)
-    _shipped.add(sc)
+    ship(spark)
 
 
 def give_back() -> None:
