@@ -31,11 +31,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def by_dim(dims: np.ndarray, raw: pa.Array, dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors) for each length of vector."""
+def by_dim_raw(dims: np.ndarray, raw: pa.Array, dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors as doubles) for each length of vector."""
     for dim in np.unique(dims).tolist():
         at = np.flatnonzero(dims == dim)
-        yield at, _unit(np.frombuffer(b"".join(raw[int(k)].as_buffer() for k in at), dtype).reshape(len(at), dim))
+        yield at, np.frombuffer(b"".join(raw[int(k)].as_buffer() for k in at), dtype).reshape(len(at), dim).astype(np.float64)
+
+
+def by_dim(dims: np.ndarray, raw: pa.Array, dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) for each length of vector."""
+    for at, x in by_dim_raw(dims, raw, dtype):
+        yield at, _unit(x)
 
 
 def _valid(dtype):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding, exact_dedup, langid, minhash, mixing, quality, toxicity, warc
+from . import ann, bpe, chat, embedding, exact_dedup, fim, langid, minhash, mixing, quality, resample, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_chat_format": chat.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_importance_resampling": resample.op12_importance_resampling,
+        "op13_nearest": ann.op13_nearest,
     }
 
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE,
         "op6_minhash_near_dedup": minhash.ORACLE,
         "op9_chat_format": chat.ORACLE,
+        "op11_fill_in_middle": fim.ORACLE,
+        "op12_importance_resampling": resample.ORACLE,
     }
