@@ -151,5 +151,10 @@ def winners(kept: DataFrame) -> DataFrame:
     return kept.groupBy("label", "id").agg(F.min("digest").alias("digest"), F.count("*").alias("copies")).select("id", "digest", "copies")
 
 
+def salts_seen():
+    """As an aggregate over a column _salt: the bit mask of a group's salts."""
+    return F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("mask")
+
+
 def salts_of(mask: str):
     return F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright({mask}, s) & 1L) = 1L)")

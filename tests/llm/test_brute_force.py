@@ -261,6 +261,42 @@ def test_near_dedup_finds_the_links_of_all_pairs(spark, p):
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i, _ in docs}
 
 
+def test_rows_dealt_grow_with_a_cluster_not_with_its_square(spark):
+    """A bucket of one large component and three strays that it doesn't link to."""
+    p, counts = minhash.NearParams(chunk=100), {}
+    for size in (1000, 4000):
+        rows = [(7, 0, k, 500, k, k, (0, 500, 0, 0), 0 if k < size else k) for k in range(size + 3)]
+        placed = spark.createDataFrame(rows, "bucket long, band int, node long, n long, s1 long, s2 long, h struct<node:long,n:long,s1:long,s2:long>, comp long")
+        with minhash.temporary(spark):
+            cells = minhash.in_cells(placed, p).collect()
+        counts[size] = len(cells)
+        assert size <= len(cells) / 2 <= 1.3 * size  # two classes of size, one chunk of strays
+        met = defaultdict(lambda: defaultdict(set))
+        for r in cells:
+            met[r.cell][r.comp].add(r.node)
+        for stray in range(size, size + 3):  # each stray meets every row
+            assert set(range(size + 3)) - {stray} <= set().union(*(v for c in met.values() if stray in c for k, v in c.items() if k != stray))
+    assert counts[4000] <= 4.2 * counts[1000]
+
+
+def test_components_beside_each_other_meet_in_cells(spark):
+    """Whatever the sizes of the components, any two rows of different ones share exactly one cell of a class on its two sides."""
+    rng, p = random.Random(2), minhash.NearParams(chunk=4)
+    comp = [c for c, size in enumerate([11, 1, 6, 2, 9, 1]) for _ in range(size)]
+    rng.shuffle(comp)
+    rows = [(7, 0, k, 500, k, k, (99, 500, 0, 0), c) for k, c in enumerate(comp)]
+    placed = spark.createDataFrame(rows, "bucket long, band int, node long, n long, s1 long, s2 long, h struct<node:long,n:long,s1:long,s2:long>, comp long")
+    with minhash.temporary(spark):
+        cells = minhash.in_cells(placed, p).where("older = 0").collect()
+    at = defaultdict(list)
+    for r in cells:
+        at[r.node].append((r.cell, r.side))
+    for x in range(len(comp)):
+        for y in range(x):
+            shared = [(a, b) for c, a in at[x] for d, b in at[y] if c == d and (a != b or a == 2)]
+            assert len(shared) == 1 if comp[x] != comp[y] else len(shared) <= 1
+
+
 def test_pipeline_is_the_plain_stages(spark, tmp_path):
     """run() on a small corpus against a plain version of each stage, document by document."""
     import corpus_pipeline
