@@ -86,9 +86,14 @@ def only(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> Data
     return single.unionByName(again.groupBy(key, digest).agg(best.alias("_row")).select("_row.*"))
 
 
-def crc_mod(doc_id, mod: int):
+def named(column: str):
+    """A column by its name, which may hold dots."""
+    return F.col(f"`{column}`")
+
+
+def crc_mod(doc_id: str, mod: int):
     """crc32 of an id as text, modulo mod, as a Column."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
+    return F.crc32(named(doc_id).cast("string").cast("binary")) % mod
 
 
 def crc_mod_py(doc_id: int, mod: int) -> int:

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, prepare, trimmed
-from .words import Rows, gathered, sampled
+from .common import crc_mod, named, prepare, trimmed
+from .words import MOST_VALUES, Rows, gathered, sampled
 
 #: Slots of the n-grams; most texts of each language that are learned from; characters taken at once.
 BITS, PER_LANG, PORTION = 13, 400, 1 << 20
-#: Least score of a text that the filter keeps.
-LEAST_SCORE = 0.3
+#: Least score of a text that the filter keeps: under it, another language than the predicted one is the likelier.
+LEAST_SCORE = 0.5
 UNDETERMINED = "und"
 # Families of languages by ISO 639-1 code; a language that is not here is a family of its own.
 FAMILIES = {
@@ -124,11 +124,12 @@ class Model:
         return best, float(p[k] * share)
 
 
-def fit(docs: DataFrame, may_learn, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of the languages of the rows where may_learn holds; at most per_lang texts of each, chosen by hashed id. Of
-    an id that several rows have, the least language and the least text count. None if nothing can be learned."""
-    known = docs.where(may_learn).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    langs, rows = gathered(known, sampled(known, lang_col, per_lang, id_col), _features, id_col, text_col)
+def fit(docs: DataFrame, may_learn, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = MOST_VALUES) -> Model | None:
+    """A model of the languages of the rows where may_learn holds; at most per_lang texts of each of the
+    `languages` most frequent, chosen by hashed id. Of an id that several rows have, the least language and the least
+    text count. None if nothing can be learned."""
+    known = docs.where(may_learn).where(named(lang_col).isNotNull() & named(text_col).isNotNull() & named(id_col).isNotNull())
+    langs, rows = gathered(known, sampled(known, lang_col, per_lang, id_col, languages), _features, id_col, text_col)
     if not langs:
         return None
     names, size, every = np.array(langs), 1 << BITS, np.arange(rows.n)
@@ -163,7 +164,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     equal votes the last by name is taken; whole texts are read in portions; empty tables give no rows; other columns are
     not looked at."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     return rows.mapInArrow(trimmed(_predict(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
@@ -181,8 +182,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, languages: set[str] | None = None, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects; all columns stay. Decided row by row, without a shuffle.
 
-    A row stays if its predicted language is one of `languages` (None: any learned one) with at least least_score; `und`
-    (null texts and those without a letter) goes. Without a learnable row there is no model: then texts with a letter stay.
+    A row stays if its predicted language is one of `languages` (None: any learned one) with at least least_score, by default
+    a half: texts go for which all other languages together are likelier than the predicted one, as of a few letters or
+    of several languages. `und` (null texts and those without a letter) goes. Without a learnable row there is no model: then texts with a letter stay.
     """
     prepare(docs.sparkSession)
     model = fit(docs, learning(docs, id_col), id_col=id_col, text_col=text_col)
@@ -199,4 +201,5 @@ def keep_identified(docs: DataFrame, languages: set[str] | None = None, least_sc
                 keep.append(any_letter)
             yield x.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    placed = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may hold dots
+    return placed.mapInArrow(trimmed(run), docs.schema)

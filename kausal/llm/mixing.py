@@ -90,8 +90,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     """Sparse softmax regression on labelled (id, domain); at most per_domain texts of each, chosen by hashed id, weighted to the
     shares of the labelled table. A label counts once for each id, of several the first by name. Domains without a labelled
     text are not told. Without any label every domain is alike, and `learned` is empty."""
-    known = labelled.where(F.col("domain").isNotNull()).select(id_col, "domain")
-    share = dict(tuple(r) for r in known.where(F.col(id_col).isNotNull()).groupBy("domain").count().collect())  # one number a domain
+    known = labelled.where(F.col("domain").isNotNull()).select(F.col(f"`{id_col}`"), "domain")
+    share = dict(tuple(r) for r in known.where(F.col(f"`{id_col}`").isNotNull()).groupBy("domain").count().collect())  # one number a domain
     keys, rows = gathered(docs, sampled(known, "domain", per_domain, id_col), domain_features, id_col, text_col)
     names = list(DOMAINS) if set(keys) <= set(DOMAINS) else sorted(set(keys))
     size = (1 << BITS) + 2
@@ -217,7 +217,7 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
 
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, least: float, total: float | None, id_col: str, text_col: str, with_digest: bool = False) -> tuple[DataFrame, Domains]:
     """(id, digest, tokens, p, rate) of every row, and the model."""
-    model = fit_domains(docs, labels.select(id_col, domain_of().alias("domain")), id_col, text_col)
+    model = fit_domains(docs, labels.select(F.col(f"`{id_col}`"), domain_of().alias("domain")), id_col, text_col)
     soft = cut(posteriors(docs, model, id_col, text_col, with_digest), "posteriors")
     wanted = targets or TARGETS
     if not model.learned:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_mod, prepare
+from .common import WordHashes, crc_mod, named, prepare
 from .words import Rows, ShapeHashes, all_hashes, gathered, pairs_of, sampled, slots
 
 #: Slots of the n-grams; most rows of each label that are learned from; passes over them.
@@ -67,7 +67,7 @@ def scorer(features, w: np.ndarray, bias: float):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Weights and bias from labelled rows; at most per_label of each label, chosen by hashed id. An id with both labels counts
     as 0. Without labels all is zero; with one label only, every text scores alike."""
-    known = labels.where(F.col(label).isin(0, 1)).select(id_col, F.col(label).cast("int").alias(label))
+    known = labels.where(F.col(label).isin(0, 1)).select(named(id_col), F.col(label).cast("int").alias(label))
     keys, rows = gathered(docs, sampled(known, label, per_label, id_col), quality_features, id_col, text_col)
     y = np.array([float(k) for k in keys])
     return ftrl(rows, y, 1 << BITS) if len(set(keys)) > 1 else (np.zeros(1 << BITS), float(np.sign(y.sum() - 0.5)) * 2 if len(y) else 0.0)
@@ -79,7 +79,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     looked at."""
     prepare(docs.sparkSession)
     w, bias = model
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     return rows.mapInArrow(scorer(quality_features, w.astype(np.float32), bias), "id long, score double").withColumnRenamed("id", id_col)
 
 

@@ -195,7 +195,7 @@ def draw(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", **options)
     """The rows of docs that are drawn, in no order, all columns. Rows that share an id stay if one of them is drawn; rows with
     a null id go."""
     chosen, key = resampled(docs, target, id_col=id_col, **options).where("rank is not null"), fresh(docs, "drawn_id")
-    ids = chosen.select(F.col(id_col).alias(key)).distinct()
+    ids = chosen.select(F.col(f"`{id_col}`").alias(key)).distinct()
     return docs.join(ids, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_semi")
 
 

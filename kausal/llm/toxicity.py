@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, prepare
+from .common import crc_mod, named, prepare
 from .quality import scorer
 from .words import BareHashes, Rows, all_hashes, gathered, sampled, slots
 
@@ -64,15 +64,15 @@ def nnpu(rows: Rows, positive: np.ndarray, prior: float, size: int, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, unlabelled, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Weights and bias. unlabelled: a condition on docs; prior: the share of toxic texts, by default that of the labels.
-    At most POSITIVES and UNLABELLED texts, chosen by hashed id. Without confirmed toxic texts nothing is toxic."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull())
+    """Weights and bias. unlabelled: a condition on docs; prior: the share of toxic texts, by default that of the labels, at most a half.
+    An id with both labels counts as toxic. At most POSITIVES and UNLABELLED texts, chosen by hashed id. Without confirmed toxic texts nothing is toxic."""
+    known = labels.where(F.col("toxic").isin(0, 1) & named(id_col).isNotNull())
     if prior is None:
         toxic, total = known.agg(F.sum("toxic"), F.count("*")).first()
         prior = (toxic or 0) / max(1, total)
     prior = min(max(prior, 1e-3), 0.5)
-    chosen = sampled(known.where("toxic = 1").select(id_col, F.lit(1).alias("part")), "part", POSITIVES, id_col)
-    others = sampled(docs.where(unlabelled).select(id_col, F.lit(0).alias("part")), "part", UNLABELLED, id_col)
+    chosen = sampled(known.where("toxic = 1").select(named(id_col), F.lit(1).alias("part")), "part", POSITIVES, id_col)
+    others = sampled(docs.where(unlabelled).select(named(id_col), F.lit(0).alias("part")), "part", UNLABELLED, id_col)
     (pos, rows_p), (neg, rows_u) = (gathered(docs, part, toxic_features, id_col, text_col) for part in (chosen, others))
     rows, positive = rows_p.then(rows_u), np.array([True] * len(pos) + [False] * len(neg))
     return nnpu(rows, positive, prior, 1 << BITS) if positive.any() and not positive.all() else (np.zeros(1 << BITS), -2.0)
@@ -83,7 +83,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     repeated rows each give a row; very long texts are read in portions; empty tables give no rows; other columns are not
     looked at."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     return rows.mapInArrow(scorer(toxic_features, model[0].astype(np.float32), model[1]), "id long, score double").withColumnRenamed("id", id_col)
 
 

@@ -15,7 +15,7 @@ from .common import WordHashes, mix64, prepare, trimmed, word_hashes
 
 #: Bytes of a very long text whose words are listed at once.
 PORTION = 4 << 20
-#: Most labels, languages or domains that a classifier tells apart.
+#: Most labels, languages or domains that a classifier tells apart; of more, the most frequent are learned.
 MOST_VALUES = 1024
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 RUNS = re.compile(rb"(.)\1+", re.DOTALL)
@@ -195,18 +195,16 @@ class Rows:
         return np.bincount(self.cols, self.vals * g[self.row], minlength=size)
 
 
-def sampled(table: DataFrame, by: str, most: int, id_col: str = "doc_id") -> list[tuple[int, object]]:
+def sampled(table: DataFrame, by: str, most: int, id_col: str = "doc_id", values: int = MOST_VALUES) -> list[tuple[int, object]]:
     """(id, value): of each value of `by`, the `most` ids with the least hashes, ties by id.
 
     An id counts once, under the least of its values; rows with a null id or value don't count. The number of a value's
     rows gives a bound that about `most` of its hashes stay under; only those leave the scan, spread by id. Where they are
-    too few, as ids repeat, the bound is raised fourfold, until they are enough or all. More than MOST_VALUES values are an error.
+    too few, as ids repeat, the bound is raised fourfold, until they are enough or all. Of more than `values` values the most frequent count, ties to the least.
     """
     spark = table.sparkSession
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{by}`").alias("value")).where("id is not null and value is not null")
-    counts = dict(tuple(r) for r in rows.groupBy("value").count().limit(MOST_VALUES + 1).collect())
-    if len(counts) > MOST_VALUES:
-        raise ValueError(f"{by} has over {MOST_VALUES} values")
+    counts = dict(tuple(r) for r in rows.groupBy("value").count().orderBy(F.desc("count"), "value").limit(values).collect())
     rows = rows.withColumn("h", F.xxhash64("id"))
     kind = dict(rows.dtypes)["value"]
     share = {v: (most + 6 * most**0.5 + 16) / n for v, n in counts.items()}
@@ -218,7 +216,8 @@ def sampled(table: DataFrame, by: str, most: int, id_col: str = "doc_id") -> lis
         least = {}
         if len(counts) > 1 and near:
             ids = spark.createDataFrame(sorted({(r["id"],) for r in near}), "id long")
-            least = dict(tuple(r) for r in rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("value")).collect())
+            learned = F.broadcast(spark.createDataFrame([(v,) for v in counts], f"value {kind}"))
+            least = dict(tuple(r) for r in rows.join(F.broadcast(ids), "id").join(learned, "value").groupBy("id").agg(F.min("value")).collect())
         for v in list(share):
             own = sorted((r["h"], r["id"]) for r in near if r["value"] == v and least.get(r["id"], v) == v)
             if len(own) >= most or share[v] >= 1:

@@ -62,9 +62,11 @@ def test_sample_is_the_least_hashes(spark, most):
 
 
 def test_sample_plans_no_window_and_bounds_its_values(spark):
-    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("kind"))
-    with pytest.raises(ValueError, match="values"):
-        words.sampled(df, "kind", 3)
+    """Of over 1,024 values the most frequent are sampled, ties to the least; an id counts under the least of those."""
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.format_string("%04d", "id").alias("kind")).union(spark.createDataFrame([(k, "4999") for k in range(9000, 9009)], "doc_id long, kind string"))
+    got = words.sampled(df.union(spark.createDataFrame([(9000, "2500")], "doc_id long, kind string")), "kind", 3)
+    assert {v for _, v in got} == {"4999"} | {f"{k:04d}" for k in range(1022)} | {"2500"}
+    assert sorted(got) == sorted(set(got)) and all(v != "2500" or i == 2500 for i, v in words.sampled(df, "kind", 3))
 
 
 def test_language_query_is_the_dense_machines(spark):

@@ -269,6 +269,42 @@ def test_language_id(spark):
     assert langid.identify(df, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_filter_drops_undecided_texts_and_learns_of_many_languages(spark):
+    """Texts half in one language and half in another go, as do those without a letter; over 1,024 languages are no error."""
+    rng = random.Random(5)
+    sounds = {"en": ["th", "ing", "er"], "de": ["sch", "ung", "ei"], "fr": ["eau", "oi", "ent"]}
+    say = lambda a, n: " ".join("".join(rng.choice(sounds[a]) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(a, 20), a) for i, a in enumerate(list(sounds) * 60)]
+    mixed = [(1000 + i, " ".join(say(a, 20) for a in sounds), None) for i in range(20)]
+    df = spark.createDataFrame([*rows, *mixed, (2000, None, "en"), (2001, "123 !", None), (rows[0][0], rows[0][1], "en")], "`doc.id` long, `a.text` string, `l.ang` string").withColumn("score", F.lit("x"))
+    names = {"id_col": "doc.id", "text_col": "a.text"}
+    model = langid.fit(df, langid.learning(df, "doc.id"), lang_col="l.ang", **names)
+    scores = {r["doc.id"]: r.score for r in langid.identify(df, model, **names).collect()}
+    kept = langid.keep_identified(df.withColumnRenamed("l.ang", "lang"), **names).collect()
+    left = [r["doc.id"] for r in kept]
+    assert sorted(left) == sorted([r[0] for r in rows] + [rows[0][0]] + [i for i, _, _ in mixed if scores[i] >= 0.5])
+    assert sum(scores[i] < 0.5 for i, _, _ in mixed) > 0 and min(scores[r[0]] for r in rows) > 0.5
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("word%d", "id").alias("text"), F.when(F.col("id") < 1400, F.format_string("l%04d", F.col("id"))).otherwise("xx").alias("lang"))
+    model = langid.fit(many, langid.learning(many), languages=3)
+    assert [a for v in model.families.values() for a in v] == ["l0000", "l0001", "xx"] or len(model.families) == 3
+
+
+def test_classifiers_on_odd_tables(spark):
+    """Empty tables, repeated rows, names with dots and names used inside, labels of one side only, and no labels."""
+    df, labels, _ = labelled(spark)
+    odd = df.withColumnRenamed("doc_id", "doc.id").withColumn("score", F.lit(1)).withColumn("part", F.lit("p"))
+    odd = odd.union(odd.where("`doc.id` < 9"))
+    marks = labels.withColumnRenamed("doc_id", "doc.id")
+    for op, fit in ((quality, lambda d, m: quality.fit(d, m, id_col="doc.id")), (toxicity, lambda d, m: toxicity.fit(d, m, F.lit(True), id_col="doc.id"))):
+        for table in (marks, marks.where("quality = 1 and toxic = 0"), marks.where("toxic = 1"), marks.limit(0)):
+            got = op.score(odd, fit(odd, table), id_col="doc.id").collect()
+            assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+            again = {}
+            for r in got:
+                assert again.setdefault(r["doc.id"], r.score) == r.score
+        assert op.score(odd.limit(0), fit(odd.limit(0), marks), id_col="doc.id").count() == 0
+
+
 def labelled(spark):
     rng = random.Random(6)
     rows, labels = [], []
