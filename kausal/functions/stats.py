@@ -6,9 +6,11 @@ Spark orders NaN above every number, so each comparison with a value that may be
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,5 +79,43 @@ def independent(z: Column, alpha: float) -> Column:
     return ~F.isnan(z) & (F.abs(z) <= zc)
 
 
-#: Conditional-independence tests by name: (rho, n, k, alpha) to (z, verdict).
-CI_TESTS = {"fisher_z": lambda rho, n, k, alpha: (z := fisher_z(rho, n, k), independent(z, alpha))}
+def z_statistic(rho: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Fisher's z of an array, as fisher_z gives it."""
+    if k >= n - 2:
+        return np.zeros(len(rho))
+    with np.errstate(all="ignore"):
+        z = 0.5 * math.sqrt(max(n - k - 3, 0)) * np.log((1.0 + rho) / (1.0 - rho))
+    return np.where(np.isnan(rho), np.nan, np.where(np.abs(rho) >= 1.0, np.inf, z))
+
+
+@dataclass(frozen=True)
+class CITest:
+    """A conditional-independence test on a matrix of correlations. statistic: of an array of partial correlations, n and k,
+    which is independence up to the critical value of the normal distribution; columns: (rho, n, k, alpha) to the same as
+    Columns (z, verdict); matrix: what makes (DataFrame, columns) the matrix, None for plain correlations."""
+
+    statistic: Callable[[np.ndarray, int, int], np.ndarray]
+    columns: Callable[..., tuple[Column, Column]]
+    matrix: Callable | None = None
+
+
+_tests: dict[str, CITest] = {}
+
+
+def register_test(name: str, test: CITest) -> None:
+    """Makes a test known by name."""
+    _tests[name] = test
+
+
+def ci_test(name: str) -> CITest:
+    if name not in _tests:
+        raise ValueError(f"Unknown test {name}; known are {', '.join(sorted(_tests))}")
+    return _tests[name]
+
+
+def fisher_columns(rho: Column, n: Column | int, k: Column | int, alpha: float) -> tuple[Column, Column]:
+    z = fisher_z(rho, n, k)
+    return z, independent(z, alpha)
+
+
+register_test("fisher_z", CITest(z_statistic, fisher_columns))

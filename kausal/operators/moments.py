@@ -1,4 +1,8 @@
-"""Sufficient statistics: the only passes over the rows."""
+"""Sufficient statistics: the only passes over the rows.
+
+Centred sums of products are held in blocks of columns: a block is one (block of i, block of j), and blocks are merged apart from
+each other, so no task and no row holds the whole matrix of a wide table.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import guarded_corr
 from ..sources.shared import ship
 
-#: Tasks of the first round in which the parts of the moments are merged.
-MERGERS = 16
+#: Columns of a block; parts that one task merges in the first of two rounds; bytes of a matrix that the driver takes at most.
+BLOCK, FAN_IN, MATRIX_BYTES = 256, 64, 512 << 20
+#: A block: its numbers, rows, and for the columns of each side their means and own centred sums, then the sums of products.
+BLOCKS = "bi int, bj int, part int, n long, mi binary, mj binary, si binary, sj binary, sxy binary"
+NUMBERS = ("mi", "mj", "si", "sj", "sxy")
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,75 +31,107 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("e")).select("e.*")
 
 
+def spans(p: int) -> list[tuple[int, int]]:
+    """Blocks of BLOCK columns."""
+    return [(k, min(k + BLOCK, p)) for k in range(0, p, BLOCK)]
+
+
 def _merge(a: tuple | None, b: tuple) -> tuple:
-    """(n, means, centred products) of two sets of rows."""
+    """(n, means and own sums of both sides, centred products) of two sets of rows."""
     if a is None:
         return b
     n = a[0] + b[0]
+    w = a[0] * b[0] / n
     with np.errstate(all="ignore"):
-        d = b[1] - a[1]
-        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+        di, dj = b[1] - a[1], b[2] - a[2]
+        return n, a[1] + di * (b[0] / n), a[2] + dj * (b[0] / n), a[3] + b[3] + di * di * w, a[4] + b[4] + dj * dj * w, a[5] + b[5] + np.outer(di, dj) * w
 
 
-def _one(total: tuple | None) -> Iterator[pa.RecordBatch]:
-    if total is not None:
-        kinds = (pa.int64(), *[pa.list_(pa.float64())] * 2)
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((total[0], total[1], total[2].ravel()), kinds, strict=True)], ["n", "means", "sums"])
+def _row(bi: int, bj: int, part: int, total: tuple) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 5
+    values = [bi, bj, part, total[0], *(np.ascontiguousarray(v).tobytes() for v in total[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for x in batches:
-        if x.num_rows:
-            m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in x.columns])
-            with np.errstate(all="ignore"):
-                mean = m.mean(axis=0)
-                m = m - mean
-                total = _merge(total, (x.num_rows, mean, m.T @ m))
-    yield from _one(total)
+def _unpacked(x: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
+    for k in range(x.num_rows):
+        mi, mj, si, sj, sxy = (np.frombuffer(x.column(c)[k].as_buffer()) for c in NUMBERS)
+        yield x.column("bi")[k].as_py(), x.column("bj")[k].as_py(), (x.column("n")[k].as_py(), mi, mj, si, sj, sxy.reshape(len(mi), len(mj)))
 
 
-def _of_parts(batches: Iterator[pa.RecordBatch]) -> tuple | None:
-    total = None
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's rows to its blocks: centred by the task's own means, batch by batch."""
+    total: dict[tuple[int, int], tuple] = {}
     for x in batches:
-        for n, mean, sums in zip(*(c.to_pylist() for c in x.columns), strict=True):
-            mean = np.array(mean)
-            total = _merge(total, (n, mean, np.array(sums).reshape(len(mean), -1)))
-    return total
+        if not x.num_rows:
+            continue
+        m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in x.columns])
+        with np.errstate(all="ignore"):
+            mean = m.mean(axis=0)
+            m = m - mean
+            own = (m * m).sum(axis=0)
+            for bi, (a, b) in enumerate(cuts := spans(m.shape[1])):
+                for bj, (c, d) in enumerate(cuts[bi:], bi):
+                    new = (x.num_rows, mean[a:b], mean[c:d], own[a:b], own[c:d], m[:, a:b].T @ m[:, c:d])
+                    total[bi, bj] = _merge(total.get((bi, bj)), new)
+    part = TaskContext.get().partitionId()
+    for (bi, bj), t in total.items():
+        yield _row(bi, bj, part, t)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts sorted by block to one row for each block."""
+    now, total = None, None
+    for x in batches:
+        for bi, bj, t in _unpacked(x):
+            if now is not None and (bi, bj) != now:
+                yield _row(*now, 0, total)
+                total = None
+            now, total = (bi, bj), _merge(total, t)
+    if now is not None:
+        yield _row(*now, 0, total)
 
 
-def _to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = _of_parts(batches)
-    if total is not None:
-        i, j = np.triu_indices(len(total[1]))
-        cols = [np.full(len(i), total[0], np.int64), i.astype(np.int32), j.astype(np.int32), total[2][i, j]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["n", "i", "j", "sxy"])
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merged blocks to (n, i, j, sxy, sxx, syy) for i <= j."""
+    for x in batches:
+        for bi, bj, (n, _, _, si, sj, sxy) in _unpacked(x):
+            i, j = np.triu_indices(len(si)) if bi == bj else (v.ravel() for v in np.indices(sxy.shape))
+            cols = [np.full(len(i), n, np.int64), (i + bi * BLOCK).astype(np.int32), (j + bj * BLOCK).astype(np.int32), sxy[i, j], si[i], sj[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["n", "i", "j", "sxy", "sxx", "syy"])
 
 
-def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, i, j, sxy) for i <= j: centred sums of products, in one pass over the rows.
+def moment_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The blocks (see BLOCKS), one row each, in one pass over the rows.
 
     n counts all rows; a column with a NULL or NaN has NaN for every sum it is in, others are not touched by it; an empty
-    table gives no rows. Each task leaves one row (count, means, centred products), and these are merged in two rounds.
+    table gives no rows. Each task leaves one row a block. These are merged by block; of tables of many files first in
+    groups of FAN_IN parts, so that what a task merges grows with neither the number of columns nor that of parts.
     """
     ship(df.sparkSession)
     at = [df.columns.index(c) for c in columns]
     named = df.toDF(*[f"x{k}" for k in range(len(df.columns))])  # by place: names may differ in case only
-    parts = named.select([F.col(f"x{k}").cast("double").alias(f"v{i}") for i, k in enumerate(at)]).mapInArrow(_of_rows, "n long, means array<double>, sums array<double>")
-    some = parts.repartition(MERGERS).mapInArrow(lambda b: _one(_of_parts(b)), "n long, means array<double>, sums array<double>")
-    return some.repartition(1).mapInArrow(_to_pairs, "n long, i int, j int, sxy double")
+    parts = named.select([F.col(f"x{k}").cast("double").alias(f"v{i}") for i, k in enumerate(at)]).mapInArrow(_of_rows, BLOCKS)
+    blocks = len(spans(len(columns)))
+    if len(df.inputFiles()) > FAN_IN:
+        group = F.floor(F.col("part") / FAN_IN).alias("g")
+        parts = parts.repartition("bi", "bj", group).sortWithinPartitions("bi", "bj").mapInArrow(_merged, BLOCKS)
+    return parts.repartition(blocks * (blocks + 1) // 2, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_merged, BLOCKS)
+
+
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(n, i, j, sxy, sxx, syy) for i <= j: centred sums of products, and those of each column with itself. See moment_blocks."""
+    return moment_blocks(df, columns).mapInArrow(_pairs, "n long, i int, j int, sxy double, sxx double, syy double")
 
 
 def correlations(stats: DataFrame) -> DataFrame:
     """(n, i, j, r) for i < j from moments."""
-    own = stats.where("i = j").select(F.col("i").alias("v"), F.col("sxy").alias("s"))
-    a, b = own.select(F.col("v").alias("i"), F.col("s").alias("sxx")), own.select(F.col("v").alias("j"), F.col("s").alias("syy"))
-    return stats.where("i < j").join(a, "i").join(b, "j").select("n", "i", "j", guarded_corr(F.col("n"), F.col("sxx"), F.col("syy"), F.col("sxy")).alias("r"))
+    return stats.where("i < j").select("n", "i", "j", guarded_corr(F.col("n"), F.col("sxx"), F.col("syy"), F.col("sxy")).alias("r"))
 
 
 @dataclass
 class Correlations:
-    """The p x p matrix, whose size the number of columns bounds, and the number of rows."""
+    """The p x p matrix and the number of rows."""
 
     n: int
     names: list[str]
@@ -102,15 +142,24 @@ class Correlations:
         return len(self.names)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> Correlations:
-    stats = moments(df, columns).collect()
-    p = len(columns)
-    s, n = np.zeros((p, p)), int(stats[0]["n"]) if stats else 0
-    for row in stats:
-        s[row["i"], row["j"]] = s[row["j"], row["i"]] = row["sxy"] if row["sxy"] is not None else 0.0
-    norm = np.sqrt(np.maximum(np.diag(s), 0) + np.where(np.isnan(np.diag(s)), np.nan, 0))
+def from_blocks(blocks: pa.Table, names: list[str]) -> Correlations:
+    """The matrix of one table's merged blocks."""
+    p, n = len(names), 0
+    r, norm = np.zeros((p, p)), np.zeros(p)
+    for x in blocks.to_batches():
+        for bi, bj, (rows, _, _, si, sj, sxy) in _unpacked(x):
+            n, i, j = rows, slice(bi * BLOCK, bi * BLOCK + len(si)), slice(bj * BLOCK, bj * BLOCK + len(sj))
+            r[i, j], r[j, i] = sxy, sxy.T
+            norm[i], norm[j] = np.sqrt(si), np.sqrt(sj)
     with np.errstate(all="ignore"):
         norms = np.outer(norm, norm)
-        r = np.clip(s / norms, -0.999999999, 0.999999999)
+        r = np.clip(r / norms, -0.999999999, 0.999999999)
     r[(norms <= 1e-8) | (n < 2)] = 0.0
-    return Correlations(n, list(columns), r)
+    return Correlations(n, list(names), r)
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> Correlations:
+    """The matrix on the driver, which takes one of at most MATRIX_BYTES (8,192 columns); wider tables have moments()."""
+    if 8 * len(columns) ** 2 > MATRIX_BYTES:
+        raise ValueError(f"A matrix of {len(columns)} columns is over {MATRIX_BYTES} bytes; moments() and correlations() give it as a table")
+    return from_blocks(moment_blocks(df, columns).toArrow(), columns)

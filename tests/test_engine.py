@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kausal.functions.stats import critical_z, p_value
 from kausal.operators import diagnostics, evaluate, moments, orient
 from kausal.operators import skeleton as sk
+from kausal.operators.candidates import Level
 from kausal.plans.api import discover, run_case, write_report
 from kausal.sources.datasets import from_frame, header_names, load_dataset
 from kausal.sources.truth import load_truth
@@ -62,8 +63,9 @@ def test_both_sides_find_no_fewer_sets(spark):
     w = np.triu(rng.normal(size=(7, 7)) * (rng.random((7, 7)) < 0.5), 1)
     x = rng.normal(size=(400, 7)) @ np.linalg.inv(np.eye(7) - w)
     m = moments.Correlations(400, [str(i) for i in range(7)], np.clip(np.corrcoef(x.T), -0.999999999, 0.999999999))
-    one, both = (sk.removed_at(sk.pair_grid(spark, 7), m, 1, 0.05, stable=True, sides=s).collect() for s in ("first", "both"))
-    assert {(r.i, r.j) for r in one} <= {(r.i, r.j) for r in both}
+    one, both = (sk.skeleton(spark, m, 0.05, 1, early_stop=False, stable=True, sides=s) for s in ("first", "both"))
+    assert {(r.i, r.j) for r in one.sepset.collect()} <= {(r.i, r.j) for r in both.sepset.collect()}
+    assert {(r.i, r.j) for r in both.edges.collect()} <= {(r.i, r.j) for r in one.edges.collect()}
 
 
 @pytest.mark.parametrize("seed,p", [(1, 8), (2, 8), (3, 8), (4, 4), (5, 13)])
@@ -78,6 +80,146 @@ def test_skeleton_is_that_of_the_sequential_search(spark, seed, p):
     assert {(r.i, r.j): r.s for r in got.sepset.collect()} == sets
 
 
+def random_matrix(seed, p, n=400, share=0.4):
+    rng = np.random.default_rng(seed)
+    w = np.triu(rng.normal(size=(p, p)) * (rng.random((p, p)) < share), 1)
+    x = rng.normal(size=(n, p)) @ np.linalg.inv(np.eye(p) - w)
+    r = np.clip(np.corrcoef(x.T), -0.999999999, 0.999999999)
+    return moments.Correlations(n, [str(i) for i in range(p)], (r + r.T) / 2)
+
+
+def found(x):
+    """(edges, sets) of one of several searches."""
+    return {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x.adjacent, 1)), strict=True)}, {(int(a), int(b)): t.tolist() for i, j, s, _ in x.sets for a, b, t in zip(i, j, s, strict=True)}
+
+
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_searches_of_many_graphs_in_short_waves(spark, monkeypatch, local):
+    """Graphs with several alphas at once against the sequential search; with local=0 what a wave finds stays in tables."""
+    monkeypatch.setattr(sk, "FIRST_WAVE", 40)
+    monkeypatch.setattr(sk, "GROWTH", 2)
+    monkeypatch.setattr(sk, "LEAST_TASK", 8)
+    for seed in range(20 if local else 4):
+        m = random_matrix(seed + 100, 5 + seed % 7, share=0.3 + 0.05 * (seed % 5))
+        alphas = [0.01, 0.05, 0.2]
+        runs, work = sk.skeletons(spark, m, alphas, 3, local=local)
+        for alpha, x in zip(alphas, runs, strict=True):
+            edges, sets = sequential(m, alpha, 3)
+            assert found(x) == (edges, sets)
+        assert all((w["rounds"] >= w["waves"] >= 1) == (w["pairs"] > 0) for w in work)
+
+
+def test_waves_test_little_more_than_one_after_the_other(spark, monkeypatch):
+    """At most GROWTH times the sequential search's tests, and the first wave's share, which is one a pair here."""
+    monkeypatch.setattr(sk, "FIRST_WAVE", 1)
+    m = random_matrix(7, 24, share=0.15)
+    work = sk.skeleton(spark, m, 0.05, 3, early_stop=False).work
+    counts = sequential_tests(m, 0.05, 3)
+    assert [w["level"] for w in work] == sorted(counts)
+    for w in work:
+        assert counts[w["level"]] <= w["tests"] <= sk.GROWTH * counts[w["level"]] + w["pairs"]
+    stable = sk.skeleton(spark, m, 0.05, 3, early_stop=False, stable=True)
+    want, sets = stable_search(m, 0.05, 3)
+    assert {(r.i, r.j) for r in stable.edges.collect()} == want and {(r.i, r.j): r.s for r in stable.sepset.collect()} == sets
+
+
+def rho_of(m, a, b, s):
+    if not s:
+        return m.r[a, b]
+    *rest, z = s
+    ab, az, bz = rho_of(m, a, b, rest), rho_of(m, a, z, rest), rho_of(m, b, z, rest)
+    return (ab - az * bz) / math.sqrt((1 - az * az) * (1 - bz * bz))
+
+
+def separates(m, i, j, s, alpha):
+    v = rho_of(m, i, j, list(s))
+    return abs(0.5 * math.sqrt(m.n - len(s) - 3) * math.log((1 + v) / (1 - v))) <= critical_z(alpha)
+
+
+def sequential_tests(m, alpha, max_k):
+    """Tests that the sequential search makes on each level, without an early stop."""
+    adj, out = {i: set(range(m.p)) - {i} for i in range(m.p)}, {}
+    for k in range(max_k + 1):
+        if k and max(map(len, adj.values())) - 1 < k:
+            break
+        out[k] = 0
+        for i, j in combinations(range(m.p), 2):
+            if j in adj[i]:
+                for s in combinations(sorted(adj[i] - {j}), k):
+                    out[k] += 1
+                    if separates(m, i, j, s, alpha):
+                        adj[i].discard(j), adj[j].discard(i)
+                        break
+    return out
+
+
+def stable_search(m, alpha, max_k):
+    adj, sets = {i: set(range(m.p)) - {i} for i in range(m.p)}, {}
+    for k in range(max_k + 1):
+        start = {i: sorted(v) for i, v in adj.items()}
+        for i, j in combinations(range(m.p), 2):
+            if j in start[i]:
+                for s in combinations([v for v in start[i] if v != j], k):
+                    if separates(m, i, j, s, alpha):
+                        adj[i].discard(j), adj[j].discard(i)
+                        sets[i, j] = list(s)
+                        break
+    return {(i, j) for i in adj for j in adj[i] if i < j}, sets
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 4])
+def test_numbered_sets_are_the_combinations_in_order(k):
+    rng = np.random.default_rng(k)
+    adjacent = np.triu(rng.random((11, 11)) < 0.6, 1)
+    adjacent |= adjacent.T
+    level = Level.of(adjacent, k)
+    got = [(int(level.i[q]), int(level.j[q]), tuple(s)) for q, n in enumerate(level.counts()) for s in level.sets(np.full(n, q), np.arange(n)).tolist()]
+    assert got == [(i, j, s) for i, j in combinations(range(11), 2) if adjacent[i, j] for s in combinations([v for v in np.flatnonzero(adjacent[i]) if v != j], k)]
+
+
+def test_candidates_are_made_in_equal_parts(spark):
+    """The candidates of a complete graph of 40 nodes and sets of two: as many tasks as cores, of like size."""
+    parts = sk.candidates(sk.pair_grid(spark, 40), 2).groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in parts)
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 780 * 703 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    both = sk.candidates(spark.createDataFrame([(0, 1), (0, 2), (1, 2), (1, 3)], "i int, j int"), 1, "both").collect()
+    assert sorted((r.i, r.j, r.s) for r in both) == [(0, 1, [2]), (0, 1, [3]), (0, 2, [1]), (1, 2, [0]), (1, 2, [3]), (1, 3, [0]), (1, 3, [2])]
+    assert sk.candidates(spark.createDataFrame([], "i int, j int"), 1).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_elimination_for_all_pairs_of_a_set_is_bitwise_the_same(k):
+    m = random_matrix(3, 30)
+    m.r[4, :] = m.r[:, 4] = np.where(np.arange(30) == 5, 0.999999999, m.r[4])  # a denominator under the guard
+    pairs = np.array([p for p in combinations(range(30), 2) if not set(p) & set(range(4, 4 + k))])
+    s = np.tile(np.arange(4, 4 + k), (len(pairs), 1))
+    alone = np.array([sk.partial(m.r, pairs[q : q + 1, 0], pairs[q : q + 1, 1], s[q : q + 1])[0] for q in range(len(pairs))])
+    assert sk.partial(m.r, pairs[:, 0], pairs[:, 1], s).tobytes() == alone.tobytes()
+    with np.errstate(all="ignore"):
+        assert sk.eliminated(m.r, pairs, s[0]).tobytes() == alone.tobytes()
+
+
+def test_unknown_tests_are_refused(spark):
+    with pytest.raises(ValueError, match="known are .*fisher_z"):
+        sk.skeleton(spark, random_matrix(1, 4), test="other")
+
+
+def test_moments_of_wide_tables_come_in_blocks(spark, monkeypatch):
+    """More columns than a block, and more parts than one task merges at once."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 300)) + np.arange(300)
+    df = spark.createDataFrame(x.tolist(), [f"c{k}" for k in range(300)]).repartition(7).cache()
+    m = moments.correlation_matrix(df, df.columns)
+    assert m.n == 900 and np.allclose(m.r, np.clip(np.corrcoef(x.T), -0.999999999, 0.999999999), atol=1e-12)
+    assert moments.moment_blocks(df, df.columns).select("bi", "bj").distinct().count() == 3
+    assert moments.moments(df, df.columns).count() == 300 * 301 // 2
+    monkeypatch.setattr(moments, "FAN_IN", -1)
+    assert np.allclose(moments.correlation_matrix(df, df.columns).r, m.r, atol=1e-12)
+    monkeypatch.setattr(moments, "MATRIX_BYTES", 8 * 299**2)
+    with pytest.raises(ValueError, match="300 columns"):
+        moments.correlation_matrix(df, df.columns)
+
+
 def test_moments_are_numpy_s_whatever_the_parts(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(5000, 12)) @ rng.normal(size=(12, 12)) + 1e6
