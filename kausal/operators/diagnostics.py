@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import CLIP, TINY
-from ..sources.shared import cut, ship
+from ..sources.shared import cut, ship, temporary
+from .moments import Correlations, from_blocks, thinned_blocks
 
 
 def in_order(df: DataFrame, order: list[str]) -> DataFrame:
@@ -107,6 +108,14 @@ def lag1_autocorrelation(df: DataFrame, columns: list[str], order: list[str]) ->
     return df.sparkSession.createDataFrame([(c, int(total[0, k]), float(r[k])) for k, c in enumerate(columns)], "name string, n long, r double")
 
 
+def thinned_matrices(df: DataFrame, columns: list[str], order: list[str], steps: Sequence[int]) -> list[Correlations]:
+    """The matrices of the table thinned by each step. The rows are sorted once; one pass over them keeps an accumulator a step."""
+    with temporary(df.sparkSession):
+        blocks = thinned_blocks(ordered_index(df, order), "_row", columns, list(steps)).toArrow()
+    at = np.asarray(blocks.column("part"))
+    return [from_blocks(blocks.filter(pa.array(at == k)), columns) for k in range(len(steps))]
+
+
 def thin(df: DataFrame, order: list[str], step: int) -> DataFrame:
     """Every step-th row in the order, the first included. The ordered rows are written once to the shared folder."""
     return ordered_index(df, order).where(F.col("_row") % step == 0).drop("_row")

@@ -59,37 +59,46 @@ def _unpacked(x: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
         yield x.column("bi")[k].as_py(), x.column("bj")[k].as_py(), (x.column("n")[k].as_py(), mi, mj, si, sj, sxy.reshape(len(mi), len(mj)))
 
 
+def _add(total: dict[tuple[int, int], tuple], m: np.ndarray) -> None:
+    """Adds the rows of a matrix to blocks."""
+    if not len(m):
+        return
+    with np.errstate(all="ignore"):
+        mean = m.mean(axis=0)
+        m = m - mean
+        own = (m * m).sum(axis=0)
+        for bi, (a, b) in enumerate(cuts := spans(m.shape[1])):
+            for bj, (c, d) in enumerate(cuts[bi:], bi):
+                new = (len(m), mean[a:b], mean[c:d], own[a:b], own[c:d], m[:, a:b].T @ m[:, c:d])
+                total[bi, bj] = _merge(total.get((bi, bj)), new)
+
+
 def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's rows to its blocks: centred by the task's own means, batch by batch."""
     total: dict[tuple[int, int], tuple] = {}
     for x in batches:
-        if not x.num_rows:
-            continue
-        m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in x.columns])
-        with np.errstate(all="ignore"):
-            mean = m.mean(axis=0)
-            m = m - mean
-            own = (m * m).sum(axis=0)
-            for bi, (a, b) in enumerate(cuts := spans(m.shape[1])):
-                for bj, (c, d) in enumerate(cuts[bi:], bi):
-                    new = (x.num_rows, mean[a:b], mean[c:d], own[a:b], own[c:d], m[:, a:b].T @ m[:, c:d])
-                    total[bi, bj] = _merge(total.get((bi, bj)), new)
+        _add(total, np.column_stack([c.to_numpy(zero_copy_only=False) for c in x.columns]))
     part = TaskContext.get().partitionId()
     for (bi, bj), t in total.items():
         yield _row(bi, bj, part, t)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts sorted by block to one row for each block."""
-    now, total = None, None
-    for x in batches:
-        for bi, bj, t in _unpacked(x):
-            if now is not None and (bi, bj) != now:
-                yield _row(*now, 0, total)
-                total = None
-            now, total = (bi, bj), _merge(total, t)
-    if now is not None:
-        yield _row(*now, 0, total)
+def _merged(by_part: bool = False):
+    """Parts sorted by block to one row for each block, or each block and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for x in batches:
+            for (bi, bj, t), part in zip(_unpacked(x), x.column("part").to_pylist(), strict=True):
+                key = (bi, bj, part if by_part else 0)
+                if now is not None and key != now:
+                    yield _row(*now, total)
+                    total = None
+                now, total = key, _merge(total, t)
+        if now is not None:
+            yield _row(*now, total)
+
+    return run
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +124,36 @@ def moment_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
     blocks = len(spans(len(columns)))
     if len(df.inputFiles()) > FAN_IN:
         group = F.floor(F.col("part") / FAN_IN).alias("g")
-        parts = parts.repartition("bi", "bj", group).sortWithinPartitions("bi", "bj").mapInArrow(_merged, BLOCKS)
-    return parts.repartition(blocks * (blocks + 1) // 2, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_merged, BLOCKS)
+        parts = parts.repartition("bi", "bj", group).sortWithinPartitions("bi", "bj").mapInArrow(_merged(), BLOCKS)
+    return parts.repartition(blocks * (blocks + 1) // 2, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_merged(), BLOCKS)
+
+
+def _of_steps(steps: list[int]):
+    """Rows (place, values) to the blocks of each thinning; part is the step's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[dict[tuple[int, int], tuple]] = [{} for _ in steps]
+        for x in batches:
+            place = np.asarray(x.column(0))
+            m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in x.columns[1:]])
+            for blocks, step in zip(total, steps, strict=True):
+                _add(blocks, m[place % step == 0])
+        for k, blocks in enumerate(total):
+            for (bi, bj), t in blocks.items():
+                yield _row(bi, bj, k, t)
+
+    return run
+
+
+def thinned_blocks(df: DataFrame, place: str, columns: list[str], steps: list[int]) -> DataFrame:
+    """The blocks of every step-th row by a column of places from 0, for all steps in one pass; part: the step's number."""
+    ship(df.sparkSession)
+    at = [df.columns.index(c) for c in (place, *columns)]
+    named = df.toDF(*[f"x{k}" for k in range(len(df.columns))])
+    values = [F.col(f"x{k}").cast("double" if i else "long").alias(f"v{i}") for i, k in enumerate(at)]
+    keys, blocks = ["bi", "bj", "part"], len(spans(len(columns)))
+    parts = named.select(values).mapInArrow(_of_steps(steps), BLOCKS)
+    return parts.repartition(len(steps) * blocks * (blocks + 1) // 2, *keys).sortWithinPartitions(*keys).mapInArrow(_merged(True), BLOCKS)
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, temporary
 from .skeleton import symmetric
 
 
@@ -45,40 +46,60 @@ def undirected(edges: DataFrame, arrows: DataFrame) -> DataFrame:
     return symmetric(edges).join(either, ["i", "j"], "left_anti")
 
 
-def meek(edges: DataFrame, arrows: DataFrame, rule: int, frozen: DataFrame | None = None) -> DataFrame:
-    """(src, dst) that one step of a rule adds. frozen: (i, j) that conflicts keep undirected."""
+def free_lines(edges: DataFrame, arrows: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
+    """(i, j), both orders, of edges that have no arrow and aren't frozen."""
     free = undirected(edges, arrows)
-    if frozen is not None:
-        free = free.join(symmetric(frozen), ["i", "j"], "left_anti")
-    adj = symmetric(edges)
-    to = lambda s, d: arrows.select(F.col("src").alias(s), F.col("dst").alias(d))
+    return free if frozen is None else free.join(symmetric(frozen), ["i", "j"], "left_anti")
+
+
+def meek(edges: DataFrame, arrows: DataFrame, rule: int, frozen: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
+    """(src, dst) that one step of a rule adds. frozen: (i, j) that conflicts keep undirected. new: only what follows with at
+    least one of these arrows, which are among arrows."""
+    free, adj = free_lines(edges, arrows, frozen), symmetric(edges)
+    new = arrows if new is None else new
+    to = lambda df, s, d: df.select(F.col("src").alias(s), F.col("dst").alias(d))
     line = lambda s, d: free.select(F.col("i").alias(s), F.col("j").alias(d))
     near = lambda s, d: adj.select(F.col("i").alias(s), F.col("j").alias(d))
     if rule == 1:  # a -> b, b - c, a and c apart: b -> c
-        out = to("a", "b").join(line("b", "c"), "b").where("a <> c").join(near("a", "c"), ["a", "c"], "left_anti").select("b", "c")
+        out = to(new, "a", "b").join(line("b", "c"), "b").where("a <> c").join(near("a", "c"), ["a", "c"], "left_anti").select("b", "c")
     elif rule == 2:  # a -> b -> c, a - c: a -> c
-        out = line("a", "c").join(to("a", "b"), "a").join(to("b", "c"), ["b", "c"]).select("a", "c")
-    else:  # a - b, a - c, a - d, c -> b, d -> b, c and d apart: a -> b
-        sides = line("a", "c").join(line("a", "d"), "a").where("c < d").join(near("c", "d"), ["c", "d"], "left_anti")
-        out = sides.join(line("a", "b"), "a").join(to("c", "b"), ["c", "b"], "left_semi").join(to("d", "b"), ["d", "b"], "left_semi").select("a", "b")
+        chain = lambda x, y: to(x, "a", "b").join(to(y, "b", "c"), "b").join(line("a", "c"), ["a", "c"]).select("a", "c")
+        out = chain(new, arrows) if new is arrows else chain(new, arrows).union(chain(arrows, new))
+    else:  # a - b, a - c, a - d, c -> b, d -> b, c and d apart: a -> b; of c -> b and d -> b one is new
+        wing = lambda x, c: to(x, c, "b").join(line("a", c), c)
+        both = wing(new, "c").join(wing(arrows, "d"), ["a", "b"]).where("c <> d").join(near("c", "d"), ["c", "d"], "left_anti")
+        out = both.join(line("a", "b"), ["a", "b"], "left_semi").select("a", "b")
     return out.toDF("src", "dst").distinct()
 
 
-def cpdag(edges: DataFrame, sepset: DataFrame) -> DataFrame:
-    """Conflict-free collider arrows, propagated by the three rules until nothing is added (at most one edge a time).
+def propagate(edges: DataFrame, arrows: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
+    """arrows and all that the three rules add to them, round by round, until nothing is added.
 
-    An edge that two colliders turn both ways stays undirected. A step that would turn an edge both ways turns it
-    neither way. The graph is at most p(p-1)/2 rows, so each round's result is taken to the driver.
+    A round joins the arrows of the last one with all; those that it would turn both ways are turned neither way, and are asked
+    for again, by all arrows, as long as they are open. All tables between rounds are in the shared folder.
     """
     spark = edges.sparkSession
-    raw = collider_arrows(edges, sepset)
-    frozen = spark.createDataFrame([(r[0], r[1]) for r in bidirected_pairs(raw).collect()], "i int, j int").coalesce(1)
-    known = {(r[0], r[1]) for r in conflict_free(raw).collect()}
-    while True:
-        arrows = spark.createDataFrame(sorted(known), "src int, dst int").coalesce(1)
-        added = meek(edges, arrows, 1, frozen).union(meek(edges, arrows, 2, frozen)).union(meek(edges, arrows, 3, frozen))
-        new = {(r[0], r[1]) for r in added.collect()}
-        new = {(a, b) for a, b in new if (b, a) not in new}
-        if not new:
-            return arrows
-        known |= new
+    with temporary(spark):
+        edges, known = cut(edges.select("i", "j"), "lines"), cut(arrows.select("src", "dst").distinct(), "arrows")
+        frozen = None if frozen is None else cut(frozen.select("i", "j"), "frozen")
+        new, torn = known, None
+        while True:
+            found = meek(edges, known, 1, frozen, new).union(meek(edges, known, 2, frozen, new)).union(meek(edges, known, 3, frozen, new))
+            if torn is not None:
+                every = meek(edges, known, 1, frozen).union(meek(edges, known, 2, frozen)).union(meek(edges, known, 3, frozen))
+                found = found.union(every.join(torn, ["src", "dst"], "left_semi"))
+            found = cut(found.distinct(), "found")
+            added = cut(conflict_free(found), "added")
+            if added.isEmpty():
+                break
+            both = found.join(reverse(found), ["src", "dst"], "left_semi")
+            torn = None if both.isEmpty() else both
+            known, new = cut(known.union(added), "arrows"), added
+        return cut(known.coalesce(1), "propagated", keep=True)
+
+
+def cpdag(edges: DataFrame, sepset: DataFrame) -> DataFrame:
+    """Conflict-free collider arrows, propagated by the three rules. An edge that two colliders turn both ways stays undirected."""
+    with temporary(edges.sparkSession):
+        raw = cut(collider_arrows(edges, sepset), "colliders")
+        return cut(propagate(edges, conflict_free(raw), bidirected_pairs(raw)), "cpdag", keep=True)

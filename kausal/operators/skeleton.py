@@ -389,9 +389,8 @@ def skeletons(spark: SparkSession, matrix: Correlations, alphas: list[float], ma
     return runs, work
 
 
-def edges_of(spark: SparkSession, adjacent: np.ndarray) -> DataFrame:
-    """(i, j) of a graph, which is of at most p(p-1)/2 rows."""
-    i, j = np.nonzero(np.triu(adjacent, 1))
+def pairs_table(spark: SparkSession, i: np.ndarray, j: np.ndarray) -> DataFrame:
+    """(i, j) of a graph's lines."""
     return spark.createDataFrame(pa.table({"i": pa.array(i.astype(np.int32)), "j": pa.array(j.astype(np.int32))})).coalesce(1)
 
 
@@ -412,4 +411,4 @@ def skeleton(spark: SparkSession, matrix: Correlations, alpha: float = 0.05, max
     """
     runs, work = skeletons(spark, matrix, [alpha], max_k, early_stop, stable, sides, test)
     x = runs[0]
-    return Skeleton(edges_of(spark, x.adjacent), sets_of(spark, x.sets), x.trace, work)
+    return Skeleton(pairs_table(spark, *np.nonzero(np.triu(x.adjacent, 1))), sets_of(spark, x.sets), x.trace, work)

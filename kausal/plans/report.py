@@ -29,5 +29,25 @@ def report_metrics(metrics: dict[str, float]) -> list[str]:
     return ["Evaluation against ground truth:", *[f"  {k:<12}: {metrics[k]}" for k in KEYS]]
 
 
+def report_scores(skeleton: dict, shd: int, directed: dict[str, float], turns: dict, recoverable: int, edges: int) -> list[str]:
+    """The scores of the graph's lines and of its directions, apart from each other, as lines."""
+    ratio = lambda x: f"{x:.4f}"
+    return [
+        f"Reference edges: {edges}, of which between variables of the dataset: {recoverable}",
+        "Skeleton:",
+        *[f"  {k:<12}: {v}" for k, v in (("Found", skeleton["TP"] + skeleton["FP"]), ("Precision", ratio(skeleton["Precision"])), ("Recall", ratio(skeleton["Recall_TPR"])), ("F1", ratio(skeleton["F1"])), ("SHD", shd))],
+        "Directions of shared edges:",
+        *[f"  {k:<12}: {turns[k]}" for k in ("correct", "reversed", "undirected", "other")],
+        "Directed entries:",
+        *[f"  {k:<12}: {directed[k]}" for k in KEYS],
+    ]
+
+
+def report_sweep(rows: list[dict]) -> list[str]:
+    """A table of a sweep's searches."""
+    keys = ("step", "alpha", "size", "n", "edges", "arrows")
+    return ["Sweep:", "  " + "".join(f"{k:>9}" for k in keys), *["  " + "".join(f"{r[k]:>9}" for k in keys) for r in rows]]
+
+
 def as_text(report: DataFrame) -> str:
     return "\n".join(r["text"] for r in report.orderBy("line_no").collect())

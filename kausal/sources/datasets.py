@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -12,16 +13,16 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITE = r"^[+-]?(inf|infinity)$"
 BOOLEAN = r"^(true|false|True|False|TRUE|FALSE)$"
-# Tokens that stand for a missing value in a CSV.
-MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 @dataclass
 class Dataset:
-    """A wide DataFrame of doubles without missing values, and its column names, whose order is the variables' order."""
+    """A wide DataFrame of doubles without missing values, and its column names, whose order is the variables' order; carrying:
+    the same with columns, as text, that were asked for beside them."""
 
     frame: DataFrame
     names: list[str]
+    carrying: DataFrame | None = None
 
 
 def read_text(spark: SparkSession, path: str, message: str) -> DataFrame:
@@ -58,12 +59,13 @@ def as_number(token: Column) -> Column:
     return F.when(t.rlike(NUMBER), t.try_cast("double")).when(F.lower(t).rlike(INFINITE), sign)
 
 
-def numeric_columns(df: DataFrame, names: list[str], drop_index: bool = False) -> Dataset:
+def numeric_columns(df: DataFrame, names: list[str], drop_index: bool = False, carry: Sequence[str] = ()) -> Dataset:
     """Of string columns c0.., those without a missing or non-numeric token, as doubles; one pass decides.
 
-    A column named exactly DateTime goes; with drop_index also one with a blank header. A column of booleans is 1/0.
+    A column named exactly DateTime goes; with drop_index also one with a blank header. A column of booleans is 1/0. carry: names of
+    columns that are no variables and that `carrying` has as text, to order the rows by.
     """
-    keep = [(k, n) for k, n in enumerate(names) if n != "DateTime" and not (drop_index and n.startswith("Unnamed: "))]
+    keep = [(k, n) for k, n in enumerate(names) if n != "DateTime" and n not in carry and not (drop_index and n.startswith("Unnamed: "))]
     counts = [F.count("*").alias("n")]
     for k, _ in keep:
         c = F.col(f"c{k}")
@@ -78,10 +80,10 @@ def numeric_columns(df: DataFrame, names: list[str], drop_index: bool = False) -
     if not out:
         raise ValueError("No numeric columns were found in the dataset")
     frame = df.select(*out)
-    return Dataset(frame, frame.columns)
+    return Dataset(frame, frame.columns, df.select(*out, *[F.col(f"c{names.index(n)}").alias(n) for n in carry]))
 
 
-def load_dataset(spark: SparkSession, path: str, drop_index: bool = False) -> Dataset:
+def load_dataset(spark: SparkSession, path: str, drop_index: bool = False, carry: Sequence[str] = ()) -> Dataset:
     """A CSV file's numeric columns. Names may differ in case only: later steps take columns by place. A line with an odd
     number of quotes means that a quoted cell holds a line feed; only then files are read whole, one task each."""
     lines = read_text(spark, path, "Dataset not found")
@@ -93,7 +95,7 @@ def load_dataset(spark: SparkSession, path: str, drop_index: bool = False) -> Da
     header = next(csv.reader([top[0]])) if top[0].count('"') % 2 == 0 else list(spark.read.csv(path, multiLine=True).first())
     names = column_names([header[0].lstrip("\ufeff") if header[0] else "", *header[1:]])
     schema = ", ".join(f"c{k} string" for k in range(len(names)))
-    return numeric_columns(spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=broken), names, drop_index)
+    return numeric_columns(spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=broken), names, drop_index, carry)
 
 
 def from_frame(df: DataFrame) -> Dataset:

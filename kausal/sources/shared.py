@@ -76,6 +76,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+def move_single(spark: SparkSession, folder: str, path: str) -> None:
+    """Makes the only part file of a written folder the file path, in place of another of that name."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    to, conf = hadoop.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+    part = next(s.getPath() for s in hadoop.Path(folder).getFileSystem(conf).listStatus(hadoop.Path(folder)) if s.getPath().getName().startswith("part-"))
+    to.getFileSystem(conf).delete(to, True)
+    hadoop.FileUtil.copy(part.getFileSystem(conf), part, to.getFileSystem(conf), to, False, conf)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that are written inside go at the end, but for those written with keep=True."""

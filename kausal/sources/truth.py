@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .datasets import read_text
+from .datasets import NUMBER, read_text
 
-WHOLE = r"^[+-]?\d+(_\d+)*$"
+WHOLE, SPECIAL = r"^[+-]?\d+(_\d+)*$", r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -16,11 +16,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("pos", "line"))
 
 
+def cell_number(token: Column) -> Column:
+    """A cell's number; NULL if it is none: a number as it is written in decimals, or an infinity or NaN, which aren't zero."""
+    return F.when(token.rlike(NUMBER), token.try_cast("double")).when(token.rlike(SPECIAL), F.lit(float("nan")))
+
+
 def parse_matrix(lines: DataFrame, n: int, comma: bool) -> DataFrame | None:
     """(src, dst) of the entries that aren't zero, or None if the lines aren't n rows of n numbers; # begins a comment."""
     text = F.trim(F.regexp_replace("line", "#.*", ""))
     cells = F.transform(F.split(text, ","), lambda c: F.trim(c)) if comma else F.split(text, r"\s+")
-    rows = lines.select("pos", text.alias("t"), F.transform(cells, lambda c: c.try_cast("double")).alias("v")).where("t <> ''")
+    rows = lines.select("pos", text.alias("t"), F.transform(cells, cell_number).alias("v")).where("t <> ''")
     good = rows.agg(F.count("*").alias("n"), F.expr(f"count_if(size(v) = {n} and not exists(v, x -> x is null))").alias("ok")).first()
     if n < 1 or good["n"] != n or good["ok"] != n or (n == 1 and good["n"] == 1):
         return None
@@ -54,11 +59,9 @@ def load_truth(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFr
     return edges, "edge_list"
 
 
-def load_named_truth(spark: SparkSession, path: str, own_names: list[str], names: list[str]) -> DataFrame:
-    """A graph over own_names aligned by name to a dataset's names; edges with an end outside are left out."""
-    from ..operators.evaluate import align
-
-    truth, _ = load_truth(spark, path, own_names)
+def load_named_truth(spark: SparkSession, path: str, own_names: list[str]) -> tuple[DataFrame, str]:
+    """A graph over own_names, by name: (src_name, dst_name), and the form found."""
+    truth, form = load_truth(spark, path, own_names)
     own = spark.createDataFrame(list(enumerate(own_names)), "idx int, name string")
-    named = truth.join(own.select(F.col("idx").alias("src"), F.col("name").alias("src_name")), "src").join(own.select(F.col("idx").alias("dst"), F.col("name").alias("dst_name")), "dst")
-    return align(named.select("src_name", "dst_name"), spark.createDataFrame(list(enumerate(names)), "idx int, name string"))
+    named = truth.where("src <> dst").join(own.select(F.col("idx").alias("src"), F.col("name").alias("src_name")), "src").join(own.select(F.col("idx").alias("dst"), F.col("name").alias("dst_name")), "dst")
+    return named.select("src_name", "dst_name"), form

@@ -3,16 +3,17 @@
 import math
 from itertools import combinations
 from pathlib import Path
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kausal.functions.stats import critical_z, p_value
-from kausal.operators import diagnostics, evaluate, moments, orient
+from kausal.operators import diagnostics, evaluate, moments, orient, ranks
 from kausal.operators import skeleton as sk
 from kausal.operators.candidates import Level
-from kausal.plans.api import discover, run_case, write_report
+from kausal.plans.api import Case, discover, run_case, run_cases, sweep, write_report
 from kausal.sources.datasets import from_frame, header_names, load_dataset
 from kausal.sources.truth import load_truth
 
@@ -440,3 +441,121 @@ def test_run_case(spark, tmp_path):
     assert result.matrix().tolist() == [[0, 0, 1], [0, 0, 1], [0, 0, 0]]
     write_report(spark, text, f"file://{tmp_path}/report")
     assert "\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/report").collect()) == text
+
+
+def test_normal_scores_are_those_of_mid_ranks(spark):
+    """Ties, an all-equal column, nulls, NaN, infinities and -0.0, against ranks counted one by one."""
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.integers(0, 4)), 7.0, float(np.exp(rng.normal())), None if k % 9 == 0 else float(k % 5)) for k in range(80)]
+    rows += [(math.inf, 7.0, -0.0, 1.0), (-math.inf, 7.0, 0.0, 2.0), (math.nan, 7.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, `A.b` double, c double, d double").repartition(5)
+    held = df.collect()
+    normal = NormalDist()
+
+    def scores(k):
+        known = [r[k] for r in held if r[k] is not None and not math.isnan(r[k])]
+        mid = {v: sum(w < v for w in known) + (sum(w == v for w in known) + 1) / 2 for v in known}
+        return sorted((None if r[k] is None else math.nan if math.isnan(r[k]) else normal.inv_cdf(mid[r[k]] / (len(known) + 1)) for r in held), key=str)
+
+    got = ranks.normal_scores(df, df.columns).collect()
+    for k in range(4):
+        mine = sorted((r[k] for r in got), key=str)
+        assert [str(v) if v is None or math.isnan(v) else round(v, 12) for v in mine] == [str(v) if v is None or math.isnan(v) else round(v, 12) for v in scores(k)]
+    assert ranks.normal_scores(df.limit(0), df.columns).count() == 0
+
+
+def test_search_on_normal_scores_does_not_change_under_monotone_maps(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=400)
+    y = x + rng.normal(scale=0.4, size=400)
+    z = y + rng.normal(scale=0.4, size=400)
+    plain = spark.createDataFrame(np.column_stack([x, y, z]).tolist(), "x double, y double, z double")
+    bent = plain.selectExpr("exp(3 * x) x", "y * y * y y", "exp(z) z")
+    a, b = (discover(t, 0.01, 1, early_stop=False, test="normal_scores").adjacency for t in (plain, bent))
+    assert a == b == {0: {1}, 1: {0, 2}, 2: {1}}
+    m = ranks.normal_score_matrix(plain, plain.columns)
+    assert m.n == 400 and abs(m.r[0, 1] - np.corrcoef(x, y)[0, 1]) < 0.02
+
+
+def plain_sweep(x, alpha, size):
+    m = moments.Correlations(len(x), [str(k) for k in range(x.shape[1])], np.clip(np.corrcoef(x.T), -0.999999999, 0.999999999))
+    edges, sets = sequential(m, alpha, size)
+    near = lambda a, b: (min(a, b), max(a, b)) in edges
+    arrows = {e for b in range(m.p) for a, c in combinations([v for v in range(m.p) if v != b and near(v, b)], 2) if not near(a, c) and b not in sets[a, c] for e in ((a, b), (c, b))}
+    return len(x), len(edges), len(arrows)
+
+
+def test_sweep_is_one_search_for_each_combination(spark):
+    """Three steps, four alphas and three sizes, with one sort and one pass over the rows."""
+    rng = np.random.default_rng(21)
+    w = np.triu(rng.normal(size=(7, 7)) * (rng.random((7, 7)) < 0.5), 1)
+    x = rng.normal(size=(900, 7)) @ np.linalg.inv(np.eye(7) - w)
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(x.tolist())], ["t"] + [f"c{k}" for k in range(7)]).repartition(6)
+    got = sweep(df, [0.001, 0.01, 0.05, 0.2], [0, 1, 2], ["t"], [1, 2, 5])
+    assert len(got) == 36
+    for r in got:
+        assert (r["n"], r["edges"], r["arrows"]) == plain_sweep(x[:: r["step"]], r["alpha"], r["size"])
+    assert [r["edges"] for r in sweep(df.drop("t"), [0.05], [-1, None])] == [21, len(sequential(moments.correlation_matrix(df, [f"c{k}" for k in range(7)]), 0.05, 5)[0])]
+
+
+def plain_states(lines, arrows):
+    out = {}
+    for a, b in {tuple(sorted(e)) for e in [*lines, *arrows] if e[0] != e[1]}:
+        up, down = (a, b) in arrows, (b, a) in arrows
+        out[a, b] = "x" if up and down else ">" if up else "<" if down else "-"
+    return out
+
+
+def plain_counts(lines, arrows, truth):
+    """(edge distance, correct, reversed, undirected, other) one pair after the other."""
+    mine, want = plain_states(lines, arrows), plain_states(truth, truth)
+    shared = [(mine[e], want[e]) for e in mine if e in want]
+    turned = [s for s in shared if s in ((">", "<"), ("<", ">"))]
+    correct, line = [s for s in shared if s[0] == s[1]], [s for s in shared if s[0] == "-" != s[1]]
+    return sum(mine.get(e) != want.get(e) for e in mine.keys() | want.keys()), len(correct), len(turned), len(line), len(shared) - len(correct) - len(turned) - len(line)
+
+
+def test_documented_case_is_aligned_by_name(spark, tmp_path):
+    """A reference graph over more variables than the data: scored over the edges between the data's variables, not read as an
+    edge list; lines, directions and sweeps in one report, cases in one file."""
+    rng = np.random.default_rng(4)
+    n = 240
+    a, b, e = (rng.normal(size=n) for _ in range(3))
+    c = a + b + 0.1 * rng.normal(size=n)
+    d = c + 0.5 * rng.normal(size=n)
+    data, graph = tmp_path / "d.csv", tmp_path / "g.txt"
+    data.write_text(",when,a,b,c,d,e\n" + "\n".join(f"{k},2024-01-01T00:{k // 60:02d}:{k % 60:02d},{','.join(map(str, v))}" for k, v in enumerate(zip(a, b, c, d, e, strict=True))))
+    own = ["a", "gone", "b", "c", "d", "e"]  # one variable that the data don't have
+    edges = {("a", "c"), ("b", "c"), ("d", "c"), ("gone", "a"), ("a", "e")}
+    graph.write_text("\n".join(" ".join(str(int((x, y) in edges)) for y in own) for x in own))
+    text = run_case(spark, str(data), str(graph), mode="documented", truth_names=own, sweeps={"alphas": [0.01, 0.2], "sizes": [0, 2], "steps": [1, 2], "order": ["when"]})
+    assert "parsed as: matrix" in text and "Reference edges: 5, of which between variables of the dataset: 4" in text and "Unnamed" not in text
+    result = discover(load_dataset(spark, str(data), drop_index=True, carry=["when"]).frame, 0.01, 2, mode="documented")
+    lines = {(r.i, r.j) for r in result.edges.collect()}
+    arrows = {(r.src, r.dst) for r in result.arrows.collect()}
+    names = ["a", "b", "c", "d", "e"]
+    truth = {(names.index(x), names.index(y)) for x, y in edges if "gone" not in (x, y)}
+    shd, correct, turned, line, other = plain_counts(lines, arrows, truth)
+    both = len({tuple(sorted(e)) for e in truth} & lines)
+    for name, value in (("Found", len(lines)), ("Precision", f"{both / len(lines):.4f}"), ("Recall", f"{both / 4:.4f}"), ("SHD", shd), ("correct", correct), ("reversed", turned), ("undirected", line), ("other", other)):
+        assert f"  {name:<12}: {value}\n" in text
+    assert len(text[text.index("Sweep:") :].split("\n")) == 2 + 8
+    graph.write_text("\n".join(" ".join(str(int((x, y) in edges)) for y in [*own, "more"]) for x in [*own, "more"]))
+    observed = run_case(spark, str(data), str(graph), truth_names=own)  # seven names in the file, six columns: not aligned there
+    assert "Variables: Unnamed: 0, a" in observed and "parsed as: edge_list" in observed
+    assert "parsed as: matrix" in run_case(spark, str(data), str(graph), mode="documented", truth_names=[*own, "more"])
+    path = tmp_path / "all.txt"
+    every = run_cases(spark, [Case(str(data), str(graph), own, title="One"), Case(str(data), str(tmp_path / "none"), title="Two")], f"file://{path}", alphas=[0.01, 0.05])
+    assert path.read_text() == every + "\n" and every.startswith("One (alpha = 0.01") and every.count("Sweep:") == 2 and "evaluation skipped" in every
+
+
+def test_matrix_cells_are_decimal_numbers(spark, tmp_path):
+    """Suffixes and hexadecimals aren't numbers: such a file is a list of edges."""
+    f = tmp_path / "t.txt"
+    for bad in ("1d", "0f", "0x1", "1_0", "1L"):
+        f.write_text(f"0 {bad}\n1 0")
+        assert load_truth(spark, str(f), ["0", "1"])[1] == "edge_list"
+    for good in ("1", "+1.", ".5", "1e3", "-INF", "Infinity", "nan", "-NaN"):
+        f.write_text(f"0 {good}\n0 0")
+        found, form = load_truth(spark, str(f), ["a", "b"])
+        assert form == "matrix" and [tuple(r) for r in found.collect()] == [(0, 1)]
