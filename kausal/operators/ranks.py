@@ -27,6 +27,11 @@ def _long(held: DataFrame, columns: list[str]) -> DataFrame:
     return rows.where("v is not null and not isnan(v)").withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
 
 
+def values_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(_id, col, v, salt): the values of the columns that are numbers, by row."""
+    return _long(df.withColumn("_id", F.monotonically_increasing_id()), columns)
+
+
 def mid_ranks(rows: DataFrame) -> DataFrame:
     """(col, v, n, mask, mid, total) of each distinct value of rows (col, v, salt): its number, the salts that its rows have,
     the mean of its rows' ranks (from 1) among the column's, and the column's number of values.

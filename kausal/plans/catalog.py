@@ -8,15 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import critical_z, p_value
-from ..operators import diagnostics, evaluate, moments, orient
+from ..operators import diagnostics, evaluate, moments, orient, ranks
 from ..operators import skeleton as sk
 from ..sources import datasets, truth
-from . import views
+from ..sources.shared import new_path
+from . import graphs, views
 from .api import discover, search, sweep
 from .report import report_graph, report_metrics
 
+# Coefficients of the rational approximations of the normal quantile (AS 241), highest power first.
+CENTRE = (
+    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0),
+    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+)
+NEAR = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0),
+)
+FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e0, 5.46378491116411436990e0, 6.65790464350110377720e0),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 A1, A2 = 0.01, 0.05
+ALPHAS = [0.001, 0.01, 0.05, 0.2]
+RANKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def r6(c, name: str):
@@ -45,24 +62,10 @@ def values(spark, rows, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-#: A small reference graph and its lines, for the parsers and the scores.
-NAMES = ["A", "B", "C", "D", "E"]
-EDGE_LINES = ["source,target", "A,B", "B C", "2 3", "A 3", "E,D,0.5", "7 1", "-1 2", "D", "A,B", "C,C"]
-MATRIX_LINES = ["0 1 0 0 0", "0 0 1 0 0", "0 0 0 1 0  # c", "0 0 0 0 0", "", "1 0 0 2 0"]
-TRUTH = [(0, 1), (1, 2), (2, 3), (4, 3), (4, 0)]
-PRED = [(0, 1), (2, 1), (2, 3), (3, 2), (0, 3)]
-LINES = [(0, 1), (1, 2), (2, 3), (0, 3), (1, 4)]
-MEEK_EDGES = [(0, 1), (1, 2), (0, 3), (3, 4), (0, 4), (5, 6), (5, 7), (5, 8), (6, 7), (6, 8)]
-MEEK_ARROWS = [(0, 1), (0, 3), (3, 4), (7, 6), (8, 6)]
-
-
 def queries() -> dict[str, Query]:
     def small(d, rows, schema):
         return values(d, rows, schema).coalesce(1)
 
-    def pairs(s, rows, a="src", b="dst"):
-        return small(s, rows, f"{a} int, {b} int")
-
     def skeleton_at(level: int) -> Query:
         def run(s, d):
             return sk.skeleton(s, matrix2(s, d), A2, level).edges
@@ -105,6 +108,16 @@ def queries() -> dict[str, Query]:
         edges = sk.skeleton(s, m, A1, 0).edges
         return report_graph(small(s, list(enumerate(views.V3)), "idx int, name string"), edges, edges.selectExpr("i as src", "j as dst"))
 
+    def csv_columns(s, d):
+        """part as a CSV file with columns that go (text, a gap, DateTime) and columns that stay, read as a dataset."""
+        path = new_path(s, "csv")
+        s.read.parquet(f"{d}/part.parquet").selectExpr(
+            "p_partkey as `b`", "p_name as `name`", "if(p_partkey % 50 = 7, 'NA', cast(p_size as string)) as gap", "p_size as DateTime", "p_size as datetime", "if(p_size > 9, 'True', 'False') as flag", "p_retailprice as `p, r`"
+        ).coalesce(1).write.option("header", True).csv(path)
+        data = datasets.load_dataset(s, path)
+        return moments.numeric_profile(data.frame.toDF(*[f"x{k}" for k in range(len(data.names))]), [f"x{k}" for k in range(len(data.names))]).join(
+            small(s, list(enumerate(data.names)), "idx int, header string"), "idx").select("idx", F.col("header").alias("name"), "n", F.round("mean", 4).alias("mean"))
+
     def e2e(s, d):
         r = discover(views.v2(s, d), A2, 2)
         lines = r.edges.selectExpr("'edge' as kind", "i as a", "j as b")
@@ -117,7 +130,6 @@ def queries() -> dict[str, Query]:
         "corr_matrix": lambda s, d: moments.correlations(moments.moments(views.v1(s, d), views.V1)).select("i", "j", r6(F.col("r"), "r")),
         "corr_gram": lambda s, d: moments.correlations(moments.moments(views.v2(s, d), views.V2)).select("i", "j", r6(F.col("r"), "r")),
         "corr_constant_guard": lambda s, d: moments.correlations(moments.moments(s.read.parquet(f"{d}/part.parquet").selectExpr("p_size", "5.0D as five", "p_retailprice"), ["p_size", "five", "p_retailprice"])).select("i", "j", r6(F.col("r"), "r")),
-        "pair_grid": lambda s, d: sk.pair_grid(s, 11),
         "partial_corr_k1": ci(1),
         "partial_corr_k2": ci(2),
         "fisher_z": lambda s, d: fisher(s, d).select("i", "j", "m", r6(F.col("z"), "z")),
@@ -138,24 +150,15 @@ def queries() -> dict[str, Query]:
         "bidirected_pairs": lambda s, d: orient.bidirected_pairs(pc(s, d).arrows),
         "orient_conflict_free": lambda s, d: orient.conflict_free(pc(s, d).arrows),
         "cpdag": lambda s, d: search(s, matrix2(s, d), A2, 2, mode="documented").arrows,
-        "truth_matrix_parse": lambda s, d: truth.parse_matrix(small(s, list(enumerate(MATRIX_LINES)), "pos int, line string"), 5, False),
-        "truth_edge_parse": lambda s, d: truth.parse_edges(small(s, list(enumerate(EDGE_LINES)), "pos int, line string"), small(s, list(enumerate(NAMES)), "idx int, name string"), 5),
-        "truth_aligned": lambda s, d: evaluate.align(small(s, [("A", "B"), ("X", "A"), ("C", "A"), ("B", "Y")], "src_name string, dst_name string"), small(s, list(enumerate(NAMES)), "idx int, name string")),
-        "confusion": lambda s, d: evaluate.confusion(pairs(s, PRED), pairs(s, TRUTH), 5),
-        "shd_entry": lambda s, d: evaluate.confusion(pairs(s, PRED), pairs(s, TRUTH), 5).select("SHD"),
-        "shd_edge": lambda s, d: evaluate.shd_edges(pairs(s, LINES, "i", "j"), pairs(s, PRED), pairs(s, TRUTH)),
-        "metrics_directed": lambda s, d: evaluate.ratios(evaluate.confusion(pairs(s, PRED), pairs(s, TRUTH), 5)),
-        "metrics_skeleton": lambda s, d: evaluate.skeleton_metrics(pairs(s, LINES, "i", "j"), pairs(s, TRUTH), 5),
-        "orientation_counts": lambda s, d: evaluate.orientation_counts(pairs(s, LINES, "i", "j"), pairs(s, PRED), pairs(s, TRUTH)),
-        "report_graph": lambda s, d: report_graph(small(s, list(enumerate(NAMES)), "idx int, name string"), pairs(s, LINES[:3], "i", "j"), pairs(s, PRED)),
-        "report_metrics": lambda s, d: small(s, list(enumerate(report_metrics(evaluate.compute_metrics(pairs(s, PRED), pairs(s, TRUTH), 5)))), "line_no int, text string"),
         "lag1_autocorr": lambda s, d: diagnostics.lag1_autocorrelation(s.read.parquet(f"{d}/events.parquet").select("ts", "event_id", "value", "user_id"), ["value", "user_id"], ["ts", "event_id"]).select("name", "n", r6(F.col("r"), "r")),
         "thin_rows": lambda s, d: diagnostics.thin(s.read.parquet(f"{d}/events.parquet").select("ts", "event_id"), ["ts", "event_id"], 10).select("event_id"),
         "alpha_sweep": lambda s, d: small(s, [(r["alpha"], r["edges"]) for r in sweep(views.v2(s, d), [0.001, 0.01, 0.05, 0.2], [0])], "alpha double, edges long"),
         "size_sweep": lambda s, d: small(s, [(r["size"], r["edges"], r["arrows"]) for r in sweep(views.v2(s, d), [A2], [0, 1, 2])], "size int, edges long, arrows long"),
+        "sweep_grid": lambda s, d: small(s, [(r["step"], r["alpha"], r["size"], r["n"], r["edges"], r["arrows"]) for r in sweep(views.v3(s, d), ALPHAS, [0, 1, 2], ["doc_id"], [1, 2, 5])], "step int, alpha double, size int, n long, edges long, arrows long"),
+        "mid_ranks": lambda s, d: ranks.mid_ranks(ranks.values_of(s.read.parquet(f"{d}/lineitem.parquet"), RANKED)).select("col", "v", "n", "mid", "total"),
+        "corr_normal_scores": lambda s, d: moments.correlations(moments.moments(ranks.normal_scores(s.read.parquet(f"{d}/lineitem.parquet").select(*RANKED), RANKED), RANKED)).select("i", "j", r6(F.col("r"), "r")),
+        "csv_columns": csv_columns,
         "thin_sweep": lambda s, d: small(s, [(r["step"], r["n"], r["edges"]) for r in sweep(views.v3(s, d), [A1], [0], ["doc_id"], [1, 2, 5])], "step int, n long, edges long"),
-        "truth_recovery": lambda s, d: evaluate.by_recovery(small(s, [("A", "B"), ("X", "A"), ("C", "A"), ("B", "Y")], "src_name string, dst_name string"), small(s, list(enumerate(NAMES)), "idx int, name string")),
-        "truth_missing": lambda s, d: evaluate.missing_edges(pairs(s, TRUTH), pairs(s, PRED)),
         "graph_scores": scored,
         "graph_skeleton_shd": lambda s, d: (lambda a, b, x, y: evaluate.shd_edges(a, x, y))(*halves(s, d)),
         "graph_orientation": lambda s, d: (lambda a, b, x, y: evaluate.orientation_counts(a, x, y))(*halves(s, d)),
@@ -163,9 +166,7 @@ def queries() -> dict[str, Query]:
         "report_of_table": summary,
         "discover_end_to_end": e2e,
     }
-    for rule in (1, 2, 3):
-        out[f"meek_r{rule}"] = lambda s, d, rule=rule: orient.meek(pairs(s, MEEK_EDGES, "i", "j"), pairs(s, MEEK_ARROWS), rule)
-    return out
+    return out | graphs.queries()
 
 
 def _corr_cte(view: str, names: list[str]) -> str:
@@ -229,32 +230,18 @@ k1s AS (SELECT i, j, m, rho FROM k1 WHERE i < j)"""
     z1 = "0.5 * sqrt((SELECT n FROM n) - 4) * ln((1 + rho) / (1 - rho))"
     horner = lambda x, c: "(" * (len(c) - 1) + repr(c[0]) + "".join(f" * {x} + {v!r})" for v in c[1:])
     from ..functions import stats as st
+
+    def quantile(p: str) -> str:
+        """The normal quantile of a share as SQL."""
+        q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+        tail = lambda x, num, den: f"sign({q}) * {horner(x, num)} / {horner(x, den)}"
+        centre = f"(0.180625 - {q} * {q})"
+        return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {horner(centre, CENTRE[0])} / {horner(centre, CENTRE[1])} WHEN {r} <= 5 THEN {tail(f'({r} - 1.6)', *NEAR)} ELSE {tail(f'({r} - 5)', *FAR)} END"
+
     a = "a"
     y = "(1 / greatest(a * a, 1))"
     erfc = f"""CASE WHEN a <= 0.46875 THEN 1 - a * {horner('(a * a)', st.ERF_P)} / {horner('(a * a)', st.ERF_Q)} WHEN a <= 4 THEN exp(-a * a) * {horner(a, st.MID_P)} / {horner(a, st.MID_Q)}
   ELSE exp(-least(a * a, 700)) / greatest(a, 1) * (0.5641895835477563 - {y} * {horner(y, st.FAR_P)} / {horner(y, st.FAR_Q)}) END"""
-    rows = lambda r: ", ".join("(" + ", ".join(repr(v) for v in x) + ")" for x in r)
-    score = f"""WITH p(src, dst) AS (VALUES {rows(PRED)}), t(src, dst) AS (VALUES {rows(TRUTH)}),
-g AS (SELECT a.i AS src, b.i AS dst FROM range(5) a(i), range(5) b(i) WHERE a.i <> b.i),
-k AS (SELECT (g.src, g.dst) IN (SELECT (src, dst) FROM p) AS p, (g.src, g.dst) IN (SELECT (src, dst) FROM t) AS t FROM g),
-c AS (SELECT count(*) FILTER (p AND t) AS TP, count(*) FILTER (p AND NOT t) AS FP, count(*) FILTER (t AND NOT p) AS FN, count(*) FILTER (NOT p AND NOT t) AS TN, count(*) FILTER (p <> t) AS SHD FROM k)"""
-    skel = f"""WITH p(a, b) AS (VALUES {rows(LINES)}), t AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM (VALUES {rows(TRUTH)}) v(s, d)),
-g AS (SELECT a.i AS a, b.i AS b FROM range(5) a(i), range(5) b(i) WHERE a.i < b.i),
-k AS (SELECT (g.a, g.b) IN (SELECT (a, b) FROM p) AS p, (g.a, g.b) IN (SELECT (a, b) FROM t) AS t FROM g),
-c AS (SELECT count(*) FILTER (p AND t) AS TP, count(*) FILTER (p AND NOT t) AS FP, count(*) FILTER (t AND NOT p) AS FN, count(*) FILTER (NOT p AND NOT t) AS TN, count(*) FILTER (p <> t) AS SHD FROM k)"""
-    ratio = """, q AS (SELECT *, coalesce(TP / nullif(TP + FP, 0), 0.0) AS Precision, coalesce(TP / nullif(TP + FN, 0), 0.0) AS Recall_TPR, coalesce(FP / nullif(TP + FP, 0), 0.0) AS FDR, coalesce(FP / nullif(FP + TN, 0), 0.0) AS FPR FROM c)
-SELECT *, coalesce(2 * Precision * Recall_TPR / nullif(Precision + Recall_TPR, 0), 0.0) AS F1 FROM q"""
-    state = lambda name, lines, arrows: f"""{name}w AS (SELECT least(s, d) AS a, greatest(s, d) AS b, bool_or(s < d) AS up, bool_or(s > d) AS down FROM (VALUES {rows(arrows)}) v(s, d) GROUP BY 1, 2),
-{name}l AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM (VALUES {rows(lines)}) v(s, d)),
-{name} AS (SELECT a, b, CASE WHEN up AND down THEN 'x' WHEN up THEN '>' WHEN down THEN '<' ELSE '-' END AS s FROM {name}l FULL JOIN {name}w USING (a, b))"""
-    states = "WITH " + state("p", LINES, PRED) + ", " + state("t", TRUTH, TRUTH)
-    turned = "((p.s = '>' AND t.s = '<') OR (p.s = '<' AND t.s = '>'))"
-    free = f"""WITH e(i, j) AS (VALUES {rows(MEEK_EDGES)}), ar(src, dst) AS (VALUES {rows(MEEK_ARROWS)}), adj AS (SELECT i, j FROM e UNION SELECT j, i FROM e),
-u AS (SELECT i, j FROM adj WHERE NOT EXISTS (SELECT 1 FROM ar WHERE (src = i AND dst = j) OR (src = j AND dst = i)))"""
-    apart = lambda x, y: f"NOT EXISTS (SELECT 1 FROM adj z WHERE z.i = {x} AND z.j = {y})"
-    edge_rows = ", ".join(f"({k}, '{line}')" for k, line in enumerate(EDGE_LINES))
-    matrix_rows = ", ".join(f"({k}, '{line}')" for k, line in enumerate(MATRIX_LINES))
-    name_rows = rows(list(enumerate(NAMES)))
     events = "SELECT value, user_id::DOUBLE AS user_id, lag(value) OVER w AS v0, lag(user_id::DOUBLE) OVER w AS u0, row_number() OVER w AS k FROM events WINDOW w AS (ORDER BY ts, event_id)"
     thinned = lambda k: f"SELECT * EXCLUDE (doc_id, k) FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM ({views.V3_SQL})) WHERE k % {k} = 0"
     profile = " UNION ALL ".join(f"SELECT {i}::INT AS idx, '{c}' AS name, count(*) AS n, round(avg({c}), 4) AS mean, round(var_pop({c}), 2) AS var FROM d" for i, c in enumerate(views.V1))
@@ -293,15 +280,12 @@ l AS (SELECT 0 AS part, 0 AS a, 0 AS b, 'Variables: {", ".join(views.V3)}' AS te
   UNION ALL SELECT 1, k, 0, '  ' || {named}[k + 1] || ' -> ' || coalesce((SELECT string_agg({named}[j + 1], ', ' ORDER BY j) FROM adj WHERE adj.i = k), '(none)') FROM range(6) v(k)
   UNION ALL SELECT 2, i, j, '  ' || {named}[i + 1] || ' -> ' || {named}[j + 1] FROM e UNION ALL SELECT 2, 0, 0, '  (none detected)' WHERE NOT EXISTS (FROM e))
 SELECT (row_number() OVER (ORDER BY part, a, b) - 1)::INT AS line_no, text FROM l"""
-    metrics = {"Precision": 0.4, "Recall_TPR": 0.4, "F1": 0.4, "FDR": 0.6, "FPR": 0.2, "SHD": 6, "TP": 2, "FP": 3, "FN": 3, "TN": 12}
-    graph = [f"Variables: {', '.join(NAMES)}", "Undirected skeleton:", "  A -> B", "  B -> A, C", "  C -> B, D", "  D -> C", "  E -> (none)", "Directed edges:", "  A -> B", "  A -> D", "  C -> B", "  C -> D", "  D -> C"]
     return {
         "numeric_profile": f"WITH d AS ({views.V1_SQL}) {profile}",
         "column_filter": "WITH c AS (SELECT count(*) - count(l_quantity) AS a, count(*) - count(CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax END) AS b, count(*) - count(l_discount) AS x FROM lineitem) SELECT name FROM (SELECT unnest([{'name': 'l_quantity', 'm': a}, {'name': 'gap', 'm': b}, {'name': 'l_discount', 'm': x}], recursive := true) FROM c) WHERE m = 0",
         "corr_matrix": f"{c1} SELECT i, j, {six('r')} AS r FROM r WHERE i < j",
         "corr_gram": f"WITH {_corr_cte(views.V2_SQL, views.V2)} SELECT i, j, {six('r')} AS r FROM r WHERE i < j",
         "corr_constant_guard": f"{guard} SELECT i, j, {six('r')} AS r FROM r WHERE i < j",
-        "pair_grid": "SELECT a.i::INT AS i, b.i::INT AS j FROM range(11) a(i) JOIN range(11) b(i) ON a.i < b.i",
         "partial_corr_k1": f"{c1}, {k1} SELECT i, j, m, {six('rho')} AS rho FROM k1s",
         "partial_corr_k2": f"{c1}, {k1} {k2}",
         "fisher_z": f"{c1}, {k1} SELECT i, j, m, {six(z1)} AS z FROM k1s",
@@ -320,36 +304,24 @@ SELECT (row_number() OVER (ORDER BY part, a, b) - 1)::INT AS line_no, text FROM
         "bidirected_pairs": f"{pc()} SELECT x.src AS i, x.dst AS j FROM arr x JOIN arr y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst",
         "orient_conflict_free": f"{pc()} SELECT src, dst FROM arr x WHERE NOT EXISTS (SELECT 1 FROM arr y WHERE x.src = y.dst AND x.dst = y.src)",
         "cpdag": completed,
-        "truth_matrix_parse": f"""WITH l(pos, line) AS (VALUES {matrix_rows}), k AS (SELECT pos, string_split_regex(trim(regexp_replace(line, '#.*', '')), '\\s+') AS v FROM l WHERE trim(line) <> ''),
-o AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS src, v FROM k), c AS (SELECT src, unnest(range(5)) AS dst, v FROM o) SELECT src::INT AS src, dst::INT AS dst FROM c WHERE v[dst + 1]::DOUBLE <> 0""",
-        "truth_edge_parse": f"""WITH l(pos, line) AS (VALUES {edge_rows}), v(idx, name) AS (VALUES {name_rows}),
-t AS (SELECT list_filter(string_split_regex(trim(replace(line, ',', ' ')), '\\s+'), lambda x: x <> '') AS t FROM l), k AS (SELECT t[1] AS a, t[2] AS b FROM t WHERE len(t) >= 2),
-m AS (SELECT CASE WHEN x.idx IS NOT NULL AND y.idx IS NOT NULL THEN x.idx ELSE try_cast(a AS INT) END AS src, CASE WHEN x.idx IS NOT NULL AND y.idx IS NOT NULL THEN y.idx ELSE try_cast(b AS INT) END AS dst FROM k LEFT JOIN v x ON x.name = a LEFT JOIN v y ON y.name = b)
-SELECT DISTINCT src, dst FROM m WHERE src BETWEEN 0 AND 4 AND dst BETWEEN 0 AND 4""",
-        "truth_aligned": f"WITH v(idx, name) AS (VALUES {name_rows}), t(a, b) AS (VALUES ('A', 'B'), ('X', 'A'), ('C', 'A'), ('B', 'Y')) SELECT DISTINCT x.idx AS src, y.idx AS dst FROM t JOIN v x ON x.name = a JOIN v y ON y.name = b",
-        "confusion": f"{score} SELECT TP, FP, FN, TN, SHD FROM c",
-        "shd_entry": f"{score} SELECT SHD FROM c",
-        "shd_edge": f"{states} SELECT count(*) AS SHD FROM p FULL JOIN t USING (a, b) WHERE p.s IS DISTINCT FROM t.s",
-        "metrics_directed": score + ratio,
-        "metrics_skeleton": skel + ratio,
-        "orientation_counts": f"""{states} SELECT count(*) FILTER (p.s = t.s) AS correct, count(*) FILTER ({turned}) AS reversed, count(*) FILTER (p.s <> t.s AND p.s = '-') AS undirected,
-count(*) FILTER (p.s <> t.s AND p.s <> '-' AND NOT {turned}) AS other FROM p JOIN t USING (a, b)""",
-        "report_graph": f"SELECT line_no::INT AS line_no, text FROM (VALUES {rows(list(enumerate(graph)))}) v(line_no, text)",
-        "report_metrics": f"SELECT line_no::INT AS line_no, text FROM (VALUES {rows(list(enumerate(['Evaluation against ground truth:', *[f'  {k:<12}: {v}' for k, v in metrics.items()]])))}) v(line_no, text)",
         "lag1_autocorr": f"WITH l AS ({events}) SELECT 'value' AS name, count(*) AS n, {six('corr(value, v0)')} AS r FROM l WHERE k > 1 UNION ALL SELECT 'user_id', count(*), {six('corr(user_id, u0)')} FROM l WHERE k > 1",
         "thin_rows": "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k % 10 = 0",
         "alpha_sweep": " UNION ALL ".join(f"SELECT * FROM ({_pc_cte(views.V2_SQL, views.V2, al, 0)} SELECT {al}::DOUBLE AS alpha, count(*) AS edges FROM e)" for al in (0.001, 0.01, 0.05, 0.2)),
         "size_sweep": " UNION ALL ".join(f"SELECT * FROM ({pc(k)} SELECT {k}::INT AS size, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM arr) AS arrows)" for k in (0, 1, 2)),
+        "sweep_grid": " UNION ALL ".join(
+            f"SELECT * FROM ({_pc_cte(thinned(k), views.V3[:-1], al, size)} SELECT {k}::INT AS step, {al}::DOUBLE AS alpha, {size}::INT AS size, (SELECT n FROM n) AS n, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM arr) AS arrows)"
+            for k in (1, 2, 5) for al in ALPHAS for size in (0, 1, 2)),
+        "mid_ranks": " UNION ALL ".join(f"SELECT {k}::INT AS col, v, n, before + (n + 1) / 2 AS mid, total FROM (SELECT {c}::DOUBLE AS v, count(*) AS n, (sum(count(*)) OVER (ORDER BY {c}) - count(*))::BIGINT AS before, (sum(count(*)) OVER ())::BIGINT AS total FROM lineitem GROUP BY {c})" for k, c in enumerate(RANKED)),
+        "corr_normal_scores": f"""WITH n AS (SELECT {', '.join(f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / (count(*) OVER () + 1) AS p{k}" for k, c in enumerate(RANKED))} FROM lineitem),
+s AS (SELECT {', '.join(f"{quantile(f'p{k}')} AS s{k}" for k in range(len(RANKED)))} FROM n)
+{' UNION ALL '.join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(corr(s{i}, s{j}), 6) + 0.0 AS r FROM s" for i in range(len(RANKED)) for j in range(i + 1, len(RANKED)))}""",
+        "csv_columns": """SELECT * FROM (SELECT 0::INT AS idx, 'b' AS name, count(*) AS n, round(avg(p_partkey), 4) AS mean FROM part UNION ALL SELECT 1, 'datetime', count(*), round(avg(p_size), 4) FROM part
+  UNION ALL SELECT 2, 'flag', count(*), round(avg(CASE WHEN p_size > 9 THEN 1 ELSE 0 END), 4) FROM part UNION ALL SELECT 3, 'p, r', count(*), round(avg(p_retailprice), 4) FROM part)""",
         "thin_sweep": " UNION ALL ".join(f"SELECT * FROM ({_pc_cte(thinned(k), views.V3[:-1], A1, 0)} SELECT {k}::INT AS step, (SELECT n FROM n) AS n, (SELECT count(*) FROM e) AS edges)" for k in (1, 2, 5)),
-        "truth_recovery": f"WITH v(idx, name) AS (VALUES {name_rows}), t(a, b) AS (VALUES ('A', 'B'), ('X', 'A'), ('C', 'A'), ('B', 'Y')) SELECT a AS src_name, b AS dst_name, a IN (SELECT name FROM v) AND b IN (SELECT name FROM v) AS recoverable FROM t",
-        "truth_missing": f"SELECT * FROM (VALUES {rows(TRUTH)}) t(src, dst) EXCEPT SELECT * FROM (VALUES {rows(PRED)}) p(src, dst)",
         "graph_scores": both + entries,
         "graph_skeleton_shd": f"{both}{turns} SELECT count(*) FILTER (NOT p OR NOT t OR back) AS SHD FROM m",
         "graph_orientation": f"{both}{turns} SELECT count(*) FILTER (NOT back) AS correct, count(*) FILTER (back) AS reversed, 0::BIGINT AS undirected, 0::BIGINT AS other FROM m WHERE p AND t",
         "truth_of_places": places,
         "report_of_table": described,
         "discover_end_to_end": f"{pc()} SELECT 'edge' AS kind, i AS a, j AS b FROM e UNION ALL SELECT 'arrow', src, dst FROM arr",
-        "meek_r1": f"{free} SELECT DISTINCT u.i AS src, u.j AS dst FROM ar JOIN u ON ar.dst = u.i AND ar.src <> u.j WHERE {apart('ar.src', 'u.j')}",
-        "meek_r2": f"{free} SELECT DISTINCT u.i AS src, u.j AS dst FROM u JOIN ar x ON x.src = u.i JOIN ar y ON y.src = x.dst AND y.dst = u.j",
-        "meek_r3": f"{free} SELECT DISTINCT u.i AS src, u.j AS dst FROM u JOIN u c ON c.i = u.i JOIN u f ON f.i = u.i AND c.j < f.j JOIN ar x ON x.src = c.j AND x.dst = u.j JOIN ar y ON y.src = f.j AND y.dst = u.j WHERE {apart('c.j', 'f.j')}",
-    }
+    } | graphs.oracle_sql()
