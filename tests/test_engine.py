@@ -15,7 +15,7 @@ from kausal.operators import skeleton as sk
 from kausal.operators.candidates import Level
 from kausal.plans.api import Case, discover, run_case, run_cases, sweep, write_report
 from kausal.sources.datasets import from_frame, header_names, load_dataset
-from kausal.sources.truth import load_truth
+from kausal.sources.truth import load_named_truth, load_truth
 
 
 def chain(spark):
@@ -367,8 +367,21 @@ def test_published_scores(spark):
     for names_at, first, last, graph, want_form, want in cases:
         names = [v.strip() for v in lines[names_at - 1].split("Variables: ")[1].split(",")]
         truth, form = load_truth(spark, str(top.with_name(graph)), names)
-        m = evaluate.compute_metrics(spark.createDataFrame(arrow_lines(lines, first, last, names), "src int, dst int"), truth, len(names))
+        arrows = arrow_lines(lines, first, last, names)
+        found = spark.createDataFrame(arrows, "src int, dst int")
+        m = evaluate.compute_metrics(found, truth, len(names))
         assert form == want_form and tuple(m[k] for k in ("Precision", "Recall_TPR", "SHD", "TP", "FP", "FN", "TN")) == want
+        # the same arrows scored by lines and by directions, against the graph aligned by name, counted one pair after the other
+        own = names if form == "matrix" else [f"X{k}" for k in range(1, 34)]
+        by_name, aligned_form = load_named_truth(spark, str(top.with_name(graph)), own)
+        variables = spark.createDataFrame(list(enumerate(names)), "idx int, name string")
+        aligned = evaluate.align(by_name, variables)
+        plain = {tuple(r) for r in aligned.collect()}
+        edges = {tuple(sorted(e)) for e in arrows}
+        e = spark.createDataFrame(sorted(edges), "i int, j int")
+        turns = evaluate.orientation_counts(e, found, aligned).first()
+        assert aligned_form == "matrix" and (evaluate.shd_edges(e, found, aligned).first()["SHD"], *turns) == plain_counts(edges, {tuple(a) for a in arrows}, plain)
+        assert form == "matrix" or (by_name.count(), len(plain)) == (32, 28)
 
 
 def test_scores_of_an_own_case(spark):
