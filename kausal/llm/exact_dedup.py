@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from .common import LOWER, SALTS, UPPER, cut, only, prepare, salted, salts_of, trimmed, winners
 
 
-def normal_bytes(text: str | None) -> bytes:
-    """A text as it is compared: null is empty, A-Z become a-z, in UTF-8."""
-    return (text or "").encode().lower()
-
-
 def _digests(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
