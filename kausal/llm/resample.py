@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, with DuckDB in each partition (operator 12).
 
 A task hands its texts to an in-memory DuckDB of its own: SQL unnests the words, makes n-grams with a window, and puts them
-into buckets by a registered CRC-32. Bucket counts are spilled as Parquet to the shared folder, where Spark merges those
+into buckets by registered functions: zlib's CRC-32 of each different word, and that of joined words from their own. Bucket counts are spilled as Parquet to the shared folder, where Spark merges those
 of the corpus and of the target; the buckets' gains go back to a second pass, which scores every document.
 """
 
@@ -24,39 +24,81 @@ from .common import LOWER, UPPER, cut, fresh, prepare, temporary, trimmed
 
 #: Buckets of the n-grams; bytes of text that a database holds at once; its memory.
 BUCKETS, PORTION, MEMORY = 10_000, 4 << 20, "700MB"
+# Fixed value: the polynomial of zlib's CRC-32.
+POLYNOMIAL = 0xEDB88320
+#: Bytes that a checksum is moved over at once.
+FAR = 1024
 #: What a word is made of, after A-Z have been lowered; and what stands between words before that.
 WORDS, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
-def database(buckets: int) -> duckdb.DuckDBPyConnection:
-    """One thread, bounded memory, no files."""
+class Crc:
+    """CRC-32 of joined texts from those of their parts: a part's checksum is moved over the bytes of the next by tables."""
+
+    _tables: np.ndarray | None = None
+
+    @classmethod
+    def tables(cls) -> np.ndarray:
+        """[n, k, byte]: the checksum byte << 8 k, moved over n bytes, for n up to FAR."""
+        if cls._tables is None:
+            one = np.arange(256, dtype=np.uint32)
+            for _ in range(8):
+                one = np.where(one & 1, (one >> 1) ^ np.uint32(POLYNOMIAL), one >> 1)
+            out = np.empty((FAR + 1, 4, 256), np.uint32)
+            out[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
+            for n in range(FAR):
+                out[n + 1] = (out[n] >> 8) ^ one[out[n] & 255]
+            cls._tables = out
+        return cls._tables
+
+    @classmethod
+    def moved(cls, crc: np.ndarray, n: np.ndarray) -> np.ndarray:
+        t = cls.tables()
+        while True:
+            step = np.minimum(n, FAR)
+            crc = t[step, 0, crc & 255] ^ t[step, 1, (crc >> 8) & 255] ^ t[step, 2, (crc >> 16) & 255] ^ t[step, 3, crc >> 24]
+            n = n - step
+            if not n.any():
+                return crc
+
+    @classmethod
+    def spaced(cls, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The checksums of left, a space, and right of n bytes."""
+        with_space = cls.moved(left, np.ones(len(left), np.int64)) ^ np.uint32(zlib.crc32(b" "))
+        return cls.moved(with_space, n) ^ right
+
+
+def database() -> duckdb.DuckDBPyConnection:
+    """One thread, bounded memory, no files; crc_of a word, and crc_joined of a feature, the next word's checksum and bytes."""
     db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": MEMORY, "temp_directory": ""})
-    db.create_function("bucket_of", lambda f: pa.array([zlib.crc32(v) % buckets for v in f.cast(pa.binary()).to_pylist()], pa.int32()), ["VARCHAR"], "INTEGER", type="arrow")
+    db.create_function("crc_of", lambda w: pa.array([zlib.crc32(v) for v in w.cast(pa.binary()).to_pylist()], pa.int64()), ["VARCHAR"], "BIGINT", type="arrow")
+    joined = lambda a, b, n: pa.array(Crc.spaced(np.asarray(a).astype(np.uint32), np.asarray(b).astype(np.uint32), np.asarray(n)).astype(np.int64))
+    db.create_function("crc_joined", joined, ["BIGINT", "BIGINT", "BIGINT"], "BIGINT", type="arrow")
     return db
 
 
-def _features(n: int) -> str:
-    """CTEs up to f(piece, f): the 1- to n-word features of the pieces (piece, carried, text). A piece that goes on with a
+def _features(n: int, buckets: int) -> str:
+    """CTEs up to f(piece, bucket): the 1- to n-word features of the pieces (piece, carried, text). A piece that goes on with a
     long text begins with the `carried` last words of the one before, and has the features that end after them only."""
-    runs = " UNION ALL ".join(
-        f"SELECT piece, w{''.join(f' || chr(32) || w{j}' for j in range(1, k))} AS f FROM g WHERE k + {k - 1} > carried" + (f" AND w{k - 1} IS NOT NULL" if k > 1 else "") for k in range(1, n + 1)
-    )
-    ahead = "".join(f", lead(w, {j}) OVER (PARTITION BY piece ORDER BY k) AS w{j}" for j in range(1, n))
+    crc = ["c"]
+    for j in range(1, n):
+        crc.append(f"crc_joined({crc[-1]}, c{j}, n{j})")
+    runs = " UNION ALL ".join(f"SELECT piece, ({crc[k - 1]} % {buckets})::INT AS bucket FROM g WHERE k + {k - 1} > carried" + (f" AND c{k - 1} IS NOT NULL" if k > 1 else "") for k in range(1, n + 1))
+    ahead = "".join(f", lead(c, {j}) OVER o AS c{j}, lead(n, {j}) OVER o AS n{j}" for j in range(1, n))
     return f"""WITH l AS (SELECT piece, carried, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORDS}') AS ws FROM pieces),
 w AS (SELECT piece, carried, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM l),
-g AS (SELECT piece, carried, k, w{ahead} FROM w),
-f AS ({runs}),
-u AS (SELECT f, count(*) AS n FROM f GROUP BY f)"""
+v AS (SELECT w, crc_of(w) AS c, strlen(w) AS n FROM (SELECT DISTINCT w FROM w)),
+g AS (SELECT piece, carried, k, c{ahead} FROM w JOIN v USING (w) WINDOW o AS (PARTITION BY piece ORDER BY k)),
+f AS ({runs})"""
 
 
-def count_sql(n: int) -> str:
-    return f"{_features(n)} SELECT bucket_of(f) AS bucket, sum(n)::BIGINT AS n FROM u GROUP BY 1"
+def count_sql(n: int, buckets: int) -> str:
+    return f"{_features(n, buckets)} SELECT bucket, count(*) AS n FROM f GROUP BY bucket"
 
 
-def score_sql(n: int) -> str:
-    return f"""{_features(n)}, b AS (SELECT f, gain FROM (SELECT f, bucket_of(f) AS bucket FROM u) JOIN gains USING (bucket)),
-s AS (SELECT piece, count(*) AS features, sum(gain)::BIGINT AS gain FROM f JOIN b USING (f) GROUP BY piece)
-SELECT s.piece, features, s.gain, len(list_filter(range(1, len(ws) + 1), lambda k: k > carried)) AS words FROM s JOIN l USING (piece)"""
+def score_sql(n: int, buckets: int) -> str:
+    return f"""{_features(n, buckets)}, s AS (SELECT piece, count(*) AS features, sum(gain)::BIGINT AS gain FROM f JOIN gains USING (bucket) GROUP BY piece)
+SELECT s.piece, features, s.gain, len(ws) - least(carried, len(ws)) AS words FROM s JOIN l USING (piece)"""
 
 
 def pieces_of(raw: bytes, n: int, portion: int) -> Iterator[tuple[int, bytes]]:
@@ -108,11 +150,11 @@ def _counted(n: int, buckets: int, portion: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        with database(buckets) as db:
+        with database() as db:
             for x in batches:
                 for _, pieces in _portions(x.column("text"), n, portion):
                     db.register("pieces", pieces)
-                    got = db.execute(count_sql(n)).fetchnumpy()
+                    got = db.execute(count_sql(n, buckets)).fetchnumpy()
                     total[got["bucket"]] += got["n"]
                     db.unregister("pieces")
         at = np.flatnonzero(total)
@@ -132,14 +174,14 @@ def noise(id_: int | None, seed: int) -> int:
 
 def _scored(gains: np.ndarray, n: int, seed: int, portion: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with database(len(gains)) as db:
+        with database() as db:
             db.register("given", pa.table({"bucket": pa.array(range(len(gains)), pa.int32()), "gain": pa.array(gains)}))
             db.execute("CREATE TABLE gains AS SELECT * FROM given")
             for x in batches:
                 words, features, gain = (np.zeros(x.num_rows, np.int64) for _ in range(3))
                 for rows, pieces in _portions(x.column("text"), n, portion):
                     db.register("pieces", pieces)
-                    got = db.execute(score_sql(n)).fetchnumpy()
+                    got = db.execute(score_sql(n, len(gains))).fetchnumpy()
                     at = np.array(rows)[got["piece"]]
                     for total, name in ((words, "words"), (features, "features"), (gain, "gain")):
                         np.add.at(total, at, got[name])
