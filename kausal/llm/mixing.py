@@ -2,8 +2,10 @@
 
 A classifier learned from the labelled table gives each text a posterior over domains. A text's rate is the number of
 times it is to be used; projected gradient steps on the distributed rates, in the least squares of the expected tokens of
-each domain (rate x tokens x posterior) against the targets, find the rates. A step is scaled by the inverse of the
-domains' Gram matrix over the rows that aren't at their bound, so that few passes are enough.
+each domain (rate x tokens x posterior) against the targets, find the rates. The rates
+follow from one pull a domain, as the projection max(least, 1 + posterior . pull), and are never stored. A step is a damped
+Newton step on the pulls: the gradient of the misfit, scaled by the inverse of the domains' Gram matrix over the rows that
+aren't at their bound, and halved until the value falls; restarts from the pulls reached take the regularisation off again.
 """
 
 from __future__ import annotations

@@ -176,6 +176,25 @@ def test_leaves_hold_every_near_pair_and_compare_few_whole():
     assert near.sum() >= 250 and not (near & ~found).any() and len(rows) < 800
 
 
+def test_distant_leaves_are_skipped():
+    """Vectors in tight clusters: most pairs of leaves are provably distant and never compared. Without clusters none is, as
+    boxes of many rows in many dimensions all meet."""
+    rng = np.random.default_rng(5)
+    eps = float(np.sqrt(0.1))
+    shares = []
+    for spread in (0.02, 10.0):
+        x = rng.normal(size=(40, 64))[np.repeat(np.arange(40), 100)] + spread * rng.normal(size=(4000, 64))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        axes = np.linalg.eigh(u.T @ u)[1][:, ::-1][:, : embedding.AXES]
+        q = np.rint(u @ axes * embedding.STEPS).astype(np.int8)
+        cells = np.floor(u @ axes[:, : embedding.ORDERING] / eps).astype(int)
+        q = q[np.lexsort(cells.T[::-1])]
+        seen = []
+        list(embedding.near_leaves(q, q, embedding.reach(eps, embedding.AXES), True, 64, seen))
+        shares.append(sum(seen) / (4000 * 4000 / 2))
+    assert shares[0] < 0.35 and shares[1] > 0.9
+
+
 def test_warc(spark, tmp_path):
     html = [None, "", "é" * 999, "b", "b", "c" * 5000, "c" * 5000, "WARC/1.1\r\n\r\n0\r\n\r\n"]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}", h, "k", 0) for i, h in enumerate(html)], "page_id long, url string, html string, key string, nth int").repartition(3)
@@ -338,6 +357,8 @@ def test_mixing(spark):
         rows = found.collect()
         s = [sum(r.rate * r.tokens * r.p[k] for r in rows) for k in (0, 1)]
         misfit = lambda v: abs(v[0] - v[1]) / sum(v)
+        squares = [(v[0] - sum(history[0]) / 2) ** 2 + (v[1] - sum(history[0]) / 2) ** 2 for v in history]
+        assert least or len(history) >= 2 and all(b < a for a, b in zip(squares, squares[1:], strict=False))  # each pass lowers the misfit
         assert min(r.rate for r in rows) >= least and len(history) <= mixing.RATE_STEPS
         assert misfit(s) < (0.02 if least == 0 else 0.2 * misfit(history[0]))  # with a least rate the targets may be out of reach
     df, table, _ = labelled(spark)
