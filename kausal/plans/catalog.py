@@ -141,6 +141,7 @@ def queries() -> dict[str, Query]:
         "skeleton_l2": skeleton_at(2),
         "skeleton_v1": lambda s, d: sk.skeleton(s, matrix1(s, d), A1, 2).edges,
         "skeleton_v3": lambda s, d: sk.skeleton(s, moments.correlation_matrix(views.v3(s, d), views.V3), A1, 2).edges,
+        "skeleton_wide": lambda s, d: sk.skeleton(s, moments.correlation_matrix(views.v5(s, d), views.V5), 0.2, 2).sepset.select("i", "j", text_of("s", "s"), "level"),
         "skeleton_stable": lambda s, d: sk.skeleton(s, matrix2(s, d), A2, 1, early_stop=False, stable=True).sepset.select("i", "j", text_of("s", "s"), "level"),
         "sepsets": lambda s, d: pc(s, d).sepset.select("i", "j", text_of("s", "s"), "level"),
         "adjacency_lists": lambda s, d: sk.adjacency_lists(pc(s, d).edges).select("i", text_of("nbrs", "nbrs")),
@@ -295,6 +296,7 @@ SELECT (row_number() OVER (ORDER BY part, a, b) - 1)::INT AS line_no, text FROM
         **{f"skeleton_l{k}": f"{pc(k)} SELECT i, j FROM e" for k in (0, 1, 2)},
         "skeleton_v1": f"{_pc_cte(views.V1_SQL, views.V1, A1, 2)} SELECT i, j FROM e",
         "skeleton_v3": f"{_pc_cte(views.V3_SQL, views.V3, A1, 2)} SELECT i, j FROM e",
+        "skeleton_wide": f"{_pc_cte(views.V5_SQL, views.V5, 0.2, 2)} SELECT i, j, array_to_string(s, ',') AS s, level FROM sep",
         "skeleton_stable": f"{pc(1, stable=True)} SELECT i, j, array_to_string(s, ',') AS s, level FROM sep",
         "sepsets": f"{pc()} SELECT i, j, array_to_string(s, ',') AS s, level FROM sep",
         "adjacency_lists": f"{pc()} SELECT i, string_agg(j::VARCHAR, ',' ORDER BY j) AS nbrs FROM adj GROUP BY i",

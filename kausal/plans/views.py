@@ -11,6 +11,8 @@ FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_o
 JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey"""
 V2 = [f"e{k}" for k in range(32)]
 V2_SQL = "SELECT " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(32)) + " FROM embeddings"
+V5 = [f"e{k}" for k in range(64)]
+V5_SQL = "SELECT " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(64)) + " FROM embeddings"
 V4 = [f"e{k}" for k in range(32, 64)]
 V4_SQL = "SELECT " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(32, 64)) + " FROM embeddings"
 V3 = ["chars", "words", "lines", "digits", "capitals", "doc_id"]
@@ -38,6 +40,11 @@ def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(*[f"cast(embedding[{k}] as double) e{k}" for k in range(32)])
 
 
+def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of the embeddings."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(*[f"cast(embedding[{k}] as double) e{k}" for k in range(64)])
+
+
 def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other half of the embeddings' components."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(*[f"cast(embedding[{k}] as double) e{k}" for k in range(32, 64)])
