@@ -52,11 +52,14 @@ def free_lines(edges: DataFrame, arrows: DataFrame, frozen: DataFrame | None = N
     return free if frozen is None else free.join(symmetric(frozen), ["i", "j"], "left_anti")
 
 
-def meek(edges: DataFrame, arrows: DataFrame, rule: int, frozen: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
-    """(src, dst) that one step of a rule adds. frozen: (i, j) that conflicts keep undirected. new: only what follows with at
-    least one of these arrows, which are among arrows."""
-    free, adj = free_lines(edges, arrows, frozen), symmetric(edges)
-    new = arrows if new is None else new
+def meek(edges: DataFrame, arrows: DataFrame, rule: int, frozen: DataFrame | None = None) -> DataFrame:
+    """(src, dst) that one step of a rule adds. frozen: (i, j) that conflicts keep undirected."""
+    return follows(symmetric(edges), free_lines(edges, arrows, frozen), arrows, arrows, rule).distinct()
+
+
+def follows(adj: DataFrame, free: DataFrame, arrows: DataFrame, new: DataFrame, rule: int) -> DataFrame:
+    """(src, dst) that a rule gives with at least one of the arrows `new`, which are among arrows. adj and free: (i, j), both
+    orders, of all lines and of those that may still be turned."""
     to = lambda df, s, d: df.select(F.col("src").alias(s), F.col("dst").alias(d))
     line = lambda s, d: free.select(F.col("i").alias(s), F.col("j").alias(d))
     near = lambda s, d: adj.select(F.col("i").alias(s), F.col("j").alias(d))
@@ -69,33 +72,45 @@ def meek(edges: DataFrame, arrows: DataFrame, rule: int, frozen: DataFrame | Non
         wing = lambda x, c: to(x, c, "b").join(line("a", c), c)
         both = wing(new, "c").join(wing(arrows, "d"), ["a", "b"]).where("c <> d").join(near("c", "d"), ["c", "d"], "left_anti")
         out = both.join(line("a", "b"), ["a", "b"], "left_semi").select("a", "b")
-    return out.toDF("src", "dst").distinct()
+    return out.toDF("src", "dst")
+
+
+def _all_rules(adj: DataFrame, free: DataFrame, arrows: DataFrame, new: DataFrame) -> DataFrame:
+    one, two, three = (follows(adj, free, arrows, new, rule) for rule in (1, 2, 3))
+    return one.union(two).union(three)
+
+
+#: Rounds after which the arrows of all rounds are written as one table.
+TOGETHER = 8
 
 
 def propagate(edges: DataFrame, arrows: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
     """arrows and all that the three rules add to them, round by round, until nothing is added.
 
     A round joins the arrows of the last one with all; those that it would turn both ways are turned neither way, and are asked
-    for again, by all arrows, as long as they are open. All tables between rounds are in the shared folder.
+    for again, by all arrows, as long as they are open. A round leaves the lines it turned and those still free in the
+    shared folder, and two numbers.
     """
-    spark = edges.sparkSession
-    with temporary(spark):
-        edges, known = cut(edges.select("i", "j"), "lines"), cut(arrows.select("src", "dst").distinct(), "arrows")
-        frozen = None if frozen is None else cut(frozen.select("i", "j"), "frozen")
-        new, torn = known, None
+    with temporary(edges.sparkSession):
+        adj, known = cut(symmetric(edges), "lines"), cut(arrows.select("src", "dst").distinct(), "arrows")
+        free = cut(free_lines(edges, known, frozen), "free")
+        new, torn, turn = known, None, 0
         while True:
-            found = meek(edges, known, 1, frozen, new).union(meek(edges, known, 2, frozen, new)).union(meek(edges, known, 3, frozen, new))
+            found = _all_rules(adj, free, known, new)
             if torn is not None:
-                every = meek(edges, known, 1, frozen).union(meek(edges, known, 2, frozen)).union(meek(edges, known, 3, frozen))
-                found = found.union(every.join(torn, ["src", "dst"], "left_semi"))
-            found = cut(found.distinct(), "found")
-            added = cut(conflict_free(found), "added")
-            if added.isEmpty():
-                break
-            both = found.join(reverse(found), ["src", "dst"], "left_semi")
-            torn = None if both.isEmpty() else both
-            known, new = cut(known.union(added), "arrows"), added
-        return cut(known.coalesce(1), "propagated", keep=True)
+                found = found.union(_all_rules(adj, free, known, known).join(torn, ["src", "dst"], "left_semi"))
+            ways = found.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.bool_or(F.col("src") < F.col("dst")).alias("up"), F.bool_or(F.col("src") > F.col("dst")).alias("down"))
+            ways = cut(ways, "found")
+            once, twice = ways.agg(F.count_if(~(F.col("up") & F.col("down"))), F.count_if(F.col("up") & F.col("down"))).first()
+            if not once:
+                return cut(known.coalesce(1), "propagated", keep=True)
+            single, both = ways.where("not (up and down)"), ways.where("up and down")
+            new = single.selectExpr("if(up, a, b) as src", "if(up, b, a) as dst")
+            torn = both.selectExpr("a as src", "b as dst").union(both.selectExpr("b", "a")) if twice else None
+            gone = single.selectExpr("a as i", "b as j").union(single.selectExpr("b", "a"))
+            free, known, turn = cut(free.join(gone, ["i", "j"], "left_anti"), "free"), known.union(new), turn + 1
+            if turn % TOGETHER == 0:
+                known = cut(known, "arrows")
 
 
 def cpdag(edges: DataFrame, sepset: DataFrame) -> DataFrame:

@@ -168,6 +168,38 @@ def stable_search(m, alpha, max_k):
     return {(i, j) for i in adj for j in adj[i] if i < j}, sets
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_both_sides_take_the_least_set_of_either_end(spark, seed):
+    """Sets of either end's neighbours at the level's start, against a plain version; tests shared by two alphas."""
+    m = random_matrix(seed + 40, 9, share=0.5)
+    alphas = [0.01, 0.1]
+    runs, _ = sk.skeletons(spark, m, alphas, 3, early_stop=False, sides="both")
+    for alpha, x in zip(alphas, runs, strict=True):
+        adj, sets = {i: set(range(m.p)) - {i} for i in range(m.p)}, {}
+        for k in range(4):
+            start = {i: sorted(v) for i, v in adj.items()}
+            for i, j in combinations(range(m.p), 2):
+                if j in start[i]:
+                    own = {s for a, b in ((i, j), (j, i)) for s in combinations([v for v in start[a] if v != b], k)}
+                    if hits := sorted(s for s in own if separates(m, i, j, s, alpha)):
+                        adj[i].discard(j), adj[j].discard(i)
+                        sets[i, j] = list(hits[0])
+        assert found(x) == ({(i, j) for i in adj for j in adj[i] if i < j}, sets)
+
+
+def test_default_size_and_unused_names(spark):
+    """Without a size sets grow to p - 2; names that are passed in change nothing."""
+    m = random_matrix(51, 6, share=0.7)
+    edges, sets = sequential(m, 0.3, 4)
+    assert found(sk.skeletons(spark, m, [0.3])[0][0]) == (edges, sets)
+    df = chain(spark)
+    one, two = discover(df, 0.05, 1), discover(df, 0.05, 1, variable_names=["p", "q", "r"])
+    assert one.adjacency == two.adjacency and one.summary() == two.summary()
+    with pytest.raises(ValueError, match="At least two variables"):
+        discover(df.select("x"))
+    assert sk.skeleton(spark, m, 0.3, -1).edges.count() == 15 and sk.skeleton(spark, m, 0.3, -1).sepset.count() == 0
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 4])
 def test_numbered_sets_are_the_combinations_in_order(k):
     rng = np.random.default_rng(k)
