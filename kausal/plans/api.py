@@ -16,7 +16,7 @@ from ..operators.moments import Correlations, correlation_matrix
 from ..operators.orient import collider_arrows, cpdag
 from ..operators.skeleton import pairs_table, sets_of, skeleton, skeletons
 from ..sources.datasets import load_dataset
-from ..sources.shared import move_single, new_path, temporary
+from ..sources.shared import cut, move_single, new_path, temporary
 from ..sources.truth import load_named_truth, load_truth
 from .report import as_text, report_graph, report_metrics, report_scores, report_sweep
 
@@ -149,14 +149,20 @@ def run_case(spark: SparkSession, dataset_path: str | None = None, truth_path: s
 def documented_scores(spark: SparkSession, result: PCResult, names: list[str], truth_path: str, truth_names: Sequence[str] | None = None) -> list[str]:
     """The lines of a graph's scores against a reference graph that is aligned by name."""
     named, form = load_named_truth(spark, truth_path, list(truth_names or names))
-    named = named.distinct()
-    truth = evaluate.align(named, result.variables)
-    scores = evaluate.skeleton_metrics(result.edges, truth, len(names)).first().asDict()
-    shd = evaluate.shd_edges(result.edges, result.arrows, truth).first()["SHD"]
-    turns = evaluate.orientation_counts(result.edges, result.arrows, truth).first().asDict()
-    recoverable = evaluate.by_recovery(named, result.variables).where("recoverable").count()
-    directed = evaluate.compute_metrics(result.arrows, truth, len(names))
-    return [f"(Ground truth parsed as: {form}, from {truth_path})", *report_scores(scores, shd, directed, turns, recoverable, named.count())]
+    with temporary(spark):
+        named = cut(named.distinct().coalesce(1), "named")
+        truth = cut(evaluate.align(named, result.variables).coalesce(1), "aligned")
+        lines = all_scores(result.edges, result.arrows, truth, len(names), evaluate.by_recovery(named, result.variables))
+    return [f"(Ground truth parsed as: {form}, from {truth_path})", *lines]
+
+
+def all_scores(edges: DataFrame, arrows: DataFrame, truth: DataFrame, n_vars: int, by_recovery: DataFrame) -> list[str]:
+    """The lines of a graph's scores, lines and directions apart, against an aligned reference graph."""
+    skeleton_scores = evaluate.skeleton_metrics(edges, truth, n_vars).first().asDict()
+    shd = evaluate.shd_edges(edges, arrows, truth).first()["SHD"]
+    turns = evaluate.orientation_counts(edges, arrows, truth).first().asDict()
+    recoverable, total = by_recovery.agg(F.count_if("recoverable"), F.count("*")).first()
+    return report_scores(skeleton_scores, shd, evaluate.compute_metrics(arrows, truth, n_vars), turns, recoverable, total)
 
 
 def run_cases(spark: SparkSession, cases: Sequence[Case], path: str | None = None, alpha: float = ALPHA, max_cond_set_size: int = SIZE, mode: str = "documented", alphas: Sequence[float] = (), sizes: Sequence[int] = (), steps: Sequence[int] = (), **options) -> str:

@@ -15,7 +15,8 @@ from ..operators import evaluate, orient
 from ..operators import skeleton as sk
 from ..sources import truth
 from ..sources.shared import cut, new_path
-from .report import report_graph, report_metrics, report_scores
+from .api import all_scores
+from .report import report_graph, report_metrics
 
 N = 25  # nations
 
@@ -81,14 +82,11 @@ def report(s: SparkSession, d: str) -> DataFrame:
     matrix_lines(t, n).coalesce(1).sortWithinPartitions("pos").select("line").write.text(path)
     names = [r["name"] for r in n.orderBy("idx").collect()]
     known = n.where("region <> 0")
-    by_name, _ = truth.load_named_truth(s, path, names)
+    by_name = cut(truth.load_named_truth(s, path, names)[0].coalesce(1), "named")
     inside = known.select(F.col("idx").alias("k"))
     within = lambda df, a, b: df.join(inside.withColumnRenamed("k", a), a, "left_semi").join(inside.withColumnRenamed("k", b), b, "left_semi")
-    edges, found, wanted = within(lines(t), "i", "j"), within(arrows(t), "src", "dst"), evaluate.align(by_name, known)
-    p = known.count()
-    scores = evaluate.skeleton_metrics(edges, wanted, p).first().asDict()
-    turns = evaluate.orientation_counts(edges, found, wanted).first().asDict()
-    text = report_scores(scores, evaluate.shd_edges(edges, found, wanted).first()["SHD"], evaluate.compute_metrics(found, wanted, p), turns, evaluate.by_recovery(by_name, known).where("recoverable").count(), by_name.count())
+    edges, found, wanted = within(lines(t), "i", "j"), within(arrows(t), "src", "dst"), cut(evaluate.align(by_name, known).coalesce(1), "aligned")
+    text = all_scores(edges, found, wanted, known.count(), evaluate.by_recovery(by_name, known))
     return s.createDataFrame(list(enumerate(text)), "line_no int, text string").coalesce(1)
 
 
