@@ -18,18 +18,22 @@ from .moments import Correlations, correlation_matrix
 SALTS = 32
 
 
-def _long(held: DataFrame, columns: list[str]) -> DataFrame:
-    """(_id, col, v, salt) of all values that are numbers, -0.0 as 0.0."""
-    at = [held.columns.index(c) for c in columns]
-    named = held.toDF(*[f"x{k}" for k in range(len(held.columns))])
-    cells = F.array(*[F.struct(F.lit(n).alias("col"), (F.col(f"x{k}").cast("double") + F.lit(0.0)).alias("v")) for n, k in enumerate(at)])
-    rows = named.select(F.col(f"x{len(held.columns) - 1}").alias("_id"), F.explode(cells).alias("c")).select("_id", "c.col", "c.v")
+def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as x0, x1 and so on, with _id: by place, as names may differ in case only or be _id."""
+    named = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return named.select(*[F.col(f"c{df.columns.index(c)}").cast("double").alias(f"x{n}") for n, c in enumerate(columns)], F.monotonically_increasing_id().alias("_id"))
+
+
+def _long(held: DataFrame) -> DataFrame:
+    """(_id, col, v, salt) of all values of x0, x1 and so on that are numbers, -0.0 as 0.0."""
+    cells = F.array(*[F.struct(F.lit(n).alias("col"), (F.col(f"x{n}") + F.lit(0.0)).alias("v")) for n in range(len(held.columns) - 1)])
+    rows = held.select("_id", F.explode(cells).alias("c")).select("_id", "c.col", "c.v")
     return rows.where("v is not null and not isnan(v)").withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
 
 
 def values_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """(_id, col, v, salt): the values of the columns that are numbers, by row."""
-    return _long(df.withColumn("_id", F.monotonically_increasing_id()), columns)
+    return _long(_numbered(df, columns))
 
 
 def mid_ranks(rows: DataFrame) -> DataFrame:
@@ -65,15 +69,13 @@ def normal_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     the number of columns: to their counts, and back to their rows; a value that many rows have is dealt over salts.
     """
     ship(df.sparkSession)
-    held = cut(df.withColumn("_id", F.monotonically_increasing_id()), "rows")  # written, so that numbers stay
-    rows = _long(held, columns)
+    held = cut(_numbered(df, columns), "rows")  # written, so that numbers stay
+    rows = _long(held)
     scores = mid_ranks(rows).mapInArrow(_scores, "col int, v double, mask long, score double")
     spread = scores.select("col", "v", "score", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(mask, s) & 1L) = 1L)")).alias("salt"))
     found = rows.join(spread, ["col", "v", "salt"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "score"))).alias("scores"))
-    at = [held.columns.index(c) for c in columns]
-    named = held.toDF(*[f"x{k}" for k in range(len(held.columns) - 1)], "_id").join(found, "_id", "left")
-    own = [F.when(F.isnan(F.col(f"x{k}").cast("double")), F.lit(float("nan"))).otherwise(F.try_element_at("scores", F.lit(n))).alias(columns[n]) for n, k in enumerate(at)]
-    return named.select(*own)
+    own = [F.when(F.isnan(F.col(f"x{n}")), F.lit(float("nan"))).otherwise(F.try_element_at("scores", F.lit(n))).alias(c) for n, c in enumerate(columns)]
+    return held.join(found, "_id", "left").select(*own)
 
 
 def normal_score_matrix(df: DataFrame, columns: list[str]) -> Correlations:

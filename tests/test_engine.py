@@ -493,7 +493,7 @@ def test_normal_scores_are_those_of_mid_ranks(spark):
     rng = np.random.default_rng(2)
     rows = [(float(rng.integers(0, 4)), 7.0, float(np.exp(rng.normal())), None if k % 9 == 0 else float(k % 5)) for k in range(80)]
     rows += [(math.inf, 7.0, -0.0, 1.0), (-math.inf, 7.0, 0.0, 2.0), (math.nan, 7.0, 1.0, 3.0)]
-    df = spark.createDataFrame(rows, "a double, `A.b` double, c double, d double").repartition(5)
+    df = spark.createDataFrame(rows, "a double, `A.b` double, _id double, d double").repartition(5)
     held = df.collect()
     normal = NormalDist()
 
