@@ -74,7 +74,7 @@ def discover(df: DataFrame, alpha: float = 0.05, max_cond_set_size: int | None =
 def sweep(df: DataFrame, alphas: Sequence[float], sizes: Sequence[int | None], order: list[str] | None = None, steps: Sequence[int] = (1,), **options) -> list[dict]:
     """n, edge and arrow counts for each combination of thinning step, alpha and size.
 
-    The rows are sorted once, and one pass over them gives the moments of all steps. The searches of a step share their tests:
+    The rows are sorted once, and one pass over them gives the moments of all steps (a test with a matrix of its own sorts for each). The searches of a step share their tests:
     one is made once and held against every alpha, and the sizes are the levels of one search. The arrows of all
     graphs are found together, as those of one graph of many parts.
     """
