@@ -358,9 +358,9 @@ def _remove(x: _Run, level: Level, q: np.ndarray, rank: np.ndarray) -> None:
     x.trace.append((level.k, len(i)))
 
 
-def skeletons(spark: SparkSession, matrix: Correlations, alphas: list[float], max_k: int | None = None, early_stop: bool = True, stable: bool = False, sides: str = "first", test: str = "fisher_z", local: int = LOCAL) -> tuple[list[_Run], list[dict]]:
+def skeletons(spark: SparkSession, matrix: Correlations, alphas: list[float], max_k: int | None = None, early_stop: bool = True, stable: bool = False, sides: str = "first", test: str = "fisher_z", local: int = LOCAL, stop_from: int = 0) -> tuple[list[_Run], list[dict]]:
     """The searches for several alphas at once, and their work: a test that several of them ask for is made once, and its
-    statistic held against each one's critical value. Sets are numbered in the union of their graphs."""
+    statistic held against each one's critical value. Sets are numbered in the union of their graphs. stop_from: see skeleton."""
     p = matrix.p
     if p < 2:
         raise ValueError("At least two variables are required")
@@ -383,7 +383,7 @@ def skeletons(spark: SparkSession, matrix: Correlations, alphas: list[float], ma
                 work.append(_level(spark, Level.of(union, k, sides), shared, matrix.n, statistic, active, stable, local))
             for x in active:
                 x.after.append(x.adjacent.copy())
-                x.going = not early_stop or x.trace[-1][1] > 0
+                x.going = not early_stop or k < stop_from or x.trace[-1][1] > 0
     finally:
         shared.unpersist()
     return runs, work
@@ -402,13 +402,13 @@ def sets_of(spark: SparkSession, sets: list[tuple[np.ndarray, np.ndarray, np.nda
     return spark.createDataFrame(pa.table(dict(zip(("i", "j", "s", "level"), columns, strict=True)))).coalesce(1)
 
 
-def skeleton(spark: SparkSession, matrix: Correlations, alpha: float = 0.05, max_k: int | None = None, early_stop: bool = True, stable: bool = False, sides: str = "first", test: str = "fisher_z") -> Skeleton:
+def skeleton(spark: SparkSession, matrix: Correlations, alpha: float = 0.05, max_k: int | None = None, early_stop: bool = True, stable: bool = False, sides: str = "first", test: str = "fisher_z", stop_from: int = 0) -> Skeleton:
     """The graph and separating sets of one search.
 
-    early_stop: at the first level that removes nothing. stable: sets are taken from the level's starting graph, without
+    early_stop: at the first level, of those from stop_from on, that removes nothing. stable: sets are taken from the level's starting graph, without
     regard to the order. sides="both": sets of either end's neighbours, which is stable too. Of a pair's sets at most
     GROWTH times as many, and its share of FIRST_WAVE, are tested as one after the other would be.
     """
-    runs, work = skeletons(spark, matrix, [alpha], max_k, early_stop, stable, sides, test)
+    runs, work = skeletons(spark, matrix, [alpha], max_k, early_stop, stable, sides, test, stop_from=stop_from)
     x = runs[0]
     return Skeleton(pairs_table(spark, *np.nonzero(np.triu(x.adjacent, 1))), sets_of(spark, x.sets), x.trace, work)

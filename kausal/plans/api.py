@@ -53,8 +53,8 @@ class PCResult:
 
 def search(spark: SparkSession, matrix: Correlations, alpha: float = 0.05, max_cond_set_size: int | None = None, mode: str = "observed", **options) -> PCResult:
     """The graph of a correlation matrix. mode "observed": colliders as they come, both arrows on a conflict;
-    "documented": no direction on conflicts, then the propagation rules. options: early_stop, stable, sides, test (a
-    registered name)."""
+    "documented": no direction on conflicts, then the propagation rules. options: early_stop, stop_from, stable, sides,
+    test (a registered name)."""
     if mode not in ("observed", "documented"):
         raise ValueError("mode is observed or documented")
     found = skeleton(spark, matrix, alpha, max_cond_set_size, **options)

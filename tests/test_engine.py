@@ -13,6 +13,7 @@ from kausal.functions.stats import critical_z, p_value
 from kausal.operators import diagnostics, evaluate, moments, orient, ranks
 from kausal.operators import skeleton as sk
 from kausal.operators.candidates import Level
+from kausal.plans import catalog
 from kausal.plans.api import Case, discover, run_case, run_cases, sweep, write_report
 from kausal.sources.datasets import from_frame, header_names, load_dataset
 from kausal.sources.truth import load_named_truth, load_truth
@@ -31,6 +32,21 @@ def test_chain_stops_at_the_first_idle_level(spark):
     assert discover(chain(spark), 0.05, 1, early_stop=False).adjacency[0] == {1}
 
 
+def test_an_idle_level_0_ends_no_search_of_the_queries(spark, tmp_path):
+    """Five numbers of a text of which all pairs depend on each other: the SQL of sweep_grid goes on to level 1."""
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    word = lambda: "a" + "1" * (rng.random() < 0.5) + "B" * (rng.random() < 0.5) + "\nb" * (rng.random() < 0.3)
+    texts = [(k, " ".join(word() for _ in range(rng.integers(20, 200)))) for k in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["sweep_grid"]).fetchall())
+    assert any(r[2] == 0 and r[4] == 10 for r in want) and any(r[2] == 1 and r[4] < 10 for r in want)
+    assert sorted(tuple(r) for r in catalog.queries()["sweep_grid"](spark, str(tmp_path)).collect()) == want
+
+
 def sequential(m, alpha, max_k):
     """One test after the other on a graph that changes as it goes."""
     p, zc = m.p, critical_z(alpha)
