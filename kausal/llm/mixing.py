@@ -5,7 +5,7 @@ times it is to be used; projected gradient steps on the distributed rates, in th
 each domain (rate x tokens x posterior) against the targets, find the rates. The rates
 follow from one pull a domain, as the projection max(least, 1 + posterior . pull), and are never stored. A step is a damped
 Newton step on the pulls: the gradient of the misfit, scaled by the inverse of the domains' Gram matrix over the rows that
-aren't at their bound, and halved until the value falls; restarts from the pulls reached take the regularisation off again.
+aren't at their bound, and cut until the slope along it has fallen; restarts from the pulls reached take the regularisation off again.
 """
 
 from __future__ import annotations
@@ -158,10 +158,11 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
     Of all rates of at least `least` whose totals S = sum(rate * tokens * p) meet T = total * targets, those nearest to
     1 (to `least` if that is more) in the sum of tokens * (rate - 1)^2: a row's rate is max(least, 1 + p . pull), with one
     pull a domain, so rates are never stored or moved. Scaled gradient steps on the rows over `least` find the pulls; each pass
-    sends k * (k + 3) / 2 + 1 numbers to the driver. The pull of G = sum(tokens * p * p') on the pulls, PROX, is taken
+    sends k * (k + 3) / 2 numbers to the driver. The pull of G = sum(tokens * p * p') on the pulls, PROX, is taken
     off again by renewed centres, until no domain is over MISFIT of the total off. Targets out of reach: the centres
     stop helping, the totals are then as near (measured by the inverse of G) as they get, and a warning says how far
-    off. Not settled after `steps` passes: an error. Without a total: the tokens as they are, or, with a positive
+    off. The pulls are then large (misfit / PROX), so a turn ends when its next step is lost in the rounding of the
+    totals that they give, or of themselves: values could no longer be told apart. Not settled after `steps` passes: an error. Without a total: the tokens as they are, or, with a positive
     least rate, HEADROOM times the least total for which no domain has to shrink: at that total itself texts of mixed
     posteriors would have to fall below `least`.
     """
@@ -174,21 +175,21 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
     def rate(pull: np.ndarray):
         return F.greatest(F.lit(float(least)), sum((F.col("p")[i] * F.lit(float(pull[i])) for i in range(k)), F.lit(base)))
 
-    def measure(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """The totals, sum(tokens * p * p') of the rows that may move, and sum(tokens * (rate - base)^2)."""
+    def measure(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The totals, and sum(tokens * p * p') of the rows that may move."""
         if len(history) >= steps:
             raise ArithmeticError(f"mixing: not settled after {steps} passes, totals {history[-1].tolist()}")
         found = soft.select("tokens", "p", rate(pull).alias("r")).withColumn("_w", F.when((F.col("r") > float(least)) | F.lit(not pull.any()), F.col("tokens")).otherwise(0))
         sums = [F.col("r") * F.col("tokens") * F.col("p")[i] for i in range(k)] + [F.col("_w") * F.col("p")[i] * F.col("p")[j] for i, j in pairs]
-        got = np.array([x or 0.0 for x in found.agg(*map(F.sum, [*sums, F.col("tokens") * (F.col("r") - base) ** 2])).first()])
+        got = np.array([x or 0.0 for x in found.agg(*map(F.sum, sums)).first()])
         h = np.zeros((k, k))
-        for (i, j), x in zip(pairs, got[k:-1], strict=True):
+        for (i, j), x in zip(pairs, got[k:], strict=True):
             h[i, j] = h[j, i] = x
         history.append(got[:k])
-        return got[:k], h, float(got[-1])
+        return got[:k], h
 
     pull = np.zeros(k)
-    s, g, q = measure(pull)
+    s, g = measure(pull)
     h, natural = g, s / base
     if total is None:
         total = float(natural.sum()) if least <= 0 else HEADROOM * float(max((natural[i] * least / t[i] for i in range(k) if t[i] > 0), default=0.0))
@@ -196,21 +197,23 @@ def rates(soft: DataFrame, targets: dict[str, float], names: list[str], total: f
     last, turn = np.inf, 0
     while s.any() and off(s) > MISFIT * total and off(s) <= last / 2:
         last, centre, turn = off(s) if turn else np.inf, pull, turn + 1
-        value = lambda x, s, q, c=centre: x @ (s - total * t) - q / 2 + PROX / 2 * (x - c) @ g @ (x - c)
+        slope_at = lambda x, s, c=centre: s - total * t + PROX * g @ (x - c)
+        slope = slope_at(pull, s)
         while off(s) > MISFIT * total:
-            slope = s - total * t + PROX * g @ (pull - centre)
             step = -np.linalg.pinv(h + PROX * g, rcond=1e-12, hermitian=True) @ slope
-            if -slope @ step <= 1e-14 * total:
+            fall, rounding = -slope @ step, 8 * np.finfo(float).eps * (g @ np.abs(pull) + natural + total * t)
+            if fall <= max(1e-14 * total, np.abs(step) @ rounding) or np.abs(step).max() <= 1e-12 * np.abs(pull).max():
                 break
-            size, before = 1.0, value(pull, s, q)
+            size = 1.0
             new = measure(pull + step)
-            while value(pull + size * step, new[0], new[2]) > before + 1e-4 * size * (slope @ step) and size > 1e-6:
-                size /= 2
+            while (along := slope_at(pull + size * step, new[0]) @ step) > fall / 2 and size > 1e-6:
+                size *= max(0.1, min(0.5, fall / (fall + along)))
                 new = measure(pull + size * step)
-            if size <= 1e-6:  # no lower value to be told from rounding
+            if size <= 1e-6:  # no flatter slope to be told from rounding
                 history.append(s)
                 break
-            pull, (s, h, q) = pull + size * step, new
+            pull, (s, h) = pull + size * step, new
+            slope = slope_at(pull, s)
     if s.any() and off(s) > MISFIT * total:
         shares = {n: (round(float(x), 6), round(float(y), 6)) for n, x, y in zip(names, s / total, t, strict=True)}
         warnings.warn(f"mixing: targets out of reach with rates of at least {least}; of {total:.0f} tokens (share, target): {shares}", RuntimeWarning, stacklevel=2)

@@ -386,6 +386,18 @@ def test_rare_domains_meet_their_targets(spark):
         assert len(mixing.rates(alike, mixing.TARGETS, names)[1]) <= 3
 
 
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_rates_settle_with_targets_out_of_reach(spark, least):
+    """Posteriors nearly alike: the pulls get so large that a step is lost in rounding, which ends the search."""
+    p, q = [0.44433622270882095, 0.5556418001895459, 2.197710163306594e-05], [0.5261062621431375, 0.46070749890981244, 0.013186238947050146]
+    soft = spark.createDataFrame([(i, 6, p) for i in range(10)] + [(10, 2, q)], "id long, tokens long, p array<double>").coalesce(1).cache()
+    with pytest.warns(RuntimeWarning, match="out of reach"):
+        found, history = mixing.rates(soft, {"clean": 0.78, "low_quality": 0.12}, list(mixing.DOMAINS), least=least)
+    rows = found.collect()
+    assert len(history) <= 10 and min(r.rate for r in rows) >= least
+    assert np.allclose([sum(r.rate * r.tokens * r.p[k] for r in rows) for k in range(3)], history[-1], rtol=1e-6)
+
+
 def test_pipeline_keeps_whole_rows(spark):
     import corpus_pipeline
 
