@@ -386,6 +386,16 @@ def test_rare_domains_meet_their_targets(spark):
         assert len(mixing.rates(alike, mixing.TARGETS, names)[1]) <= 3
 
 
+def test_cells_of_long_texts_are_bounded_by_bytes(spark):
+    """300 sets of 160 KB, all of different components, in one bucket: small cells, in which every two of them meet."""
+    placed = spark.createDataFrame([(7, 0, i, 20_000 + i % 5, 0, 0, (0,), i) for i in range(300)], "bucket long, band int, node long, n long, s1 long, s2 long, h struct<node: long>, comp long")
+    cells = {}
+    for r in minhash.in_cells(placed, minhash.QUERY).where("older = 0").collect():
+        cells.setdefault(r.cell, []).append(r.node)
+    assert max(map(len, cells.values())) * 160_000 < 3 * minhash.QUERY.chunk_bytes
+    assert len({(a, b) for c in cells.values() for a in c for b in c if a < b}) == 300 * 299 // 2
+
+
 @pytest.mark.parametrize("least", [0.0, 1.0])
 def test_rates_settle_with_targets_out_of_reach(spark, least):
     """Posteriors nearly alike: the pulls get so large that a step is lost in rounding, which ends the search."""
