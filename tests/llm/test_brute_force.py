@@ -1,6 +1,7 @@
 """Queries that SQL can't express against plain versions: dense, sequential, all pairs."""
 
 import hashlib
+import itertools
 import math
 import random
 import warnings
@@ -263,6 +264,36 @@ def test_near_dedup_finds_the_links_of_all_pairs(spark, p):
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i, _ in docs}
 
 
+def test_near_copies_that_meet_in_most_bands_are_dealt_once(spark, monkeypatch):
+    """A group that is in a bucket of nearly every band, and most of whose texts are a little under the threshold; two smaller
+    groups. The links are those of all pairs."""
+    rng, texts = random.Random(3), []
+    for name, size in (("a", 400), ("b", 120), ("c", 30)):
+        for _ in range(size):
+            words = [f"{name}{i}" for i in range(150)]
+            for i in rng.sample(range(150), rng.randrange(1, 8)):
+                words[i] = f"x{rng.randrange(300)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 3]) for k in range(148)} for w in (t.split() for t in texts)]
+    comp = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and comp[a] != comp[b]:
+            low, high = sorted((comp[a], comp[b]))
+            comp = [low if c == high else c for c in comp]
+    dealt, in_cells = [], minhash.in_cells
+
+    def counted(placed, p):
+        dealt.append(in_cells(placed, p).count())
+        return in_cells(placed, p)
+
+    monkeypatch.setattr(minhash, "in_cells", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(df, minhash.NearParams(words=3, percent=85, chunk=50)).collect()}
+    assert got == dict(enumerate(comp)) and len(set(comp[:400])) > 20
+    assert dealt[0] <= 40 * len(texts)
+
+
 def test_rows_dealt_grow_with_a_cluster_not_with_its_square(spark):
     """A bucket of one large component and three strays that it doesn't link to."""
     p, counts = minhash.NearParams(chunk=100), {}
